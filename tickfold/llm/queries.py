@@ -5,16 +5,73 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
+from .decontaminate import oracle as contamination_sql
+from .licenses import scan_licenses
+from .media import decode_media, texts_as_media
 from .ngram_join import ngram_components
+from .packing import pack_documents, with_checksums
+from .quality import score_quality
+from .toxicity import score_toxicity
+from .url_filter import judge_urls
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_checksums(pack_documents(table(spark, sf_dir, "documents")))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = decode_media(texts_as_media(table(spark, sf_dir, "documents")))
+    payload = F.col("samples")
+    return files.select(
+        "doc_id",
+        "n_bytes",
+        F.length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.col("dhash").alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality": op2_quality,
+    "op4_url_filter": op4_url_filter,
+    "op6_decontamination": op6_decontamination,
+    "op7_licenses": op7_licenses,
+    "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
+    "op10_media": op10_media,
+}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": contamination_sql(),
 }
-ORACLES: dict[str, str] = {}
