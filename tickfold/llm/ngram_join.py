@@ -9,8 +9,9 @@ by document frequency (in powers of two), rare ones first, then by hash.
     partner to reach the threshold, the document is done; only the others go on.
 3.  Candidates share an n-gram of their prefixes, the first ``n - ceil(t n) + 1`` in the global order.
     A list of documents with one prefix n-gram isn't expanded to pairs: in each of a few rounds, its
-    members are tried against one leader and their neighbours in a random order, and links join
-    components. What then is left, pairs of different components, is tried in full, so no link is lost.
+    members are tried against one leader and their neighbours in an order, and linked documents get a
+    common label. What then is left, pairs of different labels, is tried in full, so no link is lost.
+    Pairs that the place of the n-gram or the parity bitmaps of both sets rule out are never made.
 4.  Pairs are verified exactly: the global order is cut into fragments of about equal weight, the
     overlap of a pair is counted in each fragment separately, and the counts are summed.
 """
@@ -231,27 +232,39 @@ def _open(percent: int):
     return kernel
 
 
+#: Bits of a set's parity bitmap, and its 64-bit columns.
+PARITY = 256
+PARITY_COLUMNS = [f"p{i}" for i in range(PARITY // 64)]
+
+
+def parity(token: np.ndarray) -> np.ndarray:
+    """A bitmap that every n-gram flips one bit of. Two sets differ in as many n-grams at least as their
+    bitmaps differ in bits."""
+    odd = np.bincount((token >> U64(32)) % U64(PARITY), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(percent: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, n, shared = (np.asarray(batch.column(i)) for i in range(3))
-            first = shared - (percent * n + 99) // 100 + 1
-            token = [np.frombuffer(x, np.int64)[:k] for x, k in zip(batch.column(3).to_pylist(), first)]
-            if not token:
+            if not len(key):
                 continue
+            first = shared - (percent * n + 99) // 100 + 1
+            sets = [np.frombuffer(x, U64) for x in batch.column(3).to_pylist()]
+            token = np.concatenate([_signed(x[:k]) for x, k in zip(sets, first)])
             place = np.concatenate([np.arange(k) for k in first]) + np.repeat(n - shared, first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (np.concatenate(token), np.repeat(key, first), np.repeat(n, first), np.repeat(shared, first), place)],
-                ["token", "key", "n", "shared", "place"],
-            )
+            bits = np.repeat(np.array([parity(x) for x in sets]), first, axis=0)
+            each = (token, np.repeat(key, first), np.repeat(n, first), np.repeat(shared, first), place, *bits.T)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in each], ["token", "key", "n", "shared", "place", *PARITY_COLUMNS])
 
     return kernel
 
 
 def _candidates(percent: int, turn: int | None):
-    """Pairs of one prefix n-gram and different components that the threshold doesn't rule out.
+    """Pairs of one prefix n-gram and different labels that the threshold doesn't rule out.
 
-    turn: each member with its list's leader and with its next, in a random order of its own; None: all.
+    turn: each member with its list's leader and with its next, in an order of its own (0: by label); None: all.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +274,7 @@ def _candidates(percent: int, turn: int | None):
         names = held[0].schema.names
         col = {x: np.concatenate([np.asarray(b.column(i)) for b in held]) for i, x in enumerate(names)}
         del held
-        by = mixed(col["key"].view(U64) ^ U64(turn)) if turn is not None else col["comp"]
+        by = mixed(col["key"].view(U64) ^ U64(turn)) if turn else col["comp"]
         order = np.lexsort((by, col["token"]))
         col = {k: v[order] for k, v in col.items()}
         token, comp, key = col["token"], col["comp"], col["key"]
@@ -272,9 +285,13 @@ def _candidates(percent: int, turn: int | None):
         def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             na, nb = col["n"][a], col["n"][b]
             need = -((-percent * (na + nb)) // (100 + percent))
-            most = np.minimum(np.minimum(na - col["place"][a], nb - col["place"][b]), np.minimum(col["shared"][a], col["shared"][b]))
-            ok = (comp[a] != comp[b]) & (most >= need)
-            a, b = key[a[ok]], key[b[ok]]
+            sa, sb = col["shared"][a], col["shared"][b]
+            most = np.minimum(np.minimum(na - col["place"][a], nb - col["place"][b]), np.minimum(sa, sb))
+            ok = np.flatnonzero((comp[a] != comp[b]) & (most >= need))
+            a, b = a[ok], b[ok]
+            differ = sum(np.bitwise_count((col[p][a] ^ col[p][b]).view(U64)).astype(np.int64) for p in PARITY_COLUMNS)
+            fits = sa[ok] + sb[ok] - differ >= 2 * need[ok]
+            a, b = key[a[fits]], key[b[fits]]
             return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
         def batch(pairs: np.ndarray) -> pa.RecordBatch:
@@ -357,8 +374,22 @@ def linked_pairs(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFra
     return whole.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
+def _labels(links: DataFrame, times: int) -> DataFrame | None:
+    """(key, comp) of linked documents: documents of one label are connected. ``times`` steps of taking
+    the least label of all neighbours; not yet whole components."""
+    both = links.select(F.col("u").alias("key"), "v").unionByName(links.select(F.col("v").alias("key"), F.col("u").alias("v")))
+    named = None
+    for _ in range(times):
+        if named is None:
+            named = both.groupBy("key").agg(F.least(F.min("v"), F.col("key")).alias("comp"))
+        else:
+            near = both.join(named.select(F.col("key").alias("v"), "comp"), "v").select("key", "comp")
+            named = near.unionByName(named).groupBy("key").agg(F.min("comp").alias("comp"))
+    return named
+
+
 def ngram_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 3, fragments: int = 4
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 2, fragments: int = 4
 ) -> DataFrame:
     """Per row of ``df``: id, n_shingles, component_id, and class_id, which equal sets share.
 
@@ -383,7 +414,7 @@ def ngram_components(
 
     counted = live.mapInArrow(_cells, "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count"))
     cells = sorted(counted.collect())  # at most 64 ranks x CELLS rows
-    comps = spark.createDataFrame([], "node long, comp long")
+    links = spark.createDataFrame([], "u long, v long")
     if cells:
         share, done, pivots = sum(c for _, c in cells) / fragments, 0, []
         for cell, count in cells:
@@ -391,18 +422,15 @@ def ngram_components(
                 pivots.append(cell)
             done += count
         segments = live.mapInArrow(_segments(pivots), "key long, n long, fragment int, tokens array<bigint>")
-        prefix = written(live.mapInArrow(_prefixes(percent), "token long, key long, n long, shared long, place long"))
-        links = spark.createDataFrame([], "u long, v long")
+        columns = ["token", "key", "n", "shared", "place", *PARITY_COLUMNS]
+        prefix = written(live.mapInArrow(_prefixes(percent), ", ".join(f"{c} long" for c in columns)))
         for turn in [*range(rounds), None]:
-            known = prefix.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-            lists = known.select("token", "key", "n", "shared", "place", "comp").repartition(parts, "token")
-            pairs = lists.mapInArrow(_candidates(percent, turn), "a long, b long").distinct()
-            found = linked_pairs(pairs, segments, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-            fresh = written(found)
-            if fresh.isEmpty():
-                continue
-            links = links.unionByName(fresh)
-            comps = connected_components(links)
+            named = _labels(links, rounds if turn is None else turn)
+            known = prefix.join(named, "key", "left").withColumn("comp", F.coalesce("comp", "key")) if named else prefix.withColumn("comp", F.col("key"))
+            pairs = known.select(*columns, "comp").repartition(parts, "token").mapInArrow(_candidates(percent, turn), "a long, b long")
+            fresh = written(linked_pairs(pairs.distinct(), segments, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+            links = fresh if not turn and turn is not None else links.unionByName(fresh)
+    comps = connected_components(links)
     grouped = docs.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = grouped.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
     return grouped.join(least, "comp", "left").select(
