@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,5 +87,11 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[obje
         yield run, have
 
 
-def arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
+#: Rows of a written table that may be broadcast; longer ones are joined by shuffle.
+MOST_BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a written table, marked for broadcast if it has ``most`` rows at most."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= most else df
