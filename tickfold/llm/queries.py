@@ -16,6 +16,7 @@ from .media import decode_media, texts_as_media
 from .ngram_join import ngram_components
 from .packing import pack_documents, with_checksums
 from .quality import score_quality
+from .secrets import find_secrets
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
 
@@ -28,6 +29,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings; a value is given as its digest and its first four characters only."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "position",
+        F.length("value").cast("long").alias("length"),
+        "occurrences",
+        F.substring("value", 1, 4).alias("head"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        "score",
+        "is_secret",
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -70,6 +86,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
     "op4_url_filter": op4_url_filter,
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
