@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower
+from .common import WORD, ascii_lower, sized
 
 #: Bits of the first test; a benchmark of many more windows only lets more blocks pass it.
 BITS = 1 << 16
@@ -145,7 +145,7 @@ def contamination(
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
     """``docs`` without the rows in whose text a window occurs; all columns stay."""
     bad = benchmark_hits(docs, benchmark, id_col, text_col, width).where(F.size("hits") > 0).select(F.col("row_key").alias("_key"))
-    return docs.join(bad, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_key"), "left_anti")
+    return docs.join(sized(bad), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_key"), "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
@@ -153,7 +153,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = benchmark_hits(docs, benchmark, id_col, text_col, width).where(F.size("hits") > 0)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     spans = found.select(F.col("row_key").alias("_key"), covered.alias("_hit"))
-    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(spans, "_key", "left")
+    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(sized(spans), "_key", "left")
     # Word k with what follows it; what stands before word 0 is kept.
     pieces = F.regexp_extract_all(F.col(text_col), F.lit("(?i)" + WORD + WORD.replace("[^", "[")[:-1] + "*"), F.lit(0))
     head = F.regexp_extract(F.col(text_col), "^" + WORD.replace("[^", "[")[:-1] + "*", 0)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, partitions, utf8, written
+from .common import by_group, partitions, sized, utf8, written
 from .graph import connected_components
 
 U64 = np.uint64
@@ -436,3 +436,19 @@ def ngram_components(
     return grouped.join(least, "comp", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.col("key").alias("class_id")
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``df`` with one document of each component, that of the smallest id; all columns stay.
+
+    Rows of null ids stay, as nothing tells them apart. Of rows that repeat the kept id, one stays.
+    """
+    found = written(ngram_components(df, id_col, text_col, **how))
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    kept = df.join(sized(gone), id_col, "left_anti")
+    again = written(again)
+    if not again.isEmpty():
+        once = kept.join(sized(again), id_col, "left_semi").dropDuplicates([id_col])
+        kept = kept.join(sized(again), id_col, "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"`{c}`") for c in df.columns))
