@@ -81,15 +81,21 @@ def trend_scan(bars: DataFrame, least: int, most: int, step: int = 1) -> DataFra
     return rows.select("symbol", "bar_idx", F.col("_best.t").alias("t_val"), (-F.col("_best.minus_length")).alias("length"), F.signum("_best.t").cast("int").alias("label"))
 
 
+def _swept(turns: DataFrame, bars: DataFrame, names: list[str]) -> DataFrame:
+    """Running sums of the turns' columns at each bar, turns between bars included."""
+    rows = bars.select("symbol", "bar_idx", *(F.lit(None).cast(dict(turns.dtypes)[c]).alias(c) for c in names), F.lit(1).alias("_bar"))
+    both = rows.unionByName(turns.withColumn("_bar", F.lit(0))).groupBy("symbol", "bar_idx").agg(*(F.sum(c).alias(c) for c in names), F.max("_bar").alias("_bar"))
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumns({c: F.coalesce(F.sum(c).over(upto), F.lit(0).cast(dict(both.dtypes)[c])) for c in names})
+    return run.where("_bar = 1").drop("_bar")
+
+
 def concurrency(spans: DataFrame, bars: DataFrame) -> DataFrame:
     """How many spans (symbol, start_idx, end_idx, ends included) cover each bar: running sum of starts and ends."""
     turns = spans.select("symbol", F.col("start_idx").alias("bar_idx"), F.lit(1).alias("d")).unionByName(
         spans.select("symbol", (F.col("end_idx") + 1).alias("bar_idx"), F.lit(-1).alias("d"))
     )
-    turns = turns.groupBy("symbol", "bar_idx").agg(F.sum("d").alias("d"))
-    rows = bars.select("symbol", "bar_idx").join(turns, ["symbol", "bar_idx"], "left")
-    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("symbol", "bar_idx", F.coalesce(F.sum("d").over(upto), F.lit(0)).alias("concurrent"))
+    return _swept(turns, bars, ["d"]).withColumnRenamed("d", "concurrent")
 
 
 def uniqueness(spans: DataFrame, bars: DataFrame) -> DataFrame:
@@ -124,11 +130,8 @@ def active_bets(bets: DataFrame, bars: DataFrame) -> DataFrame:
     turns = bets.select("symbol", F.col("start_idx").alias("bar_idx"), F.col("size").alias("d"), F.lit(1).alias("n")).unionByName(
         bets.select("symbol", ends.alias("bar_idx"), (-F.col("size")).alias("d"), F.lit(-1).alias("n"))
     )
-    turns = turns.groupBy("symbol", "bar_idx").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    rows = bars.select("symbol", "bar_idx").join(turns, ["symbol", "bar_idx"], "left")
-    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"total": F.sum("d").over(upto), "open": F.coalesce(F.sum("n").over(upto), F.lit(0))})
-    return rows.select("symbol", "bar_idx", "open", F.when(F.col("open") > 0, F.col("total") / F.col("open")).otherwise(0.0).alias("position"))
+    rows = _swept(turns, bars, ["d", "n"])
+    return rows.select("symbol", "bar_idx", F.col("n").alias("open"), F.when(F.col("n") > 0, F.col("d") / F.col("n")).otherwise(0.0).alias("position"))
 
 
 def costed_book(positions: DataFrame, bars: DataFrame, cost: float) -> DataFrame:

@@ -162,10 +162,10 @@ def long_short(spark, sf_dir):
     f"""{LONG_SHORT}, i as (select date, row_number() over (order by date) - 1 as i from (select distinct date from w)),
 h as (select name, date, ret, coalesce(last_value(case when i % 4 = 0 then weight end ignore nulls) over (partition by name order by date), 0) as h from w join i using (date)),
 b as (select *, coalesce(lag(h) over (partition by name order by date), 0) as b from h)
-select date, round(sum(abs(h - b)), 6) as turnover, round(sum(b * ret) - 0.0007 * sum(abs(h - b)), 8) as pnl from b group by 1""",
+select date, round(sum(abs(h - b)), 6) as turnover, round(sum(b * ret) - 0.0007 * sum(abs(h - b)), 11) as pnl from b group by 1""",
 )
 def rotation(spark, sf_dir):
-    return rounded(P.rotation(P.long_short(panel(spark, sf_dir), 0.2, "x"), 4, 0.0007), turnover=6, pnl=8)
+    return rounded(P.rotation(P.long_short(panel(spark, sf_dir), 0.2, "x"), 4, 0.0007), turnover=6, pnl=11)
 
 
 @query("mean_of_others", f"with {PANEL} select name, date, round((sum(x) over d - x) / nullif(count(*) over d - 1, 0), 9) as others from panel window d as (partition by date)")
@@ -225,13 +225,13 @@ def false_discovery(spark, sf_dir):
 o as (select name, day, ret - (sum(ret) over d - ret) / nullif(count(*) over d - 1, 0) as ab from daily window d as (partition by day)),
 ev as (select name, min(day) + 100 as event_day from daily group by 1),
 m as (select day - event_day as "at", count(*) as n, avg(ab) as mean from ev join o using (name) where day - event_day between -30 and 30 and ab is not null group by 1)
-select cast("at" as integer) as "at", n, round(mean, 9) as mean, round(sum(mean) over (order by "at"), 8) as car from m""",
+select cast("at" as integer) as "at", n, round(mean, 11) as mean, round(sum(mean) over (order by "at"), 11) as car from m""",
 )
 def event_study(spark, sf_dir):
     days = corpus(spark, sf_dir).select(F.col("strategy").alias("name"), F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), "pnl")
     daily = days.groupBy("name", "day").agg((F.sum("pnl").cast("double") / 1e9).alias("ret"))
     events = daily.groupBy("name").agg((F.min("day") + 100).alias("event_day"))
-    return rounded(P.event_study(events, daily, 30, 30), mean=9, car=8)
+    return rounded(P.event_study(events, daily, 30, 30), mean=11, car=11)
 
 
 @query(
