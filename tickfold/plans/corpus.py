@@ -162,10 +162,10 @@ def long_short(spark, sf_dir):
     f"""{LONG_SHORT}, i as (select date, row_number() over (order by date) - 1 as i from (select distinct date from w)),
 h as (select name, date, ret, coalesce(last_value(case when i % 4 = 0 then weight end ignore nulls) over (partition by name order by date), 0) as h from w join i using (date)),
 b as (select *, coalesce(lag(h) over (partition by name order by date), 0) as b from h)
-select date, round(sum(abs(h - b)), 6) as turnover, round(sum(b * ret) - 0.0007 * sum(abs(h - b)), 11) as pnl from b group by 1""",
+select date, round(sum(abs(h - b)), 6) as turnover, round(sum(b * ret) - 0.0007 * sum(abs(h - b)), 14) as pnl from b group by 1""",
 )
 def rotation(spark, sf_dir):
-    return rounded(P.rotation(P.long_short(panel(spark, sf_dir), 0.2, "x"), 4, 0.0007), turnover=6, pnl=11)
+    return rounded(P.rotation(P.long_short(panel(spark, sf_dir), 0.2, "x"), 4, 0.0007), turnover=6, pnl=14)
 
 
 @query("mean_of_others", f"with {PANEL} select name, date, round((sum(x) over d - x) / nullif(count(*) over d - 1, 0), 9) as others from panel window d as (partition by date)")
