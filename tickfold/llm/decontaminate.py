@@ -155,8 +155,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = found.select(F.col("row_key").alias("_key"), covered.alias("_hit"))
     joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(sized(spans), "_key", "left")
     # Word k with what follows it; what stands before word 0 is kept.
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit("(?i)" + WORD + WORD.replace("[^", "[")[:-1] + "*"), F.lit(0))
-    head = F.regexp_extract(F.col(text_col), "^" + WORD.replace("[^", "[")[:-1] + "*", 0)
+    other = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # no part of a word in either case
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[^{other}]+[{other}]*"), F.lit(0))
+    head = F.regexp_extract(F.col(text_col), f"^[{other}]*", 0)
     kept = F.filter(F.transform(pieces, lambda p, i: F.when(F.array_contains("_hit", i), None).otherwise(p)), lambda p: p.isNotNull())
     clean = F.concat(head, F.array_join(kept, ""))
     text = F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(clean).alias(text_col)
