@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import LOWER, UPPER, table
 from .decontaminate import contamination
 from .decontaminate import oracle as contamination_sql
 from .html_extract import extract_text
@@ -19,10 +19,23 @@ from .quality import score_quality
 from .secrets import find_secrets
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
+from .url_filter import oracle as url_sql
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+NGRAM_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r join links l on l.a = r.b)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.least, w.doc_id) as component_id
+from w left join n using (doc_id) left join (select a as doc_id, min(b) as least from reach group by 1) c using (doc_id)"""
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +58,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    judged = judge_urls(table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 7) for c in ("block_rate", "block_bound")})
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": NGRAM_SQL,
+    "op4_url_filter": url_sql(),
     "op6_decontamination": contamination_sql(),
 }

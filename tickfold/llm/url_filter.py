@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import LOWER, UPPER, ascii_lower
 
 # The rules of the registered query.
 RULES = (
@@ -27,7 +27,7 @@ RULES = (
 # Public suffixes of two labels; all others are a host's last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
 #: Posterior standard deviations below the mean, and the limit that this bound must reach to block.
-Z, LIMIT = 1.64, 0.5
+Z, LIMIT = 1.64, 0.8
 #: A prior's weight in pages is held between these.
 WEAKEST, STRONGEST = 1.0, 20.0
 
@@ -111,3 +111,36 @@ def _shrunk(groups: DataFrame, weight: float) -> DataFrame:
     """Posterior means of groups (n, k) whose prior has the mean m and this weight."""
     w = F.lit(float(weight))
     return groups.withColumns({"weight": w, "rate": (w * F.col("m") + F.col("k")) / (w + F.col("n"))})
+
+
+def oracle(rules=RULES) -> str:
+    """The registered query as DuckDB SQL."""
+    fits = "".join(
+        f" when (host = '{r.split('/', 1)[0]}' or ends_with(host, '.{r.split('/', 1)[0]}')) and starts_with(path, '/{r.split('/', 1)[1]}') then '{r}'"
+        for r, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0]))
+    )
+    verdicts = "".join(f" when '{r}' then '{v}'" for r, v in rules)
+    two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+
+    def weight(groups: str) -> str:
+        """The prior's weight, as ``_weight`` has it, of groups (n, k, m)."""
+        return f"""(select case when g < 2 or b <= 0 or f <= g - 1 then {WEAKEST} when (s - b) / (b / g * (f - (g - 1))) <= {1 / (1 + STRONGEST)!r} then {STRONGEST}
+        else least({STRONGEST}, greatest({WEAKEST}, 1 / ((s - b) / (b / g * (f - (g - 1)))) - 1)) end::double as w from
+        (select count(*)::double as g, sum(n) - sum(n * n) / sum(n)::double as f, sum(pow(k - n * m, 2) / n) as s, sum(m * (1 - m)) as b from {groups} where n > 0))"""
+
+    def level(name: str, source: str) -> str:
+        return f"{name}_w as {weight(source)}, {name} as (select *, w as weight, (w * m + k) / (w + n) as rate from {source}, {name}_w)"
+
+    return f"""
+    with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+    r as (select *, case{fits} end as rule from p), v as (select *, case rule{verdicts} end as by_rule from r),
+    o as (select *, case by_rule when 'block' then 1 when 'allow' then 0 end as outcome, string_split(host, '.') as l from v),
+    d as (select *, case when array_to_string(l[-2:], '.') in ({two}) then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end as domain,
+      case when array_to_string(l[-2:], '.') in ({two}) then array_to_string(l[-2:], '.') else l[-1] end as suffix from o),
+    hosts as (select host, domain, suffix, count(outcome) as n, coalesce(sum(outcome), 0) as k from d group by 1, 2, 3),
+    total as (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2)::double as m from hosts),
+    sg as (select suffix, sum(n) as n, sum(k) as k, any_value(total.m) as m from hosts, total group by 1), {level("sl", "sg")},
+    dg as (select domain, hosts.suffix, sum(hosts.n) as n, sum(hosts.k) as k, any_value(sl.rate) as m from hosts join sl on sl.suffix = hosts.suffix group by 1, 2), {level("dl", "dg")},
+    hg as (select host, hosts.n, hosts.k, dl.rate as m from hosts join dl on dl.domain = hosts.domain and dl.suffix = hosts.suffix), {level("hl", "hg")},
+    b as (select host, rate, rate - {Z} * sqrt(rate * (1 - rate) / (weight + n + 1)) as bound from hl)
+    select page_id, host, path, rule, coalesce(by_rule, case when bound >= {LIMIT} then 'block' else 'allow' end) as verdict, round(rate, 7) as block_rate, round(bound, 7) as block_bound from v join b using (host)"""
