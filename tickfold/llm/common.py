@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +49,39 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Rows that go to a Python worker at once; the session's default of 10,000 long texts would fill its memory.
+BATCH_ROWS = 1_000
+
+
+def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of ``df``, for kernels; from here on the session sends texts in small batches."""
+    small_batches(df.sparkSession)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+class Cache(dict):
+    """Values of recent keys, in two generations of at most ``most`` keys: what is used again stays."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if (value := self.old.pop(key, None)) is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

@@ -9,9 +9,8 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, utf8
+from .common import WORD_BYTES, texts, utf8
 
 # The base phrases and their labels.
 BASE = {
@@ -159,6 +158,6 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have no words and empty labels. Rows, ids and ties stay as they are; other
     columns are not looked at.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = texts(df, id_col, text_col)
     shape = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, permissive boolean, score double"
     return base.mapInArrow(_kernel, f"id {dict(base.dtypes)['id']}, {shape}").withColumnRenamed("id", id_col)

@@ -10,9 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, texts, utf8
 
 #: Bytes of a row of 64 colour samples, to which a text's payload is padded.
 ROW, WIDTH = 192, 64
@@ -144,7 +143,7 @@ def _encode(kind: str):
 def texts_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "ppm") -> DataFrame:
     """Per row: n_bytes of the text's UTF-8 (null: 0), and media, a file (ppm or bmp) of 64 pixels a row
     that holds it, padded with spaces to a positive multiple of 192 bytes."""
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = texts(df, id_col, text_col)
     made = base.mapInArrow(_encode(kind), f"id {dict(base.dtypes)['id']}, n_bytes long, media binary")
     return made.withColumnRenamed("id", id_col)
 
@@ -176,6 +175,7 @@ def decode_media(df: DataFrame, media_col: str = "media", side: int = 16) -> Dat
 
     Existing columns stay; those with the names of new ones are replaced.
     """
+    small_batches(df.sparkSession)
     new = ["width", "height", "samples", "tile", "dhash"]
     base = df.drop(*new).withColumnRenamed(media_col, "media")
     shape = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)

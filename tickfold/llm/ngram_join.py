@@ -26,23 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, partitions, sized, utf8, written
+from .common import Cache, by_group, partitions, sized, texts, utf8, written
 from .graph import connected_components
 
 U64 = np.uint64
 FACTOR = U64(0x9E3779B97F4A7C15)
-#: Tokens of one block of documents, and pairs that are tried at once; they bound a task's memory.
-BLOCK_TOKENS, BLOCK_PAIRS = 1_000_000, 1_000_000
-
-
-class _Words(dict):
-    """Hashes of words, kept for later documents."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Tokens of one block of documents, pairs that are tried at once, and words whose hashes are kept; they bound
+#: a task's memory.
+BLOCK_TOKENS, BLOCK_PAIRS, KEPT_WORDS = 500_000, 1_000_000, 40_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,7 +72,7 @@ def _range_of(x: np.ndarray, n: int) -> np.ndarray:
 
 def _documents(n: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = Cache(xxhash.xxh3_64_intdigest, KEPT_WORDS)
         for batch in batches:
             sizes, keys = [], []
             for text in utf8(batch, "text"):
@@ -122,14 +113,15 @@ def _blocks(n: int, ranges: int):
         )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sets, keys, held, seen = _Words(), [], [], 0, set()
+        words = Cache(xxhash.xxh3_64_intdigest, KEPT_WORDS)
+        sets, keys, held, seen = [], [], 0, set()
         for batch in batches:
             for text in utf8(batch, "text"):
                 h = ngram_set(text, n, words)
                 key = xxhash.xxh3_64_intdigest(h.tobytes())
                 if not len(h) or key in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 sets.append(h)
@@ -154,18 +146,24 @@ def _frequencies(parts: int):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, run in by_group(batches, "at"):
-            token, key, count = _joined(run, "tokens", U64), _joined(run, "keys", U64), _joined(run, "counts", np.uint32)
+            key, count = _joined(run, "keys", U64), _joined(run, "counts", np.uint32)
+            token = _joined(run, "tokens", U64)
+            del run
             first = np.zeros(len(key), bool)
             first[np.unique(key, return_index=True)[1]] = True
-            keep = np.repeat(first, count)
-            token, owner = token[keep], np.repeat(key, count)[keep]
+            place = np.repeat(np.arange(len(key), dtype=np.int32), count)  # of the owner
+            if not first.all():
+                keep = first[place]
+                token, place = token[keep], place[keep]
             order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
+            token, place = token[order], place[order]
+            del order
             starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             df = np.diff(np.append(starts, len(token)))
             rank = np.repeat(np.floor(np.log2(df)).astype(np.uint8), df)
-            shared = rank > 0
-            token, owner, rank = token[shared], owner[shared], rank[shared]
+            shared = np.flatnonzero(rank)
+            token, owner, rank = token[shared], key[place[shared]], rank[shared]
+            del place, starts, df, shared
             to = _range_of(owner, parts)
             order = np.argsort(to, kind="stable")
             token, owner, rank, to = token[order], owner[order], rank[order], to[order]
@@ -401,10 +399,9 @@ def ngram_components(
     """
     spark = df.sparkSession
     parts = partitions(spark)
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = texts(df, id_col, text_col)
     docs = written(base.mapInArrow(_documents(n), f"id {dict(base.dtypes)['id']}, n long, key long"))
-    texts = base.select("text").where("text is not null")
-    blocks = texts.mapInArrow(_blocks(n, parts), "at int, tokens binary, keys binary, counts binary")
+    blocks = base.select("text").where("text is not null").mapInArrow(_blocks(n, parts), "at int, tokens binary, keys binary, counts binary")
     dealt = blocks.repartition(parts, "at").sortWithinPartitions("at")
     shape = "to int, owners binary, tokens binary, ranks binary"
     shared = dealt.mapInArrow(_frequencies(parts), shape)

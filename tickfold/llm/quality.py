@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, utf8, written
+from .common import remainder, texts, utf8, written
 
 NAMES = (
     "log_bytes", "log_words", "word_length", "word_length_sd", "long_words", "upper", "digits", "marks", "bars", "breaks",
@@ -154,7 +154,7 @@ def score_quality(
     repeated rows count as often. Without labels of both classes, every score is the smoothed share of
     label 1. Other columns are not looked at.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     kind = dict(base.dtypes)["id"]
     seen = written(base.mapInArrow(_features, f"id {kind}, x array<double>"))
     fold = (remainder("id", folds) == held).alias("held_out")

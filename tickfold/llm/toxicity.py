@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, remainder, utf8
+from .common import WORD_BYTES, remainder, texts, utf8
 
 #: Labelled rows to learn from at most: the first by a hash of the id. It bounds what is broadcast.
 MOST_LABELLED = 16_384
@@ -25,8 +25,10 @@ MOST_LABELLED = 16_384
 MOST_EXAMPLES = 4_096
 #: Terms at most, the least chi-square of a term, and the bytes of a word start.
 MOST_TERMS, LEAST_CHI2, START = 1_024, 24.0, 4
-#: Neighbours that vote, examples of a block, the prior's weight in votes, and rows of one step.
-NEIGHBOURS, BLOCK, PRIOR_VOTES, STEP = 15, 64, 0.5, 1024
+#: Neighbours that vote, examples of a block, and the prior's weight in votes.
+NEIGHBOURS, BLOCK, PRIOR_VOTES = 15, 64, 0.5
+#: Rows of one step, terms that are counted before their counts go on, and scores that are kept.
+STEP, KEPT_TERMS, KEPT_SCORES = 500, 100_000, 4_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -38,19 +40,23 @@ def terms_of(words: set[bytes]) -> set[bytes]:
     return words | {w[:START] + b"*" for w in words if len(w) > START}
 
 
+def _partial(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+    terms = [*counts[0].keys() | counts[1].keys()]
+    out = pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], ["term", "n0", "n1"])
+    for c in counts:
+        c.clear()
+    return out
+
+
 def _associations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of terms by label; a null term counts the documents themselves."""
+    """Document counts of terms by label."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
             counts[label].update(terms_of(set(words_of(text))))
-            counts[label][None] += 1
-    terms = [*counts[0].keys() | counts[1].keys()]
-    for at in range(0, len(terms), 50_000):
-        some = terms[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.binary()), *(pa.array([c[t] for t in some], pa.int64()) for c in counts)], ["term", "n0", "n1"]
-        )
+            if len(counts[0]) + len(counts[1]) > KEPT_TERMS:
+                yield _partial(counts)
+    yield _partial(counts)
 
 
 def _term_counts(batch: pa.RecordBatch, index: dict[bytes, int], column: str = "text") -> Iterator[dict[int, int]]:
@@ -162,23 +168,22 @@ def weigh(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.sqrt(v @ v)
 
 
-def _scored(index: Index, words: dict[bytes, int]):
+def _scored(index: Index, words: dict[bytes, int], text_col: str, keep_text: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, tuple] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
                 batch = whole.slice(at, STEP)
                 rows = []
-                for found in _term_counts(batch, words, "_text"):
+                for found in _term_counts(batch, words, text_col):
                     key = tuple(sorted(found.items()))
                     if key not in kept:
-                        if len(kept) > 20_000:
+                        if len(kept) > KEPT_SCORES:
                             kept.clear()
                         score, best, near = index.score(list(found), list(found.values()))
                         kept[key] = score, index.ids[best].tolist(), near.tolist()
                     rows.append(kept[key])
-                at_text = batch.schema.get_field_index("_text")
-                keep = [i for i in range(batch.num_columns) if i != at_text]
+                keep = [i for i, n in enumerate(batch.schema.names) if keep_text or n != text_col]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in keep), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))))],
                     [*(batch.schema.names[i] for i in keep), "score", "evidence", "cosines"],
@@ -191,7 +196,7 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1
 ) -> tuple[Index, dict[bytes, int]]:
     """The index and its vocabulary, from labels whose fold (crc32 of the id as text modulo folds) isn't ``held``."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
     known = known.where(remainder("id", folds) != held).orderBy(F.xxhash64("id"), "id", "label").limit(MOST_LABELLED)
     train = base.join(F.broadcast(known), "id")
@@ -204,7 +209,7 @@ def fit_toxicity(
         a, b = F.col("n1"), F.col("n0")
         c, d = n[1] - a, n[0] - b
         chi2 = (n[0] + n[1]) * F.pow(a * d - b * c, 2) / (n[0] * n[1] * (a + b) * F.greatest(c + d, F.lit(0.5)))
-        strong = counted.where("term is not null").select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+        strong = counted.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
         vocabulary = [bytes(r[0]) for r in strong.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect()]
     words = {t: i for i, t in enumerate(vocabulary)}
     df = dict(base.select("text").mapInArrow(_frequencies(words), "term int, df long").groupBy("term").agg(F.sum("df")).collect())
@@ -235,7 +240,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     fold = remainder(id_col, how.get("folds", 3)) == how.get("held", 1)
     new = ["score", "predicted", "evidence", "cosines"]
     base = docs.drop(*new) if keep else docs.select(id_col, fold.alias("held_out"), text_col)
-    base = base.withColumn("_text", F.col(text_col)) if keep else base.withColumnRenamed(text_col, "_text")
-    shape = ", ".join(f"`{n}` {t}" for n, t in base.dtypes if n != "_text")
-    scored = base.mapInArrow(_scored(index, words), f"{shape}, score double, evidence array<bigint>, cosines array<double>")
+    shape = ", ".join(f"`{n}` {t}" for n, t in base.dtypes if keep or n != text_col)
+    scored = base.mapInArrow(_scored(index, words, text_col, keep), f"{shape}, score double, evidence array<bigint>, cosines array<double>")
     return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))
