@@ -142,3 +142,21 @@ def test_quasi_diagonal_groups_blocks():
         c[a, b] = c[b, a] = 0.9
     order = Q.quasi_diagonal(c)
     assert all(abs(order.index(a) - order.index(b)) == 1 for a, b in ((0, 3), (1, 4), (2, 5)))
+
+
+def test_clusters_find_blocks():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(300, 3)), 4, 1) + 0.3 * rng.normal(size=(300, 12))
+    label = Q.clusters(np.corrcoef(x.T))
+    assert all(len(set(label[i : i + 4])) == 1 for i in (0, 4, 8)) and len(set(label)) == 3
+    assert sorted(i // 4 for i in Q.decorrelated(np.corrcoef(x.T), rng.random(12), 3)) == [0, 1, 2]
+
+
+def test_regimes_follow_variance(spark):
+    from tickfold.operators.features import regimes
+
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=150), 5 * rng.normal(size=150)])
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "symbol string, bar_idx bigint, ret double")
+    p = np.array([r["turbulent"] for r in regimes(rows, 20).orderBy("bar_idx").collect()])
+    assert p[20:140].mean() < 0.3 and p[170:].mean() > 0.7

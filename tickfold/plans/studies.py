@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..operators import events as E
+from ..operators import features as X
 from ..operators import overfit as O
 from ..operators import returns as R
 from ..operators import rolling as W
 from ..operators import studies as T
-from .corpus import BLOCK_SUMS, CORPUS, PANEL, corpus, panel
+from .corpus import BLOCK_SUMS, CORPUS, MOMENTS, PANEL, corpus, panel
 from .market import BETS, DOLLAR, RETURNS, dollar_bars, rounded, sample_bets
 from .registry import query, table
 
@@ -246,3 +247,36 @@ def forest_scores(spark, sf_dir):
     own = folds.groupBy("symbol", "ev_idx").agg(F.max(F.when(F.col("part") == "test", F.col("fold"))).alias("fold"), F.collect_list(F.when(F.col("part") == "train", F.col("fold").cast("int"))).alias("trains"))
     scored = T.forest_scores(rows.join(own, ["symbol", "ev_idx"]), ["volume", "ofi", "ret"], "y", 4)
     return scored.select("symbol", "ev_idx", "fold", F.col("p").alias("score"), F.col("y").alias("label"))
+
+
+@query("price_z_entries")
+def price_z_entries(spark, sf_dir):
+    return X.fresh_extremes(dollar_bars(spark, sf_dir), 50, 1.5).select("symbol", "bar_idx", "z", "side")
+
+
+@query("event_features")
+def event_features(spark, sf_dir):
+    return X.event_features(dollar_bars(spark, sf_dir))
+
+
+@query("regimes")
+def regimes(spark, sf_dir):
+    return X.regimes(R.with_log_return(dollar_bars(spark, sf_dir)), 20)
+
+
+@query("forest_importance")
+def forest_importance(spark, sf_dir):
+    rows = X.event_features(dollar_bars(spark, sf_dir))
+    label = (F.lead("gap").over(W.by_symbol()) > F.col("gap")).cast("double")
+    return X.forest_importance(rows.withColumn("y", label), ["gap", "vol", "vol_ratio", "momentum_3", "strength", "ofi", "range"], "y")
+
+
+@query(
+    "backtest_lengths",
+    f"""{MOMENTS} select asset, count(*) as trials, round(pow({normal.expected_max("1e0", "cast(count(*) as double)")} / 0.05, 2), 2) as min_days from mom group by 1""",
+)
+def backtest_lengths(spark, sf_dir):
+    """Days below which the best of so many worthless strategies is expected to show a daily ratio of 0.05."""
+    trials = corpus(spark, sf_dir).groupBy("asset").agg(F.count_distinct("strategy").alias("trials"))
+    days = F.pow(F.expr(normal.expected_max("1e0", "cast(trials as double)")) / 0.05, 2)
+    return trials.withColumn("min_days", F.round(days, 2))
