@@ -23,10 +23,11 @@ from .common import WORD_BYTES, remainder, texts, utf8
 MOST_LABELLED = 16_384
 #: Examples of the index at most, the first of the labelled rows of each class that have a term.
 MOST_EXAMPLES = 4_096
-#: Terms at most, the least chi-square of a term, and the bytes of a word start.
-MOST_TERMS, LEAST_CHI2, START = 1_024, 24.0, 4
+#: Terms at most, the least chi-square of a term, how many times as likely it must be with one label as with the
+#: other, and the bytes of a word start.
+MOST_TERMS, LEAST_CHI2, LEAST_LIFT, START = 1_024, 36.0, 30.0, 4
 #: Neighbours that vote, examples of a block, and the prior's weight in votes.
-NEIGHBOURS, BLOCK, PRIOR_VOTES = 15, 64, 0.5
+NEIGHBOURS, BLOCK, PRIOR_VOTES = 15, 64, 0.35
 #: Rows of one step, terms that are counted before their counts go on, and scores that are kept.
 STEP, KEPT_TERMS, KEPT_SCORES = 500, 100_000, 4_000
 
@@ -209,7 +210,8 @@ def fit_toxicity(
         a, b = F.col("n1"), F.col("n0")
         c, d = n[1] - a, n[0] - b
         chi2 = (n[0] + n[1]) * F.pow(a * d - b * c, 2) / (n[0] * n[1] * (a + b) * F.greatest(c + d, F.lit(0.5)))
-        strong = counted.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+        lift = F.abs(F.log((a + 0.5) / (n[1] + 1) / ((b + 0.5) / (n[0] + 1))))
+        strong = counted.where(lift >= float(np.log(LEAST_LIFT))).select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
         vocabulary = [bytes(r[0]) for r in strong.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect()]
     words = {t: i for i, t in enumerate(vocabulary)}
     df = dict(base.select("text").mapInArrow(_frequencies(words), "term int, df long").groupBy("term").agg(F.sum("df")).collect())
