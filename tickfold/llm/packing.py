@@ -69,7 +69,7 @@ def _pieces(path: str | None, pattern: str | None, size: int):
                 batch = whole.slice(at, 500)
                 ids = []
                 for text in utf8(batch, "text"):
-                    ids.append(tok.ids((text or b"").decode()))
+                    ids.append(tok.ids((text or b"").decode("utf-8", "replace")))
                     ids.append(np.array([END_ID], np.int32))
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 lens = np.array([len(x) + 1 for x in ids[::2]], np.int64)
