@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, partitions, texts, utf8
+from .common import partitions, texts, utf8
 
 #: Ends every document.
 END_ID = 0
-#: Words whose ids a worker keeps; a text of words longer than so many characters on average is encoded as a whole.
-KEPT_WORDS, LONG_WORDS = 80_000, 40
+#: Words whose ids a worker keeps, and the longest such word.
+KEPT_WORDS, KEPT_CHARS = 200_000, 40
 #: Between other white space, a space isn't sure to start a token.
 _UNSURE = re.compile(r" \s|\s ")
 
@@ -33,7 +33,7 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-class Tokenizer:
+class Tokenizer(dict):
     """Ids of byte-level BPE. A single space always starts a token, so texts are cut there and the ids of
     short words are kept for the next time; the pattern's other texts are encoded as a whole.
 
@@ -41,16 +41,24 @@ class Tokenizer:
     """
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         self.encode = _encoding(path, pattern).encode_ordinary
-        self.kept = Cache(lambda word: tuple(self.encode(word)), KEPT_WORDS)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.encode(word))
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        if _UNSURE.search(text) or len(text) > LONG_WORDS * (text.count(" ") + 1):
+        if _UNSURE.search(text):
             return np.array(self.encode(text), np.int32)
         first, *rest = text.split(" ")
-        words = chain(self.kept[first] if first else (), chain.from_iterable(map(self.kept.__getitem__, map(" ".__add__, rest))))
+        words = chain(self[first] if first else (), chain.from_iterable(map(self.__getitem__, map(" ".__add__, rest))))
         return np.fromiter(words, np.int32)
 
 
