@@ -243,6 +243,26 @@ def test_templates(spark):
     assert html_extract.match(html_extract.skeleton(html_extract.parse("<ul><li>a<li>b</ul>")), html_extract.skeleton(html_extract.parse("<ul><li>a</ul>"))) == 3
 
 
+def test_templates_decide_within_and_beside_articles(spark):
+    """Constants go within an article, also where only one section of a large host has them; varying prose beside one stays."""
+    body = "A paragraph that no other page of this site has, of some length, with the number"
+    rows = []
+    for i in range(200):
+        more = "".join(f"<p>More of it {i} {k}.</p>" for k in range(i % 4))
+        rows.append((i, f"http://a.org/{i}", f"<body><article><h1>Title {i}</h1><p>{body} {i}</p>{more}<p>Sign up to our letter</p></article></body>"))
+        note = "<section><div>News of the south desk</div></section>" if i % 20 == 0 else ""
+        rows.append((1000 + i, f"http://b.org/{i}", f"<body><article><h1>Title {i}</h1><p>{body} {i}</p>{note}</article></body>"))
+        rows.append((2000 + i, f"http://c.org/{i}", f"<body><article><p>Teaser {i}</p></article><div><p>{body} {i}</p></div><div>Terms</div></body>"))
+    rows += [(3000 + i, f"http://d.org/{i}", "<body><article><p>All are copies</p></article></body>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(200):
+        more = "".join(f"\nMore of it {i} {k}." for k in range(i % 4))
+        assert got[i] == f"Title {i}\n{body} {i}{more}"
+        assert got[1000 + i] == f"Title {i}\n{body} {i}"
+        assert got[2000 + i] == f"Teaser {i}\n{body} {i}"
+    assert all(got[3000 + i] == "All are copies" for i in range(30))
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

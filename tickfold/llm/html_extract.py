@@ -1,33 +1,41 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are written from one template. A bounded number of pages of each host is aligned node by
-node with simple tree matching; a node whose text stays the same on most of the pages that have it becomes
-template, and what varies is a slot. A slot is content unless its place (its path of tags, classes and
-roles) marks it as part of the page's frame: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments. Every page is then read with the template of its host.
+Pages of one host are written from one template. Every page is aligned with a central page of its host by simple
+tree matching, which gives each of its blocks a place; the texts of every place are counted over all pages of
+the host. A text that stays the same on most of the pages that have its place becomes template, and what varies
+is a slot. Slots are content unless their path of tags, classes and roles marks them as part of the page's
+frame: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. An
+article or main element is a prior: beside one, a place must hold prose that varies to be content.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, sized, small_batches, utf8
+from .common import Cache, by_group, sized, small_batches, utf8, written
 from .url_filter import host_and_path
 
-#: Pages of a host that its template is learned from, the first by a hash of the id; a documented bound on
-#: a fitting sample. Templates are applied to every page.
-SAMPLE = 24
+#: Pages of a host among which its central page is chosen, the first by a hash of the id. The central page only
+#: names places; what is template is counted over all pages.
+CENTRES = 6
 #: Levels of the tree that are aligned.
 DEEPEST = 30
 #: A text is template if this share of the aligned pages, and at least so many of them, have it.
 CONSTANT, LEAST_PAGES = 0.6, 4
+#: Pages from which a text is template even where most other texts vary, and the mean length from which varying
+#: texts beside an article are content.
+SURE_PAGES, PROSE = 16, 60
+#: Counts that a task keeps before they go on.
+KEPT_COUNTS = 100_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -162,10 +170,12 @@ def blocks(root: Node) -> list[tuple[tuple[Node, ...], str]]:
 
 def skeleton(root: Node) -> tuple:
     """Nested tuples (children as (name, node), texts) of the block elements that hold texts."""
+    return _tree([(path, text) for path, text in blocks(root) if not any(node.tag in RAW for node in path)])
+
+
+def _tree(found: list[tuple[tuple[Node, ...], object]]) -> tuple:
     top: tuple[dict, list] = ({}, [])
-    for path, text in blocks(root):
-        if any(node.tag in RAW for node in path):
-            continue
+    for path, text in found:
         at = top
         for node in path[:DEEPEST]:
             at = at[0].setdefault(id(node), (node.name, ({}, [])))[1]
@@ -182,8 +192,9 @@ def match(a: tuple, b: tuple) -> int:
     return _matched(a, b, {})[0]
 
 
-def _matched(a: tuple, b: tuple, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """(size, aligned pairs of children) of two nodes that are taken as equal."""
+def _matched(a: tuple, b: tuple, memo: dict, alike: float = 0) -> tuple[float, list[tuple[int, int]]]:
+    """(size, aligned pairs of children) of two nodes that are taken as equal; ``alike`` is added for nodes that
+    share a text, so that of equal sizes the one that aligns equal texts is taken."""
     key = (id(a), id(b))
     if key in memo:
         return memo[key]
@@ -191,7 +202,7 @@ def _matched(a: tuple, b: tuple, memo: dict) -> tuple[int, list[tuple[int, int]]
     m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(1, len(x) + 1):
         for j in range(1, len(y) + 1):
-            w = _matched(x[i - 1][1], y[j - 1][1], memo)[0] if x[i - 1][0] == y[j - 1][0] else 0
+            w = _matched(x[i - 1][1], y[j - 1][1], memo, alike)[0] if x[i - 1][0] == y[j - 1][0] else 0
             m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w)
     pairs, i, j = [], len(x), len(y)
     while i and j:
@@ -202,70 +213,132 @@ def _matched(a: tuple, b: tuple, memo: dict) -> tuple[int, list[tuple[int, int]]
         else:
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-    memo[key] = (m[-1][-1] + 1, pairs[::-1])
+    memo[key] = (m[-1][-1] + 1 + (alike if alike and not set(a[1]).isdisjoint(b[1]) else 0), pairs[::-1])
     return memo[key]
 
 
-def template_of(pages: list[tuple]) -> set[tuple[str, str]]:
-    """(place, text) of the template's constant texts: each page is aligned with a central one.
+#: Less than one node in all, and exact in sums.
+ALIKE = 2.0**-20
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def content_blocks(page: str) -> list[tuple[tuple[Node, ...], str]]:
+    """The blocks of a page that aren't in its frame."""
+    return [(path, text) for path, text in blocks(parse(page)) if not any(n.frame for n in path)]
+
+
+def central_of(pages: list[tuple]) -> tuple:
+    """The page that most of the others match best relative to their sizes."""
+    size = [match(p, p) for p in pages]
+    return pages[max(range(len(pages)), key=lambda i: sum(match(pages[i], q) / (size[i] + size[j]) for j, q in enumerate(pages)))]
+
 
-    The central page is the one that most of the others match best relative to their sizes.
+def places(found: list[tuple[tuple[Node, ...], str]], central: tuple) -> list[tuple[str, str, int]]:
+    """(place, path of names, digest of the text) of each block. A place numbers the central page's nodes; below
+    a node that has no partner there, it has the names of the page's own nodes with a ``+``."""
+    digests = [_digest(text) for _, text in found]
+    page = _tree([(path, (d, i)) for i, ((path, _), d) in enumerate(zip(found, digests))])
+
+    def texts_only(node: tuple) -> tuple:
+        return tuple((name, texts_only(below)) for name, below in node[0]), tuple(d for d, _ in node[1])
+
+    plain = texts_only(page)
+    out: list = [None] * len(found)
+    memo: dict = {}
+    todo = [(central, page, plain, "", "")]
+    while todo:
+        c, node, bare, place, names = todo.pop()
+        for d, i in node[1]:
+            out[i] = place, names, d
+        partner = {j: i for i, j in _matched(c, bare, memo, ALIKE)[1]} if c is not None else {}
+        for j, (name, below) in enumerate(node[0]):
+            i = partner.get(j)
+            todo.append((c[0][i][1] if i is not None else None, below, bare[0][j][1], f"{place}/{name}{'+' if i is None else f'[{i}]'}", f"{names}/{name}"))
+    return out
+
+
+def main_text(page: str, template: set[tuple[str, int]], central: tuple | None = None, beside: set[str] | frozenset[str] = frozenset()) -> str:
+    """The content blocks of a page: those that the template of its host, (place, digest of the text), leaves.
+
+    beside: paths of names whose texts are content beside an article or main element too. An article of which
+    the template would leave nothing stays, as many copies of one page look like a template. Without a
+    central page there is no template.
     """
-    if len(pages) < LEAST_PAGES:
-        return set()
-    some = pages[:6]
-    size = [match(p, p) for p in some]
-    best = max(range(len(some)), key=lambda i: sum(match(some[i], q) / (size[i] + size[j]) for j, q in enumerate(some)))
-    central, seen, there = some[best], Counter(), Counter()
-    for page in pages:
-        memo: dict = {}
-        todo, own = [(central, page, "")], set()
-        while todo:
-            a, b, place = todo.pop()
-            there[place] += place not in own
-            own.add(place)
-            for text in set(b[1]):
-                seen[place, text] += 1
-            _, pairs = _matched(a, b, memo)
-            todo += [(a[0][i][1], b[0][j][1], f"{place}/{a[0][i][0]}") for i, j in pairs]
-    constant = {k for k, n in seen.items() if n >= LEAST_PAGES and n >= CONSTANT * there[k[0]]}
-    total, fixed = Counter(), Counter()
-    for key, n in seen.items():
-        total[key[0]] += n
-        fixed[key[0]] += n * (key in constant)
-    # Where most texts vary, the place is a slot, and a text that many pages repeat there is content.
-    return {k for k in constant if fixed[k[0]] >= CONSTANT * total[k[0]]}
-
-
-def main_text(page: str, template: set[tuple[str, str]]) -> str:
-    """The content blocks of a page. Pages with an article or main element say themselves which slot holds
-    the content; the template decides elsewhere."""
-    found = [(path, text) for path, text in blocks(parse(page)) if not any(n.frame for n in path)]
-    inner = [text for path, text in found if any(n.tag in ("article", "main") for n in path)]
-    if not inner:
-        inner = [text for path, text in found if ("".join(f"/{n.name}" for n in path[:DEEPEST]), text) not in template]
-    return "\n".join(inner)
-
-
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = content_blocks(page)
+    inner = [any(n.tag in ("article", "main") for n in path) for path, _ in found]
+    if central is None:
+        return "\n".join(text for (_, text), own in zip(found, inner) if own or not any(inner))
+    at = places(found, central)
+    fixed = [(place, digest) in template for place, _, digest in at]
+    if any(inner) and all(f for f, own in zip(fixed, inner) if own):
+        fixed = [f and not own for f, own in zip(fixed, inner)]
+    keep = [not f and (own or not any(inner) or names in beside) for f, own, (_, names, _) in zip(fixed, inner, at)]
+    return "\n".join(text for (_, text), k in zip(found, keep) if k)
+
+
+def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for host, run in by_group(batches, "host"):
-        pages = [skeleton(parse(t.decode("utf-8", "replace"))) for b in run for t in utf8(b, "html")]
-        constant = sorted(template_of(pages))
-        if constant:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([host]), *(pa.array([[c[i] for c in constant]], pa.list_(pa.string())) for i in (0, 1))], ["host", "places", "texts"]
-            )
+        pages = [_tree([(path, _digest(text)) for path, text in content_blocks(t.decode("utf-8", "replace"))]) for b in run for t in utf8(b, "html")]
+        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(central_of(pages))])], ["host", "central"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages by (host, place, names, text) and their characters; without text: pages that have the place, and
+    without place: pages that have the path of names."""
+    trees, pages, chars = Cache(json.loads, 64), Counter(), Counter()
+
+    def made() -> pa.RecordBatch:
+        keys = list(pages)
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+        out = [*(pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)), *(pa.array([c[k] for k in keys], pa.int64()) for c in (pages, chars))]
+        pages.clear()
+        chars.clear()
+        return pa.RecordBatch.from_arrays(out, ["host", "place", "names", "text", "n", "chars"])
+
+    for batch in batches:
+        hosts, centrals = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "central"))
+        for host, central, t in zip(hosts, centrals, utf8(batch, "html")):
+            found = content_blocks(t.decode("utf-8", "replace"))
+            own = {}
+            for (place, names, digest), (_, text) in zip(places(found, trees[central]), found):
+                own |= {(host, place, names, digest): len(text), (host, place, names, None): 0, (host, None, names, None): 0}
+            pages.update(own.keys())
+            chars.update(own)
+            if len(pages) > KEPT_COUNTS:
+                yield made()
+    yield made()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees = Cache(lambda key: (set(zip(key[1], key[2])), json.loads(key[0]) if key[0] else None, set(key[3])), 64)
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
-            places, texts = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("places", "texts"))
-            out = [main_text((t or b"").decode("utf-8", "replace"), set(zip(p or (), c or ()))) for t, p, c in zip(utf8(batch, "html"), places, texts)]
+            how = zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("central", "places", "texts", "beside")))
+            out = [main_text((t or b"").decode("utf-8", "replace"), *trees[c, *(tuple(x or ()) for x in lists)]) for t, (c, *lists) in zip(utf8(batch, "html"), how)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
+def _templates(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, places, texts) of the template's constant texts, and (host, beside)."""
+    texts = counts.where("text is not null")
+    there = counts.where("text is null and place is not null").select("host", "place", F.col("n").alias("there"))
+    paths = counts.where("place is null").select("host", "names", F.col("n").alias("pages"))
+    constant = texts.where(F.col("n") >= LEAST_PAGES).join(there, ["host", "place"]).where(F.col("n") >= CONSTANT * F.col("there"))
+    fixed = constant.groupBy("host", "names").agg(F.sum("n").alias("fixed"))
+    slots = texts.groupBy("host", "names").agg(F.sum("n").alias("total"), F.sum("chars").alias("chars")).join(paths, ["host", "names"]).join(fixed, ["host", "names"], "left")
+    varies = F.coalesce("fixed", F.lit(0)) < CONSTANT * F.col("total")
+    # Where most texts vary, the place is a slot, and a text that a few pages repeat there is content.
+    sure = (F.col("n") >= SURE_PAGES) & (F.col("n") >= CONSTANT * F.col("pages"))
+    kept = constant.join(slots.select("host", "names", "pages", varies.alias("varies")), ["host", "names"]).where(~F.col("varies") | sure)
+    template = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("t")).select("host", F.col("t.place").alias("places"), F.col("t.text").alias("texts"))
+    prose = slots.where(varies & (F.col("total") >= LEAST_PAGES) & (F.col("chars") >= PROSE * F.col("total")))
+    return template, prose.groupBy("host").agg(F.sort_array(F.collect_list("names")).alias("beside"))
+
+
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text (content blocks in page order, joined by a line break; empty if none), n_chars.
 
@@ -280,9 +353,16 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # Spark cuts each task's rows of a host to the limit before it deals them by host.
     pages = base.where("html is not null").select("host", order.alias("o")).distinct()
     place = F.row_number().over(Window.partitionBy("host").orderBy("o"))
-    chosen = pages.withColumn("place", place).where(F.col("place") <= SAMPLE).select("host", "o")
-    sample = base.withColumn("o", order).join(sized(chosen), ["host", "o"], "left_semi").select("host", "html")
-    fitted = sized(sample.repartition("host").sortWithinPartitions("host").mapInArrow(_templates, "host string, places array<string>, texts array<string>"))
-    made = base.join(fitted, "host", "left").select("id", "url", "html", "places", "texts")
+    chosen = pages.withColumn("place", place).where(F.col("place") <= CENTRES)
+    enough = chosen.groupBy("host").agg(F.max("place").alias("most")).where(F.col("most") >= LEAST_PAGES)
+    chosen = chosen.join(enough, "host", "left_semi").select("host", "o")
+    few = base.where("html is not null").withColumn("o", order).join(sized(chosen), ["host", "o"], "left_semi").select("host", "o", "html")
+    central = sized(few.repartition("host").sortWithinPartitions("host", "o").select("host", "html").mapInArrow(_central, "host string, central string"))
+    shape = "host string, place string, names string, text long, n long, chars long"
+    counts = base.where("html is not null").select("host", "html").join(central, "host").mapInArrow(_counts, shape)
+    counts = written(counts.groupBy("host", "place", "names", "text").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")))
+    template, beside = _templates(counts)
+    fitted = sized(central.join(template, "host", "left").join(beside, "host", "left"))
+    made = base.join(fitted, "host", "left").select("id", "url", "html", "central", "places", "texts", "beside")
     out = made.mapInArrow(_extract, f"id {dict(base.dtypes)['id']}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long")).withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
