@@ -431,6 +431,24 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_every_context(spark):
+    """A key counts by its most telling occurrence, and values of names whatever their length, digits and signs."""
+    token = "2c3a4249d77070058649dbd822dcaf7957586fce"
+    texts = [
+        f"commit {token} then token = \"{token}\"", "x password=hunter2x y hunter2x", "x api_key=QwErTyUiOpAsDfGh y", "x password: p@ss.w0rd, y", "the password: required here",
+        f"commit {token}9 then token={token}", "db2_password=hunter2x",
+    ]
+    docs = table(spark, texts)
+    found = {(r["doc_id"], r["value"]): r for r in secrets.find_secrets(docs).collect()}
+    assert {k for k, r in found.items() if r["is_secret"]} == {
+        (0, token), (1, "hunter2x"), (2, "QwErTyUiOpAsDfGh"), (3, "p@ss.w0rd"), (5, token), (6, "hunter2x"),
+    }
+    assert (found[0, token]["position"], found[0, token]["occurrences"]) == (8, 2) and found[5, token]["position"] == texts[5].index(f"={token}") + 2
+    clean = {r["doc_id"]: r["text"] for r in secrets.without_secrets(docs).collect()}
+    m = secrets.MASK
+    assert clean[0] == f'commit {m} then token = "{m}"' and clean[1] == f"x password={m} y {m}" and clean[3] == f"x password: {m}, y" and clean[4] == texts[4]
+
+
 def test_forest_as_sql_is_the_model(spark):
     """The expression votes like the trees that Spark trained."""
     from pyspark.ml.classification import RandomForestClassifier
