@@ -185,6 +185,15 @@ def test_license_expressions(text, sets):
     assert licenses.choices(text) == [frozenset(s) for s in sets]
 
 
+def test_license_expression_of_many_choices():
+    ac = licenses.automaton()
+    for n in (2, 7, 40):
+        text = "SPDX-License-Identifier: " + " AND ".join(["(MIT OR GPL-3.0-only)"] * (n - 1) + ["(GPL-2.0-only OR ISC)"])
+        assert licenses.scan(text.encode(), ac)[5:7] == ("gpl-2,gpl-3,isc,mit", True)
+        distinct = "SPDX-License-Identifier: " + " AND ".join(["(MIT OR GPL-3.0-only)", *(f"(X{k} OR ISC)" for k in range(n))])
+        assert licenses.scan(distinct.encode(), ac)[6] is True and licenses.scan(f"{distinct} AND GPL-2.0-only".encode(), ac)[6] is False
+
+
 def test_urls(spark):
     urls = [
         "https://a.com/x", "http://EXAMPLE.com/en/1?q#f", "http://www.example.com/en/", "http://example.com/fr/", "http://x.net/es/a", "http://net/fr/", "http://x.net/de/",

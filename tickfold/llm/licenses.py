@@ -37,8 +37,6 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "cc0", "unlicense", "zlib"}
-#: Sets of licenses that one expression may stand for; beyond it, the expression's licenses count together.
-MOST_CHOICES = 64
 _TAG_LINE = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+|\S")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
@@ -85,7 +83,8 @@ def postfix(expression: str) -> list[str]:
 
 
 def choices(expression: str) -> list[frozenset[str]]:
-    """The sets of labels one of which the expression asks for; none if it names no license."""
+    """The sets of labels one of which the expression asks for; none if it names no license. Their number doubles
+    with each ``or`` that ``and`` joins; ``judged`` needs none of them."""
     stack: list[list[frozenset[str]]] = []
     for token in postfix(expression):
         if token not in _PRIORITY:
@@ -97,11 +96,27 @@ def choices(expression: str) -> list[frozenset[str]]:
         elif token == "and":
             made = [a | b for a in left for b in right]
         else:
-            made = [frozenset(f"{x}-with-{min(r)}" for x in a) for a in left for r in right]
-        stack.append(made if len(made) <= MOST_CHOICES else [frozenset().union(*made)])
+            made = [frozenset(f"{x}-with-{y}" for x in a for y in r) for a in left for r in right]
+        stack.append(made)
     return stack[0] if stack else []
 
 
+def judged(expression: str) -> tuple[frozenset[str], bool] | None:
+    """(all labels of the expression, whether it leaves a choice of permissive licenses only)."""
+    stack: list[tuple[frozenset[str], bool]] = []
+    for token in postfix(expression):
+        if token not in _PRIORITY:
+            label = label_of(token)
+            stack.append((frozenset([label]), label.split("-with-")[0] in PERMISSIVE))
+            continue
+        (right, also), (left, free) = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append((frozenset(f"{x}-with-{y}" for x in left for y in right), free))
+        else:
+            stack.append((left | right, free or also if token == "or" else free and also))
+    return stack[0] if stack else None
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase in {*BASE, *NOTICES, TAG}:
@@ -114,27 +129,27 @@ def scan(text: bytes | None, ac: ahocorasick.Automaton) -> tuple:
     """(words, base places, first, last, base labels, all labels, permissive, score) of one text."""
     parts = text.translate(WORD_BYTES).split() if text else []
     line = f" {b' '.join(parts).decode('latin-1')} "
-    starts, base, labels, sets = [], set(), set(), []
+    starts, base, labels, free = [], set(), set(), []
     tagged, weak = False, 1.0
     for end, (phrase, back) in ac.iter(line) if parts else ():
         if phrase in BASE:
             starts.append(line.count(" ", 0, end - back))
             base.add(BASE[phrase])
-            sets.append([frozenset([BASE[phrase]])])
+            free.append(BASE[phrase] in PERMISSIVE)
         elif phrase == TAG:
             tagged = True
         else:
             labels.add(NOTICES[phrase][0])
-            sets.append([frozenset([NOTICES[phrase][0]])])
+            free.append(NOTICES[phrase][0] in PERMISSIVE)
             weak *= 0.4
     if tagged:
         for m in _TAG_LINE.finditer(text):
-            if found := choices(m[1].decode("utf-8", "replace")):
-                labels |= frozenset().union(*found)
-                sets.append(found)
+            if found := judged(m[1].decode("utf-8", "replace")):
+                labels |= found[0]
+                free.append(found[1])
                 weak *= 0.05
     labels |= base
-    permissive = all(any(all(x.split("-with-")[0] in PERMISSIVE for x in s) for s in one) for one in sets) if sets else None
+    permissive = all(free) if free else None
     score = 1 - weak * 0.1 ** len(starts)
     return len(parts), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), permissive, score
 
