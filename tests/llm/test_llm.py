@@ -82,12 +82,58 @@ def test_no_link_needs_the_rounds(spark, rounds):
     assert rows(rounds) == rows(2)
 
 
+def test_long_lists_and_hot_ngrams(spark, monkeypatch):
+    """Lists in parts and n-grams that aren't counted give the same components."""
+    docs = table(spark, corpus(4))
+    rows = lambda: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nj.ngram_components(docs).collect())
+    want = rows()
+    for name, value in (("LIST", 5), ("HOT_IN_BLOCK", 4), ("HOT_IN_ALL", 6), ("HOT_SHARE", 10**9), ("HELD_ROWS", 7)):
+        monkeypatch.setattr(nj, name, value)
+    assert rows() == want
+
+
+@pytest.mark.parametrize("part", [8_192, 4])
+def test_ngram_links(spark, monkeypatch, part):
+    monkeypatch.setattr(nj, "LIST", part)
+    texts = corpus(6)
+    sets = [frozenset(shingles(t)) for t in texts]
+    links, members = nj.ngram_links(table(spark, texts))
+    class_of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    by_set = {s: class_of[i] for i, s in enumerate(sets) if s}
+    assert all(class_of[i] == (by_set[s] if s else None) for i, s in enumerate(sets))
+    want = {(*sorted((by_set[a], by_set[b])), len(a & b)) for a, b in combinations(by_set, 2) if 100 * len(a & b) >= 75 * len(a | b)}
+    assert {(r["class_a"], r["class_b"], r["overlap"]) for r in links.collect()} == want
+    count = {i: sum(class_of[i] in w[:2] for w in want) for i in class_of}
+    assert {r["doc_id"]: r["n_links"] for r in members.collect()} == count
+    assert [d.count() for d in nj.ngram_links(table(spark, []))] == [0, 0]
+
+
+def test_pairs_grow_with_the_group(spark):
+    """Of near copies that mostly aren't linked with each other, few pairs are made, from however many lists."""
+    rng = random.Random(5)
+
+    def pairs(m):
+        base, texts = sentence(rng, 200, 10**6).split(), []
+        for _ in range(m):
+            copy = list(base)
+            for k in rng.sample(range(200), rng.randrange(14)):
+                copy[k] = sentence(rng, 1, 10**6)
+            texts.append(" ".join(copy))
+        join = nj._Join(table(spark, texts), "doc_id", "text", 5, 75, 4)
+        dealt = nj._dealt(join.prefix.withColumn("comp", F.col("key")), None, 4, False)
+        return dealt.mapInArrow(nj._candidates(75, 0), "a long, b long").count()
+
+    assert pairs(600) < 3 * pairs(300)
+
+
 def test_ngram_join_edges(spark):
     assert nj.ngram_components(table(spark, [])).count() == 0
     docs = table(spark, ["one two three four five six"] * 4 + [None, ""], [7, 7, None, 3, 8, 9])
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in nj.ngram_components(docs).collect())
     assert got == [(False, 3, 3), (False, 7, 3), (False, 7, 3), (False, 8, 8), (False, 9, 9), (True, 0, 3)]
     kept = nj.one_of_each(table(spark, ["a b c d e f"] * 3 + ["z", None], [4, 4, 5, 6, 7]))
+    clash = table(spark, ["a b c d e f"] * 2).withColumns({"key": F.lit(1), "n": F.lit("x"), "comp": F.lit(2), "component_id": F.lit(3)})
+    assert [r["component_id"] for r in nj.ngram_components(clash).collect()] == [0, 0] and nj.one_of_each(clash).columns == clash.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 6, 7] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
