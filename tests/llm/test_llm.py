@@ -325,6 +325,7 @@ def test_packing(spark):
     rng = random.Random(7)
     texts = [sentence(rng, rng.randrange(0, 1500)) for _ in range(60)]
     texts += ["", None, "x", " two  spaces ", "a\n\n b \t c", "don't stop  ", "日本語 テキスト é", "a" * 3000, texts[0], "tail ", "   ", "\n \n", "1 2 3,4;  5"]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b <|endoftext", "x" * 50_000, " " * 5_000, "é" * 3_000]
     df = packing.pack_documents(table(spark, texts), size=256)
     rows = packing.with_checksums(df).collect()
     ids = {(r["doc_id"], r["start"]): r["ids"] for r in df.collect()}
@@ -345,6 +346,9 @@ def test_packing(spark):
             at += n
         assert at <= 256
     assert packing.pack_documents(table(spark, [])).count() == 0
+    clash = table(spark, texts[:3] * 2, [1, 1, None, None, 2, 2]).withColumns({k: F.lit("x") for k in ("id", "ids", "start", "length", "offset")})
+    again = packing.pack_documents(clash, size=256)
+    assert again.columns == df.columns and again.agg(F.sum("length")).first()[0] == sum(2 * (len(plain.encode(t).ids) + 1) for t in texts[:3])
 
 
 def test_best_fit_is_tightest():
@@ -446,26 +450,64 @@ def test_toxicity(spark):
     assert got[900]["predicted"] == got[901]["predicted"] == 0 and got[902]["predicted"] == 1
     assert got[903]["score"] == got[0]["score"] and got[0]["evidence"]
     assert all(r["score"] == 0.5 for r in toxicity.score_toxicity(docs, known.limit(0)).collect())
-    kept = toxicity.score_toxicity(docs.withColumn("score", F.lit("x")), known, keep=True)
-    assert set(docs.columns) < set(kept.columns) and kept.count() == docs.count()
+    assert toxicity.score_toxicity(docs.limit(0), known).count() == 0
+    clash = docs.withColumns({c: F.lit("mine") for c in ("score", "predicted", "evidence", "id", "held_out")})
+    kept = toxicity.without_toxic(clash, known).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, r in got.items() if not r["predicted"]) and all(r["score"] == r["id"] == "mine" for r in kept)
+    by_text = toxicity.score_toxicity(docs.limit(20).withColumn("doc_id", F.format_string("d%d", "doc_id")), known.withColumn("doc_id", F.format_string("d%d", "doc_id")))
+    assert all(isinstance(x, str) for r in by_text.collect() for x in r["evidence"])
+
+
+def test_toxicity_is_the_nearest_labelled_rows(spark):
+    """Scores, evidence and cosines against dense vectors of all words, and no label of the held-out fold matters."""
+    rows = toxic_rows(240)
+    docs = table(spark, [t for t, _ in rows] + [None, "", "vile zzz"])
+    known = [(i, y) for i, (_, y) in enumerate(rows)]
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels(spark, known, "toxic")).collect()}
+    all_texts = [t for t, _ in rows] + [None, "", "vile zzz"]
+    counts = [toxicity.terms_of((t or "").encode()) for t in all_texts]
+    train = [i for i, _ in known if zlib.crc32(str(i).encode()) % 3 != 1]
+    size = [sum(rows[i][1] == y for i in train) for y in (0, 1)]
+    factors = {}
+    for t in set().union(*counts):
+        n = [sum(t in counts[i] for i in train if rows[i][1] == y) for y in (0, 1)]
+        cells = [(n[y], sum(n) * size[y] / len(train)) for y in (0, 1)] + [(size[y] - n[y], (len(train) - sum(n)) * size[y] / len(train)) for y in (0, 1)]
+        x = 2 * sum(o * np.log(o / e) for o, e in cells if o) - toxicity.CHANCE
+        if sum(n) >= 2 and x > 0:
+            factors[t] = (np.log((1 + len(counts)) / (1 + sum(t in c for c in counts))) + 1) * x / (x + toxicity.SHRINK)
+    terms, factor = list(factors), np.array(list(factors.values()))
+    dense = np.array([[(1 + np.log(c[t])) * f if t in c else 0.0 for t, f in zip(terms, factor)] for c in counts])
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    share = (size[1] + 0.5) / (len(train) + 1)
+    for i in range(len(all_texts)):
+        cos = {j: float(dense[i] @ dense[j]) for j in train}
+        near = sorted((c for c in cos.values() if c > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose(got[i]["cosines"], near) and np.allclose([cos[j] for j in got[i]["evidence"]], near)
+        vote = np.array(got[i]["cosines"]) / (1.05 - np.minimum(got[i]["cosines"], 1))
+        want = (vote @ [rows[j][1] for j in got[i]["evidence"]] + toxicity.PRIOR_VOTES * share) / (vote.sum() + toxicity.PRIOR_VOTES)
+        assert np.isclose(got[i]["score"], want)
+    flip = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in known]
+    again = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels(spark, flip, "toxic")).collect()}
+    assert again == {i: r["score"] for i, r in got.items()}
 
 
 def test_block_max_is_exact():
     rng = np.random.default_rng(11)
-    idf, rows = rng.random(40) + 1, []
+    factor, rows = rng.random(40) + 1, []
     for i in range(500):
-        terms = rng.choice(40, rng.integers(1, 6), replace=False)
-        rows.append((i, int(rng.random() < 0.3), terms.tolist(), rng.integers(1, 5, len(terms)).tolist()))
-    index = toxicity.Index.build(rows, idf, {0: 1.0, 1: 1.0}, 0.1)
-    dense = np.zeros((500, 40))
-    at = {i: k for k, i in enumerate(index.ids.tolist())}
+        terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
+        rows.append((i, int(rng.random() < 0.3), terms, rng.integers(1, 5, len(terms))))
+    rows.append((500, 0, np.empty(0, int), np.empty(0, int)))
+    index = toxicity.Index.build(rows, factor, 0.1)
+    dense = np.zeros((501, 40))
+    at = {i: k for k, i in enumerate(index.ids)}
     for i, _, t, c in rows:
-        dense[at[i], t] = toxicity.weigh(np.array(t), np.array(c), idf)
+        dense[at[i], t] = toxicity.weigh(t, c, factor)
     for _ in range(60):
         t = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
-        v = toxicity.weigh(t, rng.integers(1, 4, len(t)), idf)
+        v = toxicity.weigh(t, rng.integers(1, 4, len(t)), factor)
         want = dense[:, t] @ v
-        order = np.lexsort((np.arange(500), -np.round(want, 12)))[:15]
+        order = np.lexsort((np.arange(501), -np.round(want, 12)))[:15]
         best, near = index.nearest(t, v, 15)
         assert np.allclose(near, want[order][want[order] > 0]) and best.tolist() == [i for i in order if want[i] > 0]
 

@@ -1,9 +1,13 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are words and word starts. Their association with the label is tested on the labelled rows, the
-strongest make the vocabulary, and their document frequencies are counted over all documents. Examples
-become unit vectors in an inverted index; its blocks of examples keep each term's largest weight, so a
-block whose bound is below the k-th best similarity so far is never scored, and the neighbours are exact.
+Terms are all words and word starts that two or more of the labelled rows have. A term's weight in a text is
+(1 + log count) times its inverse document frequency over all documents, times its relevance: how far the
+likelihood ratio g of term and label is beyond chance, x / (x + SHRINK) of x = g - CHANCE, and 0 below. So words
+of the topic count for little. All labelled rows become unit vectors in an inverted index. Its blocks of
+examples keep each term's largest weight; blocks are scored from the highest bound down, until the bound is
+below the k-th best cosine so far, so the neighbours are exact. Their votes weigh by distance.
+
+CHANCE, SHRINK, NEIGHBOURS and PRIOR_VOTES were chosen by cross-validation within the learned rows.
 """
 
 from __future__ import annotations
@@ -11,23 +15,22 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, remainder, texts, utf8
-
-#: Labelled rows to learn from at most: the first by a hash of the id. It bounds what is broadcast.
-MOST_LABELLED = 16_384
-#: Examples of the index at most, the first of the labelled rows of each class that have a term.
-MOST_EXAMPLES = 4_096
-#: Terms at most, the least chi-square of a term, how many times as likely it must be with one label as with the
-#: other, and the bytes of a word start.
-MOST_TERMS, LEAST_CHI2, LEAST_LIFT, START = 1_024, 36.0, 30.0, 4
-#: Neighbours that vote, examples of a block, and the prior's weight in votes.
-NEIGHBOURS, BLOCK, PRIOR_VOTES = 15, 64, 0.35
+from .common import WORD_BYTES, remainder, texts, utf8, written
+
+#: Labelled rows to learn from at most: the first by a hash of the id. It bounds the index, which is broadcast.
+MOST_LABELLED = 8_192
+#: Characters of a word start, and labelled rows that must have a term.
+START, LEAST_ROWS = 4, 2
+#: The likelihood ratio that chance gives a term, that beyond it which halves a weight, neighbours that vote, examples of
+#: a block, and the prior's weight in votes.
+CHANCE, SHRINK, NEIGHBOURS, BLOCK, PRIOR_VOTES = 2.0, 10.0, 15, 128, 0.1
 #: Rows of one step, terms that are counted before their counts go on, and scores that are kept.
 STEP, KEPT_TERMS, KEPT_SCORES = 500, 100_000, 4_000
 
@@ -36,9 +39,23 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def terms_of(words: set[bytes]) -> set[bytes]:
-    """Distinct words, and the starts of longer words with a ``*``."""
-    return words | {w[:START] + b"*" for w in words if len(w) > START}
+def start_of(word: bytes) -> bytes | None:
+    """The first characters of a longer word, with a ``*``, which no word has."""
+    if len(word) <= START:
+        return None
+    if word.isascii():
+        return word[:START] + b"*"
+    short = word.decode("utf-8", "replace")
+    return short[:START].encode() + b"*" if len(short) > START else None
+
+
+def terms_of(text: bytes | None) -> Counter:
+    """Counts of a text's words and word starts."""
+    found = Counter(words_of(text))
+    for word, count in [*found.items()]:
+        if start := start_of(word):
+            found[start] += count
+    return found
 
 
 def _partial(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -54,194 +71,253 @@ def _associations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
-            counts[label].update(terms_of(set(words_of(text))))
+            counts[label].update(terms_of(text).keys())
             if len(counts[0]) + len(counts[1]) > KEPT_TERMS:
                 yield _partial(counts)
     yield _partial(counts)
 
 
-def _term_counts(batch: pa.RecordBatch, index: dict[bytes, int], column: str = "text") -> Iterator[dict[int, int]]:
-    for text in utf8(batch, column):
-        found: dict[int, int] = {}
-        for w in words_of(text):
-            if (i := index.get(w)) is not None:
-                found[i] = found.get(i, 0) + 1
-            if len(w) > START and (i := index.get(w[:START] + b"*")) is not None:
-                found[i] = found.get(i, 0) + 1
-        yield found
+class Vocabulary(dict):
+    """Numbers of terms; as a dict, the numbers of recent words and their starts."""
+
+    def __init__(self, terms: list[bytes]):
+        super().__init__()
+        self.terms = terms
+        self.number = {t: i for i, t in enumerate(terms)}
+
+    def __reduce__(self):
+        return Vocabulary, (self.terms,)
 
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= KEPT_TERMS:
+            self.clear()
+        found = self[word] = tuple(self.number[t] for t in (word, start_of(word)) if t in self.number)
+        return found
 
-def _frequencies(index: dict[bytes, int]):
+    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending numbers of a text's known terms, and their counts."""
+        return np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int32), return_counts=True)
+
+
+def _frequencies(words: Vocabulary):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
+        df, rows = np.zeros(len(words.terms), np.int64), 0
         for batch in batches:
-            for found in _term_counts(batch, index):
-                df.update(found.keys())
-                df[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.int32()), pa.array(df.values(), pa.int64())], ["term", "df"])
+            for text in utf8(batch, "text"):
+                df[words.counts(text)[0]] += 1
+                rows += 1
+        here = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*here.tolist(), -1], pa.int32()), pa.array([*df[here].tolist(), rows], pa.int64())], ["term", "df"])
 
     return kernel
 
 
-def _vectors(index: dict[bytes, int]):
+def _vectors(words: Vocabulary):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_term_counts(batch, index))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
-                [*batch.schema.names[:-1], "terms", "counts"],
-            )
+            found = [words.counts(t) for t in utf8(batch, "text")]
+            arrays = [pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "terms", "counts"])
 
     return kernel
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo..hi - 1 one after the other, and the length of each."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n), n
+
+
 @dataclass
 class Index:
-    """Unit vectors of examples by term, with the largest weight of each term in each block of examples."""
+    """Unit vectors of examples. Postings are ordered by term and block; cells, of a term and a block that has
+    it, hold where their postings start and the largest weight."""
 
-    idf: np.ndarray
-    ids: np.ndarray
+    factor: np.ndarray  # of each term: inverse document frequency times relevance
+    ids: list
     labels: np.ndarray
-    votes: np.ndarray  # how many labelled rows an example stands for
-    first: np.ndarray  # of each (block, term)'s postings
+    cells: np.ndarray  # the first cell of each term
+    block: np.ndarray  # of each cell
+    largest: np.ndarray
+    first: np.ndarray  # the first posting of each cell
     posting: np.ndarray
     weight: np.ndarray
-    largest: np.ndarray  # blocks x terms
-    base: float  # share of label 1 where no term occurs
+    peak: np.ndarray  # the largest weight of each term
+    row: np.ndarray  # where an example's own terms start
+    row_term: np.ndarray
+    row_weight: np.ndarray
+    of_row: np.ndarray  # the block of each example
+    base: float  # share of label 1
 
     @classmethod
-    def build(cls, rows: list[tuple], idf: np.ndarray, votes: dict[int, float], base: float) -> Index:
-        """rows: (id, label, terms, counts) with at least one term each."""
-        n, t = len(rows), len(idf)
-        blocks = max(1, -(-n // BLOCK))
+    def build(cls, rows: list[tuple], factor: np.ndarray, base: float) -> Index:
+        """rows: (id, label, terms, counts), with ascending terms."""
         # Similar examples in one block keep its bounds low.
-        rows = sorted(rows, key=lambda r: (r[1], max(zip(r[2], r[3]), key=lambda x: (x[1] * idf[x[0]], x[0]))[0], r[0] is None, r[0] or 0))
-        owner, term, weight = [], [], []
-        for i, r in enumerate(rows):
-            v = weigh(np.array(r[2]), np.array(r[3]), idf)
-            owner.append(np.full(len(v), i))
-            term.append(np.array(r[2]))
-            weight.append(v)
-        owner, term, weight = (np.concatenate(x) if n else np.empty(0, k) for x, k in ((owner, int), (term, int), (weight, float)))
-        cell = owner // BLOCK * t + term
-        order = np.argsort(cell, kind="stable")
-        cell, owner, weight = cell[order], owner[order], weight[order]
-        first = np.searchsorted(cell, np.arange(blocks * t + 1))
-        largest = np.zeros(blocks * t)
-        np.maximum.at(largest, cell, weight)
-        labels = np.array([r[1] for r in rows], int)
-        return cls(idf, np.array([r[0] if r[0] is not None else -1 for r in rows], np.int64), labels, np.array([votes[x] for x in labels]), first, owner, weight, largest.reshape(blocks, t), base)
+        top = lambda t, c: int(t[np.argmax(weigh(t, c, factor))]) if len(t) else -1
+        rows = sorted(rows, key=lambda r: (r[1], top(r[2], r[3]), str(r[0])))
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
+        term = np.concatenate([np.empty(0, np.int32), *(r[2] for r in rows)])
+        weight = np.concatenate([np.empty(0), *(weigh(r[2], r[3], factor) for r in rows)])
+        return cls.of_postings([r[0] for r in rows], np.array([r[1] for r in rows], int), factor, owner, term, weight, base)
+
+    @classmethod
+    def of_postings(cls, ids: list, labels: np.ndarray, factor: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, base: float) -> Index:
+        order = np.lexsort((owner, term))
+        owner, term, weight = owner[order], term[order], weight[order]
+        new = np.concatenate((np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (owner[1:] // BLOCK != owner[:-1] // BLOCK)))
+        first = np.flatnonzero(new)
+        largest = np.maximum.reduceat(weight, first) if len(first) else weight
+        cells = np.searchsorted(term[first], np.arange(len(factor) + 1))
+        peak = np.zeros(len(factor))
+        np.maximum.at(peak, term, weight)
+        by = np.argsort(owner, kind="stable")
+        row = np.searchsorted(owner[by], np.arange(len(ids) + 1))
+        of_row = np.arange(len(ids)) // BLOCK
+        return cls(factor, ids, labels, cells, owner[first] // BLOCK, largest, np.append(first, len(term)), owner.astype(np.int32), weight, peak, row, term[by], weight[by], of_row, base)
+
+    def cosines(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        at, n = _ranges(self.row[rows], self.row[rows + 1])
+        return np.bincount(np.repeat(np.arange(len(rows)), n), self.row_weight[at] * query[self.row_term[at]], len(rows))
 
     def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k examples of the highest cosine above 0 and their cosines; of equal ones, the first."""
-        bound = self.largest[:, term] @ value
+        """Up to k examples of the highest cosine above 0 and their cosines; of equal ones, the first.
+
+        The block of the highest bound gives a first k-th best. Terms that can't reach it together aren't looked up:
+        examples that have others, and whose block's largest weights of these could reach it, are compared as a whole.
+        """
+        query, size = np.zeros(len(self.factor)), len(self.ids)
+        query[term] = value
         best, near = np.empty(0, np.int64), np.empty(0)
-        t = self.largest.shape[1]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(near) == k and bound[b] < near[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for j, v in zip(term.tolist(), value.tolist()):
-                lo, hi = self.first[b * t + j], self.first[b * t + j + 1]
-                if hi > lo:
-                    score[self.posting[lo:hi] - b * BLOCK] += self.weight[lo:hi] * v
-            hit = np.flatnonzero(score > 0)
-            best, near = np.append(best, hit + b * BLOCK), np.append(near, score[hit])
+
+        def compare(rows: np.ndarray) -> float:
+            nonlocal best, near
+            score = self.cosines(rows, query)
+            best, near = np.append(best, rows[score > 0]), np.append(near, score[score > 0])
             order = np.lexsort((best, -np.round(near, 12)))[:k]
             best, near = best[order], near[order]
+            return near[-1] - 1e-9 if len(near) == k else 0.0
+
+        cell, n = _ranges(self.cells[term], self.cells[term + 1])
+        block, gain = self.block[cell], np.repeat(value, n) * self.largest[cell]
+        top = int(np.argmax(np.bincount(block, gain, -(-size // BLOCK))))
+        least = compare(np.arange(top * BLOCK, min(size, (top + 1) * BLOCK)))
+        peak = value * self.peak[term]
+        order = np.argsort(peak, kind="stable")
+        weak = np.empty(len(term), bool)
+        weak[order] = np.cumsum(peak[order]) < least
+        rest = np.bincount(block, gain * np.repeat(weak, n), -(-size // BLOCK))
+        strong = term[~weak]
+        post, m = _ranges(self.first[self.cells[strong]], self.first[self.cells[strong + 1]])
+        part = np.bincount(self.posting[post], self.weight[post] * np.repeat(value[~weak], m), size)
+        reach = np.where(part > 0, part + rest[self.of_row], -1.0)
+        reach[top * BLOCK : (top + 1) * BLOCK] = -1.0
+        todo = np.flatnonzero(reach >= max(least, 0.0))
+        todo = todo[np.argsort(-reach[todo], kind="stable")]
+        at, step = 0, 4 * k
+        while at < len(todo) and reach[todo[at]] >= least:  # the likeliest first
+            least, at, step = compare(todo[at : at + step]), at + step, 2 * step
         return best, near
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """(score, neighbours, cosines): votes weigh by distance, and a prior holds few or far ones back."""
-        if not terms or not len(self.ids):
+        if not len(term) or not len(self.ids):
             return self.base, np.empty(0, int), np.empty(0)
-        term, value = np.array(terms), weigh(np.array(terms), np.array(counts), self.idf)
-        order = np.argsort(term)  # sums in one order, so that equal texts score alike
-        best, near = self.nearest(term[order], value[order], NEIGHBOURS)
-        vote = self.votes[best] * near / (1.05 - np.minimum(near, 1.0))
-        scale = self.votes.mean()
-        score = (vote @ self.labels[best] + PRIOR_VOTES * scale * self.base) / (vote.sum() + PRIOR_VOTES * scale)
-        return float(score), best, near
+        best, near = self.nearest(term, weigh(term, count, self.factor), NEIGHBOURS)
+        vote = near / (1.05 - np.minimum(near, 1.0))
+        return float((vote @ self.labels[best] + PRIOR_VOTES * self.base) / (vote.sum() + PRIOR_VOTES)), best, near
+
+
+def weigh(term: np.ndarray, count: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    v = (1 + np.log(count)) * factor[term]
+    return v / np.sqrt(v @ v) if len(v) and v.any() else v
+
+
+def likelihood_ratio(rows0: float, rows1: float):
+    """g of a term's documents with label 0 and 1, columns n0 and n1, against rows0 and rows1 of all."""
+    n, rows = F.col("n0") + F.col("n1"), F.lit(rows0 + rows1)
 
+    def part(found, of, label: float):
+        expected = of * F.lit(label) / rows
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(0.0)
 
-def weigh(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = (1 + np.log(count)) * idf[term]
-    return v / np.sqrt(v @ v)
+    have = part(F.col("n0"), n, rows0) + part(F.col("n1"), n, rows1)
+    return 2 * (have + part(rows0 - F.col("n0"), rows - n, rows0) + part(rows1 - F.col("n1"), rows - n, rows1))
 
 
-def _scored(index: Index, words: dict[bytes, int], text_col: str, keep_text: bool):
+def _scored(index: Index, words: Vocabulary, text_col: str, below: float | None):
+    """below: the batches' rows with a lower score, as they are; None: their other columns, score and evidence."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, tuple] = {}
+        kept: dict[bytes, tuple] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
-                batch = whole.slice(at, STEP)
-                rows = []
-                for found in _term_counts(batch, words, text_col):
-                    key = tuple(sorted(found.items()))
+                batch, rows = whole.slice(at, STEP), []
+                for text in utf8(batch, text_col):
+                    term, count = words.counts(text)
+                    key = term.tobytes() + count.tobytes()
                     if key not in kept:
-                        if len(kept) > KEPT_SCORES:
+                        if len(kept) >= KEPT_SCORES:
                             kept.clear()
-                        score, best, near = index.score(list(found), list(found.values()))
-                        kept[key] = score, index.ids[best].tolist(), near.tolist()
+                        score, best, near = index.score(term, count)
+                        kept[key] = score, [index.ids[i] for i in best], near.tolist()
                     rows.append(kept[key])
-                keep = [i for i, n in enumerate(batch.schema.names) if keep_text or n != text_col]
+                if below is not None:
+                    yield batch.filter(pa.array([r[0] < below for r in rows], pa.bool_()))
+                    continue
+                kinds = pa.float64(), pa.list_(batch.schema.types[0]), pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in keep), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))))],
-                    [*(batch.schema.names[i] for i in keep), "score", "evidence", "cosines"],
+                    [*batch.columns[:-1], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
+                    [*batch.schema.names[:-1], "score", "evidence", "cosines"],
                 )
 
     return kernel
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1
-) -> tuple[Index, dict[bytes, int]]:
-    """The index and its vocabulary, from labels whose fold (crc32 of the id as text modulo folds) isn't ``held``."""
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = MOST_LABELLED
+) -> tuple[Index, Vocabulary]:
+    """The index and its vocabulary, from at most ``most`` labels whose fold (crc32 of the id as text modulo
+    folds) isn't ``held``. It is as large as these rows' texts; document frequencies are of all ``docs``."""
     base = texts(docs, id_col, text_col)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
-    known = known.where(remainder("id", folds) != held).orderBy(F.xxhash64("id"), "id", "label").limit(MOST_LABELLED)
-    train = base.join(F.broadcast(known), "id")
+    known = known.where(remainder("id", folds) != held).orderBy(F.xxhash64("id"), "id", "label").limit(most)
+    train = written(base.join(F.broadcast(known), "id").select("id", "label", "text"))
+    sizes = dict(train.groupBy("label").count().collect())
+    rows = [float(sizes.get(c, 0)) for c in (0, 1)]
+    share = (rows[1] + 0.5) / (sum(rows) + 1)
+    if not all(rows):
+        return Index.build([], np.empty(0), share), Vocabulary([])
     counted = train.select("label", "text").mapInArrow(_associations, "term binary, n0 long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
-    sizes = train.groupBy("label").count().collect()
-    n = {c: float(dict(sizes).get(c, 0)) for c in (0, 1)}
-    vocabulary: list[bytes] = []
-    if n[0] and n[1]:
-        a, b = F.col("n1"), F.col("n0")
-        c, d = n[1] - a, n[0] - b
-        chi2 = (n[0] + n[1]) * F.pow(a * d - b * c, 2) / (n[0] * n[1] * (a + b) * F.greatest(c + d, F.lit(0.5)))
-        lift = F.abs(F.log((a + 0.5) / (n[1] + 1) / ((b + 0.5) / (n[0] + 1))))
-        strong = counted.where(lift >= float(np.log(LEAST_LIFT))).select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
-        vocabulary = [bytes(r[0]) for r in strong.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect()]
-    words = {t: i for i, t in enumerate(vocabulary)}
+    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
+    beyond = counted.select("term", (likelihood_ratio(*rows) - CHANCE).alias("x")).where("x > 0")
+    found = sorted((bytes(t), x) for t, x in beyond.collect())  # of the labelled rows' texts, so bounded as they are
+    words = Vocabulary([t for t, _ in found])
     df = dict(base.select("text").mapInArrow(_frequencies(words), "term int, df long").groupBy("term").agg(F.sum("df")).collect())
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(words))])
-    vectors = train.select("id", "label", "text").mapInArrow(_vectors(words), f"id {dict(base.dtypes)['id']}, label int, terms array<int>, counts array<int>")
-    with_terms = vectors.where(F.size("terms") > 0)
-    found = {}
-    have = dict(with_terms.groupBy("label").count().collect()) if words else {}
-    for c in (0, 1):
-        some = with_terms.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(MOST_EXAMPLES // 2)
-        found[c] = [tuple(r) for r in some.collect()] if have.get(c) else []
-    votes = {c: have.get(c, 0) / max(1, len(found[c])) for c in (0, 1)}
-    silent = {c: n[c] - have.get(c, 0) for c in (0, 1)}
-    base_rate = (silent[1] + 0.5) / (silent[0] + silent[1] + 1)
-    return Index.build(found[0] + found[1], idf, votes, base_rate), words
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.7, keep: bool = False, **how) -> DataFrame:
+    x = np.array([x for _, x in found])
+    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(found))], float))) + 1
+    vectors = train.mapInArrow(_vectors(words), f"id {dict(base.dtypes)['id']}, label int, terms binary, counts binary")
+    examples = [(i, y, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, y, t, c in vectors.collect()]
+    return Index.build(examples, idf * x / (x + SHRINK), share), words
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.7, **how) -> DataFrame:
     """Per row of ``docs``: id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >=
     limit), evidence (ids of the voting examples) and cosines.
 
-    Null and empty texts and texts without a known term get the labelled share of such texts. Null labels
+    Null and empty texts and texts without a known term get the labelled rows' share of label 1. Null labels
     and labels without a document are ignored; repeated rows stay. Without labels of both classes there is
-    no vocabulary and every row gets that share. keep: all columns of ``docs`` stay, and score, predicted,
-    evidence and cosines are added in place of columns with these names; else others are not looked at.
+    no vocabulary and every row gets that share. Of equal cosines, the first in the index votes. A text is
+    read whole, however long. Other columns are not looked at; an empty table gives an empty one.
     """
     index, words = fit_toxicity(docs, labels, id_col, text_col, **how)
     fold = remainder(id_col, how.get("folds", 3)) == how.get("held", 1)
-    new = ["score", "predicted", "evidence", "cosines"]
-    base = docs.drop(*new) if keep else docs.select(id_col, fold.alias("held_out"), text_col)
-    shape = ", ".join(f"`{n}` {t}" for n, t in base.dtypes if keep or n != text_col)
-    scored = base.mapInArrow(_scored(index, words, text_col, keep), f"{shape}, score double, evidence array<bigint>, cosines array<double>")
-    return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))
+    base = docs.select(F.col(id_col).alias("id"), fold.alias("held_out"), F.col(text_col).alias("text"))
+    kind = dict(base.dtypes)["id"]
+    scored = base.mapInArrow(_scored(index, words, "text", None), f"id {kind}, held_out boolean, score double, evidence array<{kind}>, cosines array<double>")
+    return scored.withColumn("predicted", (F.col("score") >= limit).cast("int")).withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.7, **how) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``limit``; all columns stay, whatever their names."""
+    index, words = fit_toxicity(docs, labels, id_col, text_col, **how)
+    return docs.mapInArrow(_scored(index, words, text_col, limit), docs.schema)
