@@ -10,13 +10,12 @@ from tickfold.llm.decontaminate import without_contaminated
 from tickfold.llm.ngram_join import one_of_each
 from tickfold.llm.packing import pack_documents, with_checksums
 from tickfold.llm.secrets import without_secrets
-from tickfold.llm.toxicity import score_toxicity
+from tickfold.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled examples aren't toxic."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), keep=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
