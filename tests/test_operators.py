@@ -36,6 +36,58 @@ def test_constant_activity_bars(spark):
     assert n == [3, 4, 4, 1]
 
 
+def test_large_rows_leave_no_gaps(spark):
+    """One row that passes three thresholds; bars are numbered without gaps, so that spans and barriers count bars."""
+    ids = B.threshold_ids(ticks(spark, [1, 1, 30, 1, 1, 1, 1, 1, 1, 1]), "dollar", 10)
+    got = B.fold(ids)
+    assert sorted(r["bar_idx"] for r in got.collect()) != list(range(got.count()))
+    assert sorted(r["bar_idx"] for r in B.dense(got).collect()) == list(range(got.count()))
+
+
+def test_trend_scan_against_least_squares(spark):
+    rng = np.random.default_rng(3)
+    closes = np.exp(np.cumsum(rng.normal(0, 0.01, 60))).tolist()
+    got = {r["bar_idx"]: r for r in E.trend_scan(flat_bars(spark, closes), 5, 20).collect()}
+    y = np.log(closes)
+    for i in range(60):
+        best = None
+        for n in range(5, min(20, 60 - i) + 1):
+            x = np.column_stack([np.ones(n), np.arange(n)])
+            c, rest, _, _ = np.linalg.lstsq(x, y[i : i + n], rcond=None)
+            t = c[1] / np.sqrt(rest[0] / (n - 2) / (n * (n * n - 1) / 12))
+            if best is None or abs(t) > abs(best[0]):
+                best = (t, n, y[i + n - 1] - y[i])
+        assert (i in got) == (best is not None)
+        if best:
+            assert np.allclose([got[i]["t_val"], got[i]["ret"]], [best[0], best[2]]) and (got[i]["length"], got[i]["label"]) == (best[1], int(np.sign(best[0])))
+
+
+def test_kontoyiannis_reads_the_whole_word():
+    word, terms = "0110100110010110", []
+    for i in range(1, len(word)):
+        longest = max((n for n in range(1, len(word) - i + 1) for j in range(i - n + 1) if word[j : j + n] == word[i : i + n]), default=0)
+        terms.append(np.log2(i + 1) / (longest + 1))
+    assert np.isclose(kontoyiannis(word), np.mean(terms))
+
+
+def test_fresh_extremes_reach_the_limit_after_the_warmup(spark):
+    from tickfold.operators import features as X
+
+    bars = flat_bars(spark, [100.0 * 1.01 ** (i % 7) for i in range(40)])
+    z = {r["bar_idx"]: r["z"] for r in X.price_z(bars, 5).collect()}
+    for limit, warmup in ((abs(z[12]), 0), (abs(z[12]), 13), (0.7, 5)):
+        want = {i for i in z if i >= warmup and abs(z[i]) >= limit and abs(z.get(i - 1, 0.0)) < limit}
+        assert {r["bar_idx"] for r in X.fresh_extremes(bars, 5, limit, warmup).collect()} == want
+
+
+def test_gate_keeps_rows_of_keys_with_two_spans(spark):
+    rows = spark.createDataFrame([("a", t) for t in range(6)] + [("b", 3)], "k string, t int")
+    spans = spark.createDataFrame([("a", 1, 2), ("a", 4, None)], "k string, s int, e int")
+    got = P.interval_gate(rows, spans, ["k"], "t", "s", "e")
+    assert got.columns == ["k", "t", "valid"]
+    assert sorted(map(tuple, got.collect())) == [("a", 0, False), ("a", 1, True), ("a", 2, True), ("a", 3, False), ("a", 4, True), ("a", 5, True), ("b", 3, True)]
+
+
 def test_zero_activity_gives_no_bars(spark):
     assert B.threshold_ids(ticks(spark, [0] * 4), "dollar", 3).count() == 0
 

@@ -23,10 +23,10 @@ def lempel_ziv(word: str) -> float:
 
 
 def kontoyiannis(word: str) -> float:
-    """Mean over i of log2(i + 1) / (1 + longest match of what follows i within the i symbols before it)."""
+    """Mean over i = 1 .. n - 1 of log2(i + 1) / (1 + longest match of what follows i within the i symbols before it)."""
     n = len(word)
     terms = []
-    for i in range(1, n // 2 + 1):
+    for i in range(1, n):
         size = 0
         while size < i and i + size < n and word[i : i + size + 1] in word[:i]:
             size += 1

@@ -69,6 +69,12 @@ def fold(rows: DataFrame) -> DataFrame:
     )
 
 
+def dense(bars: DataFrame) -> DataFrame:
+    """Bars numbered 0, 1, .. in each symbol: a large row can pass several thresholds, which leaves gaps, and
+    barriers, spans and trends count bars."""
+    return bars.withColumn("bar_idx", F.row_number().over(by_symbol()).cast("bigint") - 1)
+
+
 def daily_close(ticks: DataFrame) -> DataFrame:
     """The last price of each UTC day."""
     return ticks.groupBy("symbol", F.floor(F.col("us") / DAY).alias("day")).agg(F.max_by("price", F.struct("us", "id")).alias("close"))

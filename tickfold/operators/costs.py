@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Half-spreads and their hour bands.
-FX_HALF_SPREAD_PIPS = {"EURUSD": 0.25, "USDJPY": 0.30, "GBPUSD": 0.40}
+FX_HALF_SPREAD_PIPS = {
+    "EURUSD": 0.10, "GBPUSD": 0.25, "USDJPY": 0.15, "USDCHF": 0.30, "USDCAD": 0.30, "AUDUSD": 0.20, "NZDUSD": 0.35, "EURGBP": 0.30,
+}
 FX_DEFAULT_PIPS = 0.40
 FX_HOUR_BANDS = ((7, 12, 1.3), (12, 16, 1.0), (16, 21, 1.6), (21, 23, 3.0))
 FX_OTHER_HOURS = 2.2
+EQUITY_HALF_SPREAD_BP = {"SPY": 0.5, "QQQ": 0.5, "IWM": 1.0, "XLK": 1.5, "XLF": 1.5, "XLE": 2.0, "XLV": 2.0, "UVXY": 12.0, "VXX": 8.0}
 EQUITY_DEFAULT_BP = 3.0
+BORROW_A_YEAR = {"SPY": 0.005, "QQQ": 0.005, "IWM": 0.007, "XLK": 0.005, "XLF": 0.005, "XLE": 0.005, "XLV": 0.005, "UVXY": 0.05, "VXX": 0.05}
+BORROW_DEFAULT = 0.01
 EQUITY_MINUTE_BANDS = ((570, 600, 2.5), (945, 960, 1.8))
 NIGHT_PIPS = 0.30
 
@@ -21,7 +26,7 @@ def weekday(ts: Column) -> Column:
 
 
 def fx_pip(pair: Column) -> Column:
-    return F.when(pair.endswith("JPY"), 0.01).otherwise(0.0001)
+    return F.when(F.upper(pair).endswith("JPY"), 0.01).otherwise(0.0001)
 
 
 def fx_open(ts: Column) -> Column:
@@ -50,22 +55,34 @@ def with_rollover(bars: DataFrame) -> DataFrame:
     return rows.withColumn("swap", F.when(F.col("rollover"), F.when(F.weekday("ts") == 2, 3.0).otherwise(1.0)).otherwise(0.0))
 
 
+def looked_up(key: Column, values: dict[str, float], default: float) -> Column:
+    """The value of a name, in any case of letters."""
+    out = F.lit(default)
+    for name, value in values.items():
+        out = F.when(F.upper(key) == name, value).otherwise(out)
+    return out
+
+
+def night_cost(pair: Column) -> Column:
+    """Cost of one night in price units, before the swap multiplier."""
+    return F.lit(NIGHT_PIPS) * fx_pip(pair)
+
+
 def fx_half_spread(pair: Column, ts: Column) -> Column:
-    """Half the spread as a fraction of a price of 1."""
-    base = F.lit(FX_DEFAULT_PIPS)
-    for name, pips in FX_HALF_SPREAD_PIPS.items():
-        base = F.when(pair == name, pips).otherwise(base)
+    """Half the spread in price units."""
+    base = looked_up(pair, FX_HALF_SPREAD_PIPS, FX_DEFAULT_PIPS)
     hour, band = F.hour(ts), F.lit(FX_OTHER_HOURS)
     for lo, hi, times in FX_HOUR_BANDS:
         band = F.when((hour >= lo) & (hour < hi), times).otherwise(band)
     return base * band * fx_pip(pair)
 
 
-def equity_half_spread_bp(ts_local: Column, base_bp: Column | None = None) -> Column:
+def equity_half_spread_bp(ts_local: Column, ticker: Column | None = None) -> Column:
+    """Half the spread in basis points; without a ticker, that of other tickers."""
     minute, band = F.hour(ts_local) * 60 + F.minute(ts_local), F.lit(1.0)
     for lo, hi, times in EQUITY_MINUTE_BANDS:
         band = F.when((minute >= lo) & (minute < hi), times).otherwise(band)
-    return (F.lit(EQUITY_DEFAULT_BP) if base_bp is None else base_bp) * band
+    return (F.lit(EQUITY_DEFAULT_BP) if ticker is None else looked_up(ticker, EQUITY_HALF_SPREAD_BP, EQUITY_DEFAULT_BP)) * band
 
 
 def equity_commission(price: Column) -> Column:
@@ -73,14 +90,15 @@ def equity_commission(price: Column) -> Column:
     return F.greatest(F.try_divide(F.lit(0.0035), price), F.lit(0.35 / 25000))
 
 
-def borrow_per_day(annual: Column) -> Column:
-    return annual / 365
+def borrow_per_day(ticker: Column) -> Column:
+    """A short position's cost of a calendar day as a fraction."""
+    return looked_up(ticker, BORROW_A_YEAR, BORROW_DEFAULT) / 365
 
 
-def per_side_cost(market: Column, price: Column, ts: Column, pair: Column, flat: float) -> Column:
-    """Cost of one side as a fraction: crypto ``flat``; FX half-spread; equity half-spread and commission."""
-    equity = equity_half_spread_bp(ts) * 1e-4 + equity_commission(price)
-    return F.when(market == "crypto", flat).when(market == "fx", fx_half_spread(pair, ts)).otherwise(equity)
+def per_side_cost(market: Column, price: Column, ts: Column, name: Column, flat: float) -> Column:
+    """Cost of one side as a fraction of the price: crypto ``flat``; FX half-spread; equity half-spread and commission."""
+    equity = equity_half_spread_bp(ts, name) * 1e-4 + equity_commission(price)
+    return F.when(market == "crypto", flat).when(market == "fx", F.try_divide(fx_half_spread(name, ts), price)).otherwise(equity)
 
 
 def discretised(size: Column, step: float) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,17 +72,39 @@ def horizon_label(bars: DataFrame, length: int) -> DataFrame:
 
 def trend_scan(bars: DataFrame, least: int, most: int, step: int = 1) -> DataFrame:
     """Of the windows from this bar with length least..most, the one of the largest |t| (the shortest of equal
-    ones): t_val, length, label. One pass of window aggregates; no bar is joined."""
-    at = by_symbol()
-    rows = bars.withColumns({"_y": F.log("close"), "_x": F.col("bar_idx").cast("double")})
-    tried = [
-        F.struct(F.abs(t).alias("size"), F.lit(-n).alias("minus_length"), t.alias("t"))
-        for n in range(least, most + 1, step)
-        for t in [slope_t(F.col("_y"), F.col("_x"), at.rowsBetween(0, n - 1), n)]
-    ]
-    best = F.array_max(F.filter(F.array(*tried), lambda s: s["size"].isNotNull()))
-    rows = rows.withColumn("_best", best).where("_best is not null")
-    return rows.select("symbol", "bar_idx", F.col("_best.t").alias("t_val"), (-F.col("_best.minus_length")).alias("length"), F.signum("_best.t").cast("int").alias("label"))
+    ones): t_val, length, label (its sign) and ret, the log return over it. x is the place in the window. One ordered
+    window gathers at most ``most`` closes; sums along them give all lengths at once."""
+    lengths = np.arange(least, most + 1, step)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                held = batch.column(2).to_pylist()
+                n = np.array([len(y) for y in held])
+                y = np.full((len(held), most), np.nan)
+                for i, own in enumerate(held):
+                    y[i, : len(own)] = own
+                d = y - y[:, :1]
+                x = np.arange(most, dtype=float)
+                sums = [np.cumsum(v, axis=1)[:, lengths - 1] for v in (d, d * d, d * x)]
+                mx, vx = (lengths - 1) / 2, (lengths * lengths - 1) / 12
+                my = sums[0] / lengths
+                cov, vy = sums[2] / lengths - my * mx, sums[1] / lengths - my * my
+                rest = vy - cov * cov / vx
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    t = cov / vx / np.sqrt(rest / vx / (lengths - 2))
+                t[~((n[:, None] >= lengths) & (rest > 1e-18))] = np.nan
+                some = np.flatnonzero(np.isfinite(t).any(axis=1))
+                best = np.nanargmax(np.abs(t[some]), axis=1)
+                own, size = t[some, best], lengths[best]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(pa.array(some)) for i in (0, 1)), pa.array(own), pa.array(size, pa.int32()), pa.array(np.sign(own), pa.int32()), pa.array(d[some, size - 1])],
+                    ["symbol", "bar_idx", "t_val", "length", "label", "ret"],
+                )
+
+    ahead = F.collect_list(F.log("close")).over(by_symbol().rowsBetween(0, most - 1))
+    return bars.select("symbol", "bar_idx", ahead.alias("y")).mapInArrow(kernel, "symbol string, bar_idx bigint, t_val double, length int, label int, ret double")
 
 
 def _swept(turns: DataFrame, bars: DataFrame, names: list[str]) -> DataFrame:

@@ -19,11 +19,14 @@ def price_z(bars: DataFrame, span: float) -> DataFrame:
     return rows.withColumn("z", F.when(F.col("_s") > 0, (F.col("_c") - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_c", "_m", "_s")
 
 
-def fresh_extremes(bars: DataFrame, span: float, limit: float) -> DataFrame:
-    """Bars whose |z| passes the limit while that of the bar before did not; side against the move."""
-    rows = price_z(bars, span)
-    before = F.coalesce(F.abs(F.lag("z").over(by_symbol())), F.lit(0.0))
-    return rows.withColumn("_b", before).where((F.abs("z") > limit) & (F.col("_b") <= limit)).withColumn("side", -F.signum("z").cast("int")).drop("_b")
+def fresh_extremes(bars: DataFrame, span: float, limit: float, warmup: int = 0) -> DataFrame:
+    """Bars whose |z| reaches the limit while that of the bar before did not; side against the move. A symbol's
+    first ``warmup`` bars are none."""
+    at = by_symbol()
+    before = F.coalesce(F.abs(F.lag("z").over(at)), F.lit(0.0))
+    rows = price_z(bars, span).withColumns({"_b": before, "_n": F.row_number().over(at)})
+    fresh = (F.abs("z") >= limit) & (F.col("_b") < limit) & (F.col("_n") > warmup)
+    return rows.where(fresh).withColumn("side", -F.signum("z").cast("int")).drop("_b", "_n")
 
 
 def event_features(bars: DataFrame, fast: float = 10, slow: float = 50, lags: tuple[int, ...] = (3, 6, 12)) -> DataFrame:

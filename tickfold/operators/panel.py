@@ -138,7 +138,9 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, available
 
 
 def interval_gate(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """valid: whether a row lies in its key's span (an open end counts as never); keys without a span are valid."""
-    out = rows.join(spans.select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b")), keys, "left")
-    inside = (F.col("_a").isNull() | (F.col(at) >= F.col("_a"))) & (F.col("_b").isNull() | (F.col(at) <= F.col("_b")))
-    return out.withColumn("valid", inside).drop("_a", "_b")
+    """valid: whether a row lies in one of its key's spans (an open end counts as never); keys without a span
+    are valid. Rows stay as many as they are: a key's spans are one array."""
+    own = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"))).alias("_spans"))
+    out, t = rows.join(own, keys, "left"), F.col(at)
+    inside = F.exists("_spans", lambda s: (s["a"].isNull() | (t >= s["a"])) & (s["b"].isNull() | (t <= s["b"])))
+    return out.withColumn("valid", F.col("_spans").isNull() | inside).drop("_spans")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import adf, adf_critical, fractional_weights
@@ -41,67 +42,110 @@ def cusum_events(bars: DataFrame, limit: float, strict: bool = True, column: str
     return along(bars.select("symbol", "bar_idx", column), ["bar_idx"], "symbol string, bar_idx bigint, side int", kernel)
 
 
+def with_state(rows: DataFrame, order: list[str], columns: list[str], start: Callable[[], Callable[..., int]]) -> DataFrame:
+    """``rows`` with bar_idx. Each symbol's rows stream through a task in order, and only the state is kept: ``start``
+    gives a symbol's step, which takes a row's ``columns`` and returns its bar."""
+    names = rows.columns
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, step = object(), None
+        for batch in batches:
+            at = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in columns or n == "symbol"}
+            ids = []
+            for own, *values in zip(at["symbol"], *(at[c] for c in columns)):
+                if own != symbol:
+                    symbol, step = own, start()
+                ids.append(step(*values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*names, "bar_idx"])
+
+    shape = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", bar_idx bigint"
+    return rows.repartition("symbol").sortWithinPartitions("symbol", *order).mapInArrow(kernel, shape)
+
+
+#: Weight of a closed bar in the running expectations, and the longest imbalance bar in expected sizes.
+ALPHA, LONGEST = 2 / 201, 50.0
+
+
+def _imbalance(warmup: int) -> Callable[..., int]:
+    bar, theta, size, mean = 0, 0.0, 0.0, None
+
+    def step(flow: float, weight: float, expected: float) -> int:
+        nonlocal bar, theta, size, mean
+        theta, size, own = theta + flow, size + weight, bar
+        if mean is None or bar < warmup:
+            close = size >= expected
+        else:
+            limit = expected * abs(mean)
+            close = limit > 0 and abs(theta) >= limit or size >= LONGEST * expected
+        if close and size > 0:
+            mean = theta / size if mean is None else ALPHA * (theta / size) + (1 - ALPHA) * mean
+            bar, theta, size = bar + 1, 0.0, 0.0
+        return own
+
+    return step
+
+
+def _runs(warmup: int) -> Callable[..., int]:
+    bar, buys, sells, size, mean, share = 0, 0.0, 0.0, 0.0, None, None
+
+    def step(flow: float, weight: float, expected: float) -> int:
+        nonlocal bar, buys, sells, size, mean, share
+        mean = expected if mean is None else mean
+        buys, sells, size, own = buys + (weight if flow > 0 else 0.0), sells + (weight if flow < 0 else 0.0), size + weight, bar
+        larger = 0.5 if share is None or bar < warmup else max(share, 1 - share)
+        if max(buys, sells) >= mean * larger and size > 0:
+            mean = ALPHA * size + (1 - ALPHA) * mean
+            share = buys / size if share is None else ALPHA * (buys / size) + (1 - ALPHA) * share
+            bar, buys, sells, size = bar + 1, 0.0, 0.0, 0.0
+        return own
+
+    return step
+
+
 def imbalance_ids(ticks: DataFrame, n_target: int, kind: str = "imbalance", weight: str | None = None) -> DataFrame:
     """``ticks`` with bar_idx of imbalance or run bars; the crossing row belongs to the bar it closes.
 
-    theta sums sign times weight (1, or the column); sign is the tick rule's. Until ``warmup`` bars, one closes
-    at the expected size T = n / n_target. Then an imbalance bar closes at |theta| >= T |E[b]| and a run bar at
-    max(buys, sells) >= T max(p, 1 - p) E[v], both at 50 T rows at the latest. E[b], p and E[v] follow closed
-    bars exponentially (2 / 201 a bar); of run bars, T does too.
+    Without ``weight``, each row weighs 1 and flows by the tick rule's sign; else it weighs that column, and flows
+    by its net taker side. The expected size is T = sum of weights / n_target. The first ``max(20, n_target // 20)``
+    imbalance bars close at size T; later ones where |sum of flows| >= T |E[flow / size]|, or at 50 T. A run bar closes
+    where the larger side's weight is T times its expected share, at first a half. Expectations follow closed bars
+    exponentially; T stays for imbalance bars and follows the size of run bars.
     """
-    alpha, warmup = 2 / 201, max(20, n_target // 20)
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        n = len(p)
-        change = np.sign(np.diff(p["price"].to_numpy(float), prepend=p["price"].iloc[0]))
-        sign = pd.Series(np.where(change == 0, np.nan, change)).ffill().fillna(1.0).to_numpy()
-        size = np.ones(n) if weight is None else p[weight].to_numpy(float)
-        flow = sign * size
-        expected = max(1.0, n / n_target)
-        mean_b, share, mean_v = abs(flow[: max(1, int(expected))].mean()), 0.5, size[: max(1, int(expected))].mean()
-        ids, bar, start = np.empty(n, np.int64), 0, 0
-        buys = sells = theta = 0.0
-        for i in range(n):
-            theta += flow[i]
-            buys += size[i] if sign[i] > 0 else 0.0
-            sells += size[i] if sign[i] < 0 else 0.0
-            ids[i], rows = bar, i + 1 - start
-            if bar < warmup:
-                close = rows >= expected
-            elif kind == "imbalance":
-                close = abs(theta) >= expected * abs(mean_b) or rows >= 50 * expected
-            else:
-                close = max(buys, sells) >= expected * max(share, 1 - share) * mean_v or rows >= 50 * expected
-            if close:
-                mean_b += alpha * (theta / rows - mean_b)
-                share += alpha * ((sign[start : i + 1] > 0).mean() - share)
-                mean_v += alpha * (size[start : i + 1].mean() - mean_v)
-                if kind == "run":
-                    expected += alpha * (rows - expected)
-                bar, start, buys, sells, theta = bar + 1, i + 1, 0.0, 0.0, 0.0
-        return p.assign(bar_idx=ids)
-
-    shape = ", ".join(f"`{n}` {t}" for n, t in ticks.dtypes) + ", bar_idx bigint"
-    return along(ticks, ["us", "id"], shape, kernel)
+    first = Window.partitionBy("symbol").orderBy("us", "id")
+    if weight is None:
+        change = F.signum(F.col("price") - F.lag("price").over(first))
+        rows = ticks.withColumns({"_c": change, "_w": F.lit(1.0)})
+        flow = F.coalesce(F.last(F.when(F.col("_c") != 0, F.col("_c")), True).over(first), F.lit(1.0))
+    else:
+        rows = ticks.withColumns({"_c": F.lit(0.0), "_w": F.col(weight).cast("double")})
+        flow = F.when(F.col("dollar") > 0, F.when(F.col("buy"), F.col("_w")).otherwise(-F.col("_w"))).otherwise(0.0)
+    total = rows.groupBy("symbol").agg((F.sum("_w") / n_target).alias("_t"))
+    least = 1.0 if weight is None else 1e-9
+    rows = rows.withColumn("_f", flow).join(total, "symbol").withColumn("_t", F.greatest("_t", F.lit(least)))
+    warmup, each = max(20, n_target // 20), _imbalance if kind == "imbalance" else _runs
+    return with_state(rows, ["us", "id"], ["_f", "_w", "_t"], lambda: each(warmup)).select(*ticks.columns, "bar_idx")
 
 
 def hybrid_ids(ticks: DataFrame, n_target: int, cap_us: int, column: str = "dollar") -> DataFrame:
     """``ticks`` with bar_idx: a row opens a new bar where the activity reaches total / n_target or ``cap_us``
     has gone by; both start again there."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        x, us = p[column].to_numpy(np.int64), p["us"].to_numpy(np.int64)
-        limit = x.sum()
-        ids, bar, total, since = np.empty(len(p), np.int64), 0, 0, us[0]
-        for i in range(len(p)):
-            total += int(x[i])
-            if i and (total * n_target >= limit or us[i] - since >= cap_us):
-                bar, total, since = bar + 1, 0, us[i]
-            ids[i] = bar
-        return p.assign(bar_idx=ids)
+    def start() -> Callable[..., int]:
+        bar, total, since = 0, 0, None
+
+        def step(us: int, activity: int, limit: int) -> int:
+            nonlocal bar, total, since
+            total += activity
+            if since is not None and (total * n_target >= limit or us - since >= cap_us):
+                bar, total, since = bar + 1, 0, us
+            since = us if since is None else since
+            return bar
+
+        return step
 
-    shape = ", ".join(f"`{n}` {t}" for n, t in ticks.dtypes) + ", bar_idx bigint"
-    return along(ticks, ["us", "id"], shape, kernel)
+    total = ticks.groupBy("symbol").agg(F.sum(column).cast("decimal(38,0)").alias("_t"))
+    rows = ticks.withColumn("_x", F.col(column).cast("bigint")).join(total, "symbol").withColumn("_t", F.col("_t").cast("bigint"))
+    return with_state(rows, ["us", "id"], ["us", "_x", "_t"], start).select(*ticks.columns, "bar_idx")
 
 
 def fractional_difference(bars: DataFrame, d: float, tau: float, column: str = "log_close") -> DataFrame:
@@ -136,9 +180,9 @@ def least_order(bars: DataFrame, tau: float = 1e-3, step: float = 0.05, column:
     return along(bars.select("symbol", "bar_idx", column), ["bar_idx"], "symbol string, d double, statistic double, memory double, n bigint", kernel)
 
 
-def explosiveness(bars: DataFrame, least: int = 60, most: int = 250, column: str = "log_close") -> DataFrame:
+def explosiveness(bars: DataFrame, least: int = 60, most: int | None = 250, column: str = "log_close") -> DataFrame:
     """sadf: for each bar the largest Dickey-Fuller statistic (constant, one lag) of the windows of least..most
-    rows that end there. Sums of products over starts make each window's regression from differences of sums."""
+    rows that end there, of any longer ones too where most is None. Sums of products over starts make each window's regression from differences of sums."""
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         y = p[column].to_numpy(float)
@@ -147,7 +191,7 @@ def explosiveness(bars: DataFrame, least: int = 60, most: int = 250, column: str
         run = np.concatenate([np.zeros((1, 4, 4)), np.cumsum(rows[:, :, None] * rows[:, None, :], axis=0)])
         out = np.full(len(y), np.nan)
         for end in range(least, len(y) + 1):
-            starts = np.arange(max(0, end - most), end - least + 1)
+            starts = np.arange(max(0, end - most) if most else 0, end - least + 1)
             m = run[end - 2] - run[starts]
             n = end - 2 - starts
             xtx, xty, yy = m[:, :3, :3], m[:, :3, 3], m[:, 3, 3]

@@ -24,14 +24,14 @@ def bulk_buy_fraction(bars: DataFrame, n: int = 50) -> DataFrame:
     return rows.withColumn("bvc", F.expr(normal.cdf("_z"))).drop("_d", "_z")
 
 
-def next_labels(bars: DataFrame, h: int, least: int = 20) -> DataFrame:
-    """up: whether the next return is above 0; large: whether its size exceeds the median size of the last
-    ``least`` and more returns; fwd_vol: sum of the sizes of the next h returns, null at the end."""
+def next_labels(bars: DataFrame, h: int, span: int = 12) -> DataFrame:
+    """up: whether the next return is above 0; large: whether its size exceeds the mean size of the last ``span``
+    returns (the first bar's counts as 0); fwd_vol: sum of the sizes of the next h returns; null where rows lack."""
     at = by_symbol()
-    rows = bars.withColumn("_r", F.log("close") - F.lag(F.log("close")).over(at))
-    past = at.rowsBetween(Window.unboundedPreceding, 0)
+    rows = bars.withColumn("_r", F.coalesce(F.log("close") - F.lag(F.log("close")).over(at), F.lit(0.0)))
+    past = at.rowsBetween(1 - span, 0)
     ahead = at.rowsBetween(1, h)
-    usual = full(F.percentile(F.abs("_r"), F.lit(0.5)).over(past), F.col("_r"), past, least)
+    usual = full(F.avg(F.abs("_r")).over(past), F.col("_r"), past, span)
     after = F.lead("_r").over(at)
     vol = F.when(F.count("_r").over(ahead) == h, F.sum(F.abs("_r")).over(ahead))
     return rows.withColumns({"up": (after > 0).cast("int"), "large": (F.abs(after) > usual).cast("int"), "fwd_vol": vol}).drop("_r")

@@ -24,22 +24,43 @@ def cusum_returns(spark, sf_dir):
     return S.cusum_events(R.with_log_return(dollar_bars(spark, sf_dir)), 1.0, strict=False, column="ret")
 
 
-@query("bars_imbalance")
+def state_sql(kind: str, weight: str | None) -> str:
+    """Imbalance or run bars by recursion over a symbol's rows; mean, share and size as the operator has them."""
+    a = "cast(2 / 201.0::double as double)"
+    w = "1.0::double" if weight is None else f"cast({weight} as double)"
+    flow = "coalesce(last_value(c ignore nulls) over (partition by symbol order by us, id), 1.0::double)" if weight is None else "case when dollar > 0 then case when buy then w else -w end else 0.0::double end"
+    rows = f"""c as (select *, {w} as w, nullif(sign(price - lag(price) over (partition by symbol order by us, id)), 0)::double as c from ticks),
+n as (select *, {flow} as f, row_number() over (partition by symbol order by us, id) as i, greatest(sum(w) over (partition by symbol) / 200, {"1.0" if weight is None else "1e-9"}) as t from c)"""
+    if kind == "imbalance":
+        close = "z > 0 and case when mean is null or bar < 20 then z >= t else (t * abs(mean) > 0 and abs(x) >= t * abs(mean)) or z >= 50.0 * t end"
+        loop = f"""h as (select symbol, cast(0 as bigint) as i, 0.0::double as x, 0.0::double as z, null::double as mean, cast(0 as bigint) as bar, cast(0 as bigint) as bar_idx from n where i = 1 union all
+select symbol, i, case when e then 0.0 else x end, case when e then 0.0 else z end, case when not e then mean when mean is null then x / z else {a} * (x / z) + (1 - {a}) * mean end, case when e then bar + 1 else bar end, bar
+from (select *, {close} as e from (select n.symbol, n.i, n.t, h.x + n.f as x, h.z + n.w as z, h.mean, h.bar from h join n on n.symbol = h.symbol and n.i = h.i + 1)))"""
+    else:
+        close = "z > 0 and greatest(p, s) >= mean * case when share is null or bar < 20 then 0.5 else greatest(share, 1 - share) end"
+        loop = f"""h as (select symbol, cast(0 as bigint) as i, 0.0::double as p, 0.0::double as s, 0.0::double as z, t as mean, null::double as share, cast(0 as bigint) as bar, cast(0 as bigint) as bar_idx from n where i = 1 union all
+select symbol, i, case when e then 0.0 else p end, case when e then 0.0 else s end, case when e then 0.0 else z end, case when e then {a} * z + (1 - {a}) * mean else mean end,
+case when not e then share when share is null then p / z else {a} * (p / z) + (1 - {a}) * share end, case when e then bar + 1 else bar end, bar
+from (select *, {close} as e from (select n.symbol, n.i, h.p + case when n.f > 0 then n.w else 0.0 end as p, h.s + case when n.f < 0 then n.w else 0.0 end as s, h.z + n.w as z, h.mean, h.share, h.bar from h join n on n.symbol = h.symbol and n.i = h.i + 1)))"""
+    return f"with recursive {TICKS}, {rows}, {loop}, ids as (select n.*, h.bar_idx from n join h using (symbol, i)), {FOLD} select * from bars"
+
+
+@query("bars_imbalance", state_sql("imbalance", None))
 def bars_imbalance(spark, sf_dir):
     return B.fold(S.imbalance_ids(ticks(spark, sf_dir), 200))
 
 
-@query("bars_volume_imbalance")
+@query("bars_volume_imbalance", state_sql("imbalance", "volume"))
 def bars_volume_imbalance(spark, sf_dir):
     return B.fold(S.imbalance_ids(ticks(spark, sf_dir), 200, weight="volume"))
 
 
-@query("bars_run")
+@query("bars_run", state_sql("run", None))
 def bars_run(spark, sf_dir):
     return B.fold(S.imbalance_ids(ticks(spark, sf_dir), 200, kind="run"))
 
 
-@query("bars_volume_run")
+@query("bars_volume_run", state_sql("run", "volume"))
 def bars_volume_run(spark, sf_dir):
     return B.fold(S.imbalance_ids(ticks(spark, sf_dir), 200, kind="run", weight="volume"))
 
@@ -79,7 +100,12 @@ def least_order(spark, sf_dir):
 
 @query("explosiveness")
 def explosiveness(spark, sf_dir):
-    return S.explosiveness(S.log_close(dollar_bars(spark, sf_dir)), 40, 120)
+    return S.explosiveness(S.log_close(dollar_bars(spark, sf_dir)))
+
+
+@query("explosiveness_of_all_windows")
+def explosiveness_of_all_windows(spark, sf_dir):
+    return S.explosiveness(S.log_close(dollar_bars(spark, sf_dir)), 60, None)
 
 
 @query("sequential_bootstrap")

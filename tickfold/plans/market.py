@@ -30,7 +30,8 @@ FOLD = """bars as (select symbol, bar_idx, min(us) as t_open, max(us) as t_close
   arg_max(price, us) as close, cast(sum(volume) as bigint) as volume, cast(sum(dollar) as bigint) as dollar,
   cast(sum(case when buy then dollar else 0 end) as bigint) as buy_dollar, cast(sum(case when buy then 0 else dollar end) as bigint) as sell_dollar,
   count(*) as n_base from ids group by all)"""
-DOLLAR = f"with {with_ids('dollar')}, {FOLD}"
+DENSE = "bars as (select * replace (row_number() over (partition by symbol order by bar_idx) - 1 as bar_idx) from gaps)"
+DOLLAR = f"with {with_ids('dollar')}, {FOLD.replace('bars as', 'gaps as', 1)}, {DENSE}"
 BARS = f"{DOLLAR} select * from bars"
 
 
@@ -39,7 +40,7 @@ def ticks(spark, sf_dir) -> DataFrame:
 
 
 def dollar_bars(spark, sf_dir, n_target: int = N_TARGET) -> DataFrame:
-    return B.fold(B.threshold_ids(ticks(spark, sf_dir), "dollar", n_target))
+    return B.dense(B.fold(B.threshold_ids(ticks(spark, sf_dir), "dollar", n_target)))
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -264,12 +265,12 @@ def rolling_entropy(spark, sf_dir):
     return W.rolling_entropy(dollar_bars(spark, sf_dir), 50)
 
 
-EVENTS = """ev as (select symbol, bar_idx as ev_idx, case when bar_idx % 14 = 0 then 1 else -1 end as side, close as entry, 0.5 as sigma from bars where bar_idx % 7 = 0)"""
+EVENTS = """ev as (select symbol, bar_idx as ev_idx, case when bar_idx % 2 = 0 then 1 else -1 end as side, close as entry, 0.5 as sigma from bars)"""
 
 
 def sample_events(bars: DataFrame) -> DataFrame:
-    side = F.when(F.col("bar_idx") % 14 == 0, 1).otherwise(-1)
-    return bars.where("bar_idx % 7 = 0").select("symbol", F.col("bar_idx").alias("ev_idx"), side.alias("side"), F.col("close").alias("entry"), F.lit(0.5).alias("sigma"))
+    side = F.when(F.col("bar_idx") % 2 == 0, 1).otherwise(-1)
+    return bars.select("symbol", F.col("bar_idx").alias("ev_idx"), side.alias("side"), F.col("close").alias("entry"), F.lit(0.5).alias("sigma"))
 
 
 @query(
@@ -309,26 +310,26 @@ def horizon_label(spark, sf_dir):
     return rounded(E.horizon_label(dollar_bars(spark, sf_dir), 20).select("symbol", "bar_idx", "t_val", "label"), t_val=5)
 
 
-LENGTHS = range(5, 21, 5)
+LENGTHS = range(20, 121)
 
 
 @query(
     "trend_scan",
-    f"""{DOLLAR}, t as ({" union all ".join(f"select symbol, bar_idx, {n} as length, {slope_sql(n)} as t from bars" for n in LENGTHS)}),
+    f"""{DOLLAR}, t as ({" union all ".join(f"select symbol, bar_idx, {n} as length, {slope_sql(n)} as t, lead(ln(close), {n - 1}) over (partition by symbol order by bar_idx) - ln(close) as ret from bars" for n in LENGTHS)}),
 r as (select *, row_number() over (partition by symbol, bar_idx order by abs(t) desc, length) as k from t where t is not null)
-select symbol, bar_idx, round(t, 5) as t_val, length, cast(sign(t) as integer) as label from r where k = 1""",
+select symbol, bar_idx, round(t, 5) as t_val, length, cast(sign(t) as integer) as label, round(ret, 8) as ret from r where k = 1""",
 )
 def trend_scan(spark, sf_dir):
-    return rounded(E.trend_scan(dollar_bars(spark, sf_dir), 5, 20, 5), t_val=5)
+    return rounded(E.trend_scan(dollar_bars(spark, sf_dir), LENGTHS[0], LENGTHS[-1]), t_val=5, ret=8)
 
 
-SPANS = f"{DOLLAR}, sp as (select symbol, bar_idx as start_idx, bar_idx + 5 + bar_idx % 9 as end_idx from bars where bar_idx % 4 = 0 and bar_idx < 180)"
+SPANS = f"{DOLLAR}, sp as (select symbol, bar_idx as start_idx, bar_idx + 5 + bar_idx % 9 as end_idx from bars)"
 CONC = """conc as (select b.symbol, b.bar_idx, count(sp.symbol) as concurrent from bars b left join sp on sp.symbol = b.symbol and b.bar_idx between start_idx and end_idx group by 1, 2)"""
 
 
 def sample_spans(bars: DataFrame) -> DataFrame:
     i = F.col("bar_idx")
-    return bars.where("bar_idx % 4 = 0 and bar_idx < 180").select("symbol", i.alias("start_idx"), (i + 5 + i % 9).alias("end_idx"))
+    return bars.select("symbol", i.alias("start_idx"), (i + 5 + i % 9).alias("end_idx"))
 
 
 @query("concurrency", f"{SPANS}, {CONC} select * from conc")
@@ -360,12 +361,12 @@ def attribution_weights(spark, sf_dir):
     return rounded(E.attribution_weights(sample_spans(bars), bars).select("symbol", "start_idx", "end_idx", "weight"), weight=6)
 
 
-BETS = f"{DOLLAR}, bets as (select symbol, bar_idx as start_idx, bar_idx % 6 as hold, cast(bar_idx % 5 - 2 as double) / 2 as size from bars where bar_idx % 3 = 0)"
+BETS = f"{DOLLAR}, bets as (select symbol, bar_idx as start_idx, bar_idx % 6 as hold, cast(bar_idx % 5 - 2 as double) / 2 as size from bars)"
 
 
 def sample_bets(bars: DataFrame) -> DataFrame:
     i = F.col("bar_idx")
-    return bars.where("bar_idx % 3 = 0").select("symbol", i.alias("start_idx"), (i % 6).alias("hold"), ((i % 5 - 2).cast("double") / 2).alias("size"))
+    return bars.select("symbol", i.alias("start_idx"), (i % 6).alias("hold"), ((i % 5 - 2).cast("double") / 2).alias("size"))
 
 
 @query(
@@ -394,13 +395,13 @@ def costed_book(spark, sf_dir):
 @query(
     "purged_folds",
     f"""{DOLLAR}, e as (select symbol, bar_idx as ev_idx, bar_idx + 6 as end_idx, row_number() over (partition by symbol order by bar_idx) - 1 as i,
-count(*) over (partition by symbol) as n from bars where bar_idx % 3 = 0), o as (select *, least(i // greatest(n // 5, 1), 4) as own from e),
+count(*) over (partition by symbol) as n from bars), o as (select *, least(i // greatest(n // 5, 1), 4) as own from e),
 t as (select symbol, own as fold, min(ev_idx) as lo, max(end_idx) as hi from o group by 1, 2)
 select * from (select fold, o.symbol, ev_idx, case when own = fold then 'test' when end_idx < lo or ev_idx > hi + 2 then 'train' end as part from o join t on o.symbol = t.symbol) where part is not null""",
 )
 def purged_folds(spark, sf_dir):
     i = F.col("bar_idx")
-    spans = dollar_bars(spark, sf_dir).where("bar_idx % 3 = 0").select("symbol", i.alias("ev_idx"), (i + 6).alias("end_idx"))
+    spans = dollar_bars(spark, sf_dir).select("symbol", i.alias("ev_idx"), (i + 6).alias("end_idx"))
     return E.purged_folds(spans, 5, 2)
 
 
@@ -420,6 +421,36 @@ def fx_calendar(spark, sf_dir):
     return rows.select("event_id", "symbol", C.fx_open(F.col("ts")).alias("is_open"), "force_flat", "rollover", "swap", F.round(pips, 6).alias("half_spread_pips"))
 
 
+NAMES = {"click": ("fx", "EURUSD"), "view": ("fx", "usdjpy"), "error": ("equity", "SPY"), "purchase": ("equity", "VXX"), "signup": ("crypto", "BTC")}
+
+
+def cases(column: str, i: int) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v[i]}'" for k, v in NAMES.items()) + f" else '{('fx', 'EURSEK')[i]}' end"
+
+
+def table_sql(key: str, values: dict[str, float], default: float) -> str:
+    return f"cast(case upper({key}) " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + f" else {default} end as double)"
+
+
+@query(
+    "trade_costs",
+    f"""with m as (select event_id, value, hour(ts) as h, hour(ts) * 60 + minute(ts) as m, {cases("event_type", 0)} as market, {cases("event_type", 1)} as name from events),
+b as (select *, case when upper(name) like '%JPY' then 0.01::double else 0.0001::double end as pip, case when h >= 7 and h < 12 then 1.3 when h >= 12 and h < 16 then 1.0 when h >= 16 and h < 21 then 1.6 when h >= 21 and h < 23 then 3.0 else 2.2 end::double as band,
+{table_sql("name", C.FX_HALF_SPREAD_PIPS, C.FX_DEFAULT_PIPS)} as fx, {table_sql("name", C.EQUITY_HALF_SPREAD_BP, C.EQUITY_DEFAULT_BP)} as eq, {table_sql("name", C.BORROW_A_YEAR, C.BORROW_DEFAULT)} as borrow,
+case when m >= 570 and m < 600 then 2.5 when m >= 945 and m < 960 then 1.8 else 1 end::double as wide, greatest(0.0035 / value, 0.35 / 25000) as commission from m)
+select event_id, market, name, round(1e6 * fx * band * pip, 6) as fx_spread, round(1e6 * 0.3 * pip, 6) as night, round(eq * wide, 6) as spread_bp, round(1e6 * borrow / 365, 6) as borrow,
+round(1e6 * case market when 'crypto' then 0.0005 when 'fx' then fx * band * pip / value else eq * wide * 1e-4 + commission end, 6) as side_cost from b""",
+)
+def trade_costs(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumns({"market": F.expr(cases("event_type", 0)), "name": F.expr(cases("event_type", 1))})
+    ts, name, mills = F.col("ts"), F.col("name"), lambda c: F.round(1e6 * c, 6)
+    return rows.select(
+        "event_id", "market", "name", mills(C.fx_half_spread(name, ts)).alias("fx_spread"), mills(C.night_cost(name)).alias("night"),
+        F.round(C.equity_half_spread_bp(ts, name), 6).alias("spread_bp"), mills(C.borrow_per_day(name)).alias("borrow"),
+        mills(C.per_side_cost(F.col("market"), F.col("value"), ts, name, 0.0005)).alias("side_cost"),
+    )
+
+
 @query(
     "equity_costs",
     """with m as (select event_id, value, hour(ts) * 60 + minute(ts) as m from events)

@@ -32,10 +32,10 @@ def bulk_buy_fraction(spark, sf_dir):
 
 @query(
     "next_labels",
-    f"""{DOLLAR}, r as (select symbol, bar_idx, ln(close) - lag(ln(close)) over w as r from bars {AT})
-select symbol, bar_idx, cast(lead(r) over w > 0 as integer) as up, cast(abs(lead(r) over w) > case when count(r) over p >= 20 then median(abs(r)) over p end as integer) as large,
+    f"""{DOLLAR}, r as (select symbol, bar_idx, coalesce(ln(close) - lag(ln(close)) over w, 0) as r from bars {AT})
+select symbol, bar_idx, cast(lead(r) over w > 0 as integer) as up, cast(abs(lead(r) over w) > case when count(r) over p >= 12 then avg(abs(r)) over p end as integer) as large,
 round(case when count(r) over a = 5 then sum(abs(r)) over a end, 8) as fwd_vol from r
-window w as (partition by symbol order by bar_idx), p as (partition by symbol order by bar_idx rows unbounded preceding), a as (partition by symbol order by bar_idx rows between 1 following and 5 following)""",
+window w as (partition by symbol order by bar_idx), p as (partition by symbol order by bar_idx rows 11 preceding), a as (partition by symbol order by bar_idx rows between 1 following and 5 following)""",
 )
 def next_labels(spark, sf_dir):
     return rounded(T.next_labels(dollar_bars(spark, sf_dir), 5).select("symbol", "bar_idx", "up", "large", "fwd_vol"), fwd_vol=8)
@@ -93,7 +93,7 @@ CHOSEN = ", ".join(f"({i}, [{', '.join(map(str, c))}])" for i, c in enumerate(co
 
 @query(
     "combinatorial_folds",
-    f"""{DOLLAR}, e as (select symbol, bar_idx as ev_idx, bar_idx + 6 as end_idx, row_number() over (partition by symbol order by bar_idx) - 1 as i, count(*) over (partition by symbol) as n from bars where bar_idx % 3 = 0),
+    f"""{DOLLAR}, e as (select symbol, bar_idx as ev_idx, bar_idx + 6 as end_idx, row_number() over (partition by symbol order by bar_idx) - 1 as i, count(*) over (partition by symbol) as n from bars),
 o as (select *, least(i // greatest(n // {K}, 1), {K - 1}) as own from e), t as (select symbol, own as fold, min(ev_idx) as lo, max(end_idx) as hi from o group by 1, 2),
 c as (select * from (values {CHOSEN}) v(split, folds)),
 p as (select split, o.symbol, o.ev_idx, list_contains(folds, own) as is_test, exists (select 1 from t where t.symbol = o.symbol and list_contains(folds, fold) and end_idx >= lo and ev_idx <= hi + 1) as near from o, c)
@@ -101,7 +101,7 @@ select split, symbol, ev_idx, case when is_test then 'test' else 'train' end as
 )
 def combinatorial_folds(spark, sf_dir):
     i = F.col("bar_idx")
-    spans = dollar_bars(spark, sf_dir).where("bar_idx % 3 = 0").select("symbol", i.alias("ev_idx"), (i + 6).alias("end_idx"))
+    spans = dollar_bars(spark, sf_dir).select("symbol", i.alias("ev_idx"), (i + 6).alias("end_idx"))
     return T.combinatorial_folds(spans, K, 2, 1)
 
 
