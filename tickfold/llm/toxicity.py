@@ -28,9 +28,9 @@ from .common import WORD_BYTES, remainder, texts, utf8, written
 MOST_LABELLED = 4_096
 #: Characters of a word start, and labelled rows that must have a term.
 START, LEAST_ROWS = 4, 2
-#: The likelihood ratio that one term in twenty has by chance, that beyond it which halves a weight, neighbours that vote, examples of
+#: The likelihood ratio that one term in six has by chance, that beyond it which halves a weight, neighbours that vote, examples of
 #: a block, and the prior's weight in votes.
-CHANCE, SHRINK, NEIGHBOURS, BLOCK, PRIOR_VOTES = 3.84, 10.0, 15, 128, 0.1
+CHANCE, SHRINK, NEIGHBOURS, BLOCK, PRIOR_VOTES = 2.0, 10.0, 15, 128, 0.1
 #: Rows of one step, terms that are counted before their counts go on, and scores that are kept.
 STEP, KEPT_TERMS, KEPT_SCORES = 500, 100_000, 4_000
 
