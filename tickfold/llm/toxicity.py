@@ -4,8 +4,9 @@ Terms are all words and word starts that two or more of the labelled rows have.
 (1 + log count) times its inverse document frequency over all documents, times its relevance: how far the
 likelihood ratio g of term and label is beyond chance, x / (x + SHRINK) of x = g - CHANCE, and 0 below. So words
 of the topic count for little. All labelled rows become unit vectors in an inverted index. Its blocks of
-examples keep each term's largest weight; blocks are scored from the highest bound down, until the bound is
-below the k-th best cosine so far, so the neighbours are exact. Their votes weigh by distance.
+examples keep each term's largest weight. Common terms, which rule out no block, are added by one matrix product for a
+step of texts; the k-th best of these sums is a bound, and rare terms' postings are read only in blocks that can
+reach it. Neighbours are exact: the last comparison is in double precision. Their votes weigh by distance.
 
 CHANCE, SHRINK, NEIGHBOURS and PRIOR_VOTES were chosen by cross-validation within the learned rows.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -31,6 +33,8 @@ START, LEAST_ROWS = 4, 2
 #: The likelihood ratio that one term in six has by chance, that beyond it which halves a weight, neighbours that vote, examples of
 #: a block, and the prior's weight in votes.
 CHANCE, SHRINK, NEIGHBOURS, BLOCK, PRIOR_VOTES = 2.0, 10.0, 15, 128, 0.1
+#: A term that one in so many examples has is common.
+COMMON = 32
 #: Rows of one step, terms that are counted before their counts go on, and scores that are kept.
 STEP, KEPT_TERMS, KEPT_SCORES = 500, 100_000, 4_000
 
@@ -142,11 +146,9 @@ class Index:
     first: np.ndarray  # the first posting of each cell
     posting: np.ndarray
     weight: np.ndarray
-    peak: np.ndarray  # the largest weight of each term
     row: np.ndarray  # where an example's own terms start
     row_term: np.ndarray
     row_weight: np.ndarray
-    of_row: np.ndarray  # the block of each example
     base: float  # share of label 1
 
     @classmethod
@@ -168,63 +170,75 @@ class Index:
         first = np.flatnonzero(new)
         largest = np.maximum.reduceat(weight, first) if len(first) else weight
         cells = np.searchsorted(term[first], np.arange(len(factor) + 1))
-        peak = np.zeros(len(factor))
-        np.maximum.at(peak, term, weight)
         by = np.argsort(owner, kind="stable")
         row = np.searchsorted(owner[by], np.arange(len(ids) + 1))
-        of_row = np.arange(len(ids)) // BLOCK
-        return cls(factor, ids, labels, cells, owner[first] // BLOCK, largest, np.append(first, len(term)), owner.astype(np.int32), weight, peak, row, term[by], weight[by], of_row, base)
+        return cls(factor, ids, labels, cells, owner[first] // BLOCK, largest, np.append(first, len(term)), owner.astype(np.int32), weight, row, term[by], weight[by], base)
 
     def cosines(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         at, n = _ranges(self.row[rows], self.row[rows + 1])
         return np.bincount(np.repeat(np.arange(len(rows)), n), self.row_weight[at] * query[self.row_term[at]], len(rows))
 
-    def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term its row among the common ones, -1 for a rare one; the common terms' weights by example. Made
+        where it is used, so it isn't sent; at most COMMON numbers for each posting."""
+        often = np.flatnonzero(np.diff(self.first[self.cells]) * COMMON >= max(1, len(self.ids)))
+        row = np.full(len(self.factor), -1)
+        row[often] = np.arange(len(often))
+        dense = np.zeros((len(often), len(self.ids)), np.float32)
+        at, n = _ranges(self.first[self.cells[often]], self.first[self.cells[often + 1]])
+        dense[np.repeat(np.arange(len(often)), n), self.posting[at]] = self.weight[at]
+        return row, dense
+
+    def common_parts(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosine of each query and example: one matrix product."""
+        row, dense = self.common
+        q = np.zeros((len(queries), len(dense)), np.float32)
+        for i, (term, value) in enumerate(queries):
+            at = row[term]
+            q[i, at[at >= 0]] = value[at >= 0]
+        return q @ dense
+
+    def nearest(self, term: np.ndarray, value: np.ndarray, k: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Up to k examples of the highest cosine above 0 and their cosines; of equal ones, the first.
 
-        The block of the highest bound gives a first k-th best. Terms that can't reach it together aren't looked up:
-        examples that have others, and whose block's largest weights of these could reach it, are compared as a whole.
+        ``part`` is the query's row of ``common_parts``. The k-th best of it is a first bound. Postings of rare terms
+        are read only in blocks whose largest weights could reach that; examples within rounding of the k-th best
+        sum are compared as a whole.
         """
-        query, size = np.zeros(len(self.factor)), len(self.ids)
+        size = len(self.ids)
+        if part is None:
+            part = self.common_parts([(term, value)])[0]
+        slack = 1e-6 + 1.2e-7 * len(self.common[1])  # twice what a sum of so many single-precision terms up to 1 can be off
+        kth = lambda x: float(np.partition(x, size - k)[size - k]) - 2 * slack if size > k else 0.0
+        rare = self.common[0][term] < 0
+        cell, n = _ranges(self.cells[term[rare]], self.cells[term[rare] + 1])
+        block, gain = self.block[cell], np.repeat(value[rare], n)
+        bound = np.maximum.reduceat(part, np.arange(0, size, BLOCK)) + np.bincount(block, gain * self.largest[cell], -(-size // BLOCK))
+        reach = bound[block] >= kth(part)
+        cell, gain = cell[reach], gain[reach]
+        post, m = _ranges(self.first[cell], self.first[cell + 1])
+        part = part + np.bincount(self.posting[post], self.weight[post] * np.repeat(gain, m), size)
+        rows = np.flatnonzero((part > 0) & (part >= kth(part)))
+        query = np.zeros(len(self.factor))
         query[term] = value
-        best, near = np.empty(0, np.int64), np.empty(0)
-
-        def compare(rows: np.ndarray) -> float:
-            nonlocal best, near
-            score = self.cosines(rows, query)
-            best, near = np.append(best, rows[score > 0]), np.append(near, score[score > 0])
-            order = np.lexsort((best, -np.round(near, 12)))[:k]
-            best, near = best[order], near[order]
-            return near[-1] - 1e-9 if len(near) == k else 0.0
-
-        cell, n = _ranges(self.cells[term], self.cells[term + 1])
-        block, gain = self.block[cell], np.repeat(value, n) * self.largest[cell]
-        top = int(np.argmax(np.bincount(block, gain, -(-size // BLOCK))))
-        least = compare(np.arange(top * BLOCK, min(size, (top + 1) * BLOCK)))
-        peak = value * self.peak[term]
-        order = np.argsort(peak, kind="stable")
-        weak = np.empty(len(term), bool)
-        weak[order] = np.cumsum(peak[order]) < least
-        rest = np.bincount(block, gain * np.repeat(weak, n), -(-size // BLOCK))
-        strong = term[~weak]
-        post, m = _ranges(self.first[self.cells[strong]], self.first[self.cells[strong + 1]])
-        part = np.bincount(self.posting[post], self.weight[post] * np.repeat(value[~weak], m), size)
-        reach = np.where(part > 0, part + rest[self.of_row], -1.0)
-        reach[top * BLOCK : (top + 1) * BLOCK] = -1.0
-        todo = np.flatnonzero(reach >= max(least, 0.0))
-        todo = todo[np.argsort(-reach[todo], kind="stable")]
-        at, step = 0, 4 * k
-        while at < len(todo) and reach[todo[at]] >= least:  # the likeliest first
-            least, at, step = compare(todo[at : at + step]), at + step, 2 * step
-        return best, near
-
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, neighbours, cosines): votes weigh by distance, and a prior holds few or far ones back."""
-        if not len(term) or not len(self.ids):
-            return self.base, np.empty(0, int), np.empty(0)
-        best, near = self.nearest(term, weigh(term, count, self.factor), NEIGHBOURS)
-        vote = near / (1.05 - np.minimum(near, 1.0))
-        return float((vote @ self.labels[best] + PRIOR_VOTES * self.base) / (vote.sum() + PRIOR_VOTES)), best, near
+        near = self.cosines(rows, query)
+        order = np.lexsort((rows, -np.round(near, 12)))[:k]
+        order = order[near[order] > 0]
+        return rows[order], near[order]
+
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, neighbours, cosines) of texts by their terms and counts: votes weigh by distance, and a prior
+        holds few or far ones back."""
+        values = [weigh(t, c, self.factor) for t, c in found]
+        parts = self.common_parts([(t, v) for (t, _), v in zip(found, values)])
+        for (term, _), value, part in zip(found, values, parts):
+            if not len(term) or not len(self.ids):
+                yield self.base, np.empty(0, int), np.empty(0)
+                continue
+            best, near = self.nearest(term, value, NEIGHBOURS, part)
+            vote = near / (1.05 - np.minimum(near, 1.0))
+            yield float((vote @ self.labels[best] + PRIOR_VOTES * self.base) / (vote.sum() + PRIOR_VOTES)), best, near
 
 
 def weigh(term: np.ndarray, count: np.ndarray, factor: np.ndarray) -> np.ndarray:
@@ -251,16 +265,15 @@ def _scored(index: Index, words: Vocabulary, text_col: str, below: float | None)
         kept: dict[bytes, tuple] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
-                batch, rows = whole.slice(at, STEP), []
-                for text in utf8(batch, text_col):
-                    term, count = words.counts(text)
-                    key = term.tobytes() + count.tobytes()
-                    if key not in kept:
-                        if len(kept) >= KEPT_SCORES:
-                            kept.clear()
-                        score, best, near = index.score(term, count)
-                        kept[key] = score, [index.ids[i] for i in best], near.tolist()
-                    rows.append(kept[key])
+                batch = whole.slice(at, STEP)
+                found = [words.counts(t) for t in utf8(batch, text_col)]
+                keys = [t.tobytes() + c.tobytes() for t, c in found]
+                if len(kept) > KEPT_SCORES:
+                    kept.clear()
+                todo = {key: f for key, f in zip(keys, found) if key not in kept}
+                for key, (score, best, near) in zip(todo, index.scores([*todo.values()])):
+                    kept[key] = score, [index.ids[i] for i in best], near.tolist()
+                rows = [kept[key] for key in keys]
                 if below is not None:
                     yield batch.filter(pa.array([r[0] < below for r in rows], pa.bool_()))
                     continue
