@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from .bars import by_symbol
+from .pairs import pair_correlations
 from .rolling import full, trailing
 
 
@@ -75,9 +76,7 @@ def volatility_target(bars: DataFrame, n: int, target: float, most: float = 5.0)
 
 def closest_pairs(panel: DataFrame, least_days: int, top: int) -> DataFrame:
     """The ``top`` most correlated pairs of names (name < other) with so many dates in common; a report."""
-    a = panel.select("date", "name", "x")
-    b = panel.select("date", F.col("name").alias("other"), F.col("x").alias("y"))
-    pairs = a.join(b, "date").where("name < other").groupBy("name", "other").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 9).alias("corr"))
+    pairs = pair_correlations(panel).withColumn("corr", F.round("corr", 9))
     return pairs.where(F.col("n") >= least_days).orderBy(F.desc(F.abs("corr")), "name", "other").limit(top)
 
 
