@@ -1,6 +1,6 @@
 """Importing this module registers every query of the library."""
 
-from . import corpus, kernels, market, pairs, studies  # noqa: F401
+from . import books, corpus, kernels, market, pairs, studies  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
