@@ -39,15 +39,22 @@ def forward_rank(panel: DataFrame, h: int) -> DataFrame:
     return rows.withColumn("label", F.when(n >= 4, 2 * place / (n - 1) - 1)).drop("_s")
 
 
-def long_short(panel: DataFrame, q: float, score: str = "score") -> DataFrame:
-    """weight: 1 / k for the k highest scores and -1 / k for the k lowest of a date, k = min(floor(q n), n div 2),
-    at least 1; 0 for others, missing scores and dates of fewer than four."""
+def long_short(panel: DataFrame, q: float, score: str = "score", tilt: float = 0.0, long_only: bool = False) -> DataFrame:
+    """weight: shares of sum 1 of the k highest scores and of sum -1 of the k lowest of a date, k = min(floor(q n),
+    n div 2), at least 1 (long_only: up to n, and no lowest); 0 for others, missing scores and dates of fewer than four.
+    A share goes by max(0.1, 1 + tilt times the score's distance from its leg's mean, outwards); without tilt all are 1 / k."""
     n = F.count(score).over(per_date())
-    k = F.greatest(F.least(F.floor(q * n), F.floor(n / 2)), F.lit(1))
+    k = F.greatest(F.least(F.floor(q * n), n if long_only else F.floor(n / 2)), F.lit(1))
     low = F.row_number().over(per_date(F.asc_nulls_last(score), "name"))
     high = n - low + 1
     usable = F.col(score).isNotNull() & (n >= 4)
-    return panel.withColumn("weight", F.when(usable & (high <= k), 1 / k).when(usable & (low <= k), -1 / k).otherwise(0.0))
+    leg = F.when(usable & (high <= k), 1) if long_only else F.when(usable & (high <= k), 1).when(usable & (low <= k), -1)
+    if not tilt:
+        return panel.withColumn("weight", F.coalesce(leg / k, F.lit(0.0)))
+    side = Window.partitionBy("date", "_leg")
+    rows = panel.withColumn("_leg", leg)
+    rows = rows.withColumn("_u", F.greatest(1 + tilt * F.col("_leg") * (F.col(score) - F.avg(score).over(side)), F.lit(0.1)))
+    return rows.withColumn("weight", F.coalesce(F.col("_leg") * F.col("_u") / F.sum("_u").over(side), F.lit(0.0))).drop("_leg", "_u")
 
 
 def rotation(weights: DataFrame, rebalance: int, cost: float) -> DataFrame:

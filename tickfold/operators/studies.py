@@ -168,8 +168,8 @@ def spread_bars(a: DataFrame, b: DataFrame, beta: float) -> DataFrame:
     return rows.select("bar_idx", leg("open", "_open").alias("open"), leg("high", up).alias("high"), leg("low", down).alias("low"), leg("close", "_close").alias("close"))
 
 
-def hac_t(series: DataFrame, keys: list[str], order: str, y: str, lags: int = 5) -> DataFrame:
-    """Mean of y per key and its t with Newey-West errors over row order."""
+def hac(series: DataFrame, keys: list[str], order: str, y: str, lags: int = 5) -> DataFrame:
+    """n and mean of y per key and se, the mean's Newey-West error over row order; null for one of 0."""
     m = series.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(y).alias("mean"))
     w = Window.partitionBy(*keys).orderBy(order)
     rows = series.join(m, keys).withColumn("_e", F.col(y) - F.col("mean"))
@@ -178,7 +178,12 @@ def hac_t(series: DataFrame, keys: list[str], order: str, y: str, lags: int = 5)
     for k in range(1, lags + 1):
         total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"_l{k}"), F.lit(0.0))
     out = rows.groupBy(*keys, "n", "mean").agg(total.alias("v"))
-    return out.select(*keys, "n", "mean", F.when(F.col("v") > 0, F.col("mean") * F.col("n") / F.sqrt("v")).alias("t"))
+    return out.select(*keys, "n", "mean", F.when(F.col("v") > 0, F.sqrt("v") / F.col("n")).alias("se"))
+
+
+def hac_t(series: DataFrame, keys: list[str], order: str, y: str, lags: int = 5) -> DataFrame:
+    """Mean of y per key and its t with Newey-West errors over row order."""
+    return hac(series, keys, order, y, lags).select(*keys, "n", "mean", (F.col("mean") / F.col("se")).alias("t"))
 
 
 def block_bootstrap(series: DataFrame, keys: list[str], order: str, y: str, draws: int, block: int, seed: int) -> DataFrame:
