@@ -55,51 +55,60 @@ def dated(panel: DataFrame) -> DataFrame:
     return panel.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")).cast("bigint") - 1)
 
 
-def carry_weights(panel: DataFrame, q: float, rebalance: int, least: int, start: int = 0, risk: str | None = None) -> DataFrame:
-    """(i, date, name, weight) of a book that is long the fraction q of names of lowest ``funding`` and short those of
-    highest, sum 1 a side, ties by name. New weights on each ``rebalance``-th date from ``start`` with ``least`` usable
-    names (valid, funding not 0), held until the next; none on the last date. risk: weights go by 1 over that column."""
-    days = dated(panel)
+def by_setting(days: DataFrame, settings: dict[str, tuple[float, int]]) -> DataFrame:
+    """Each date once per setting, with its _q and _every; as many rows as dates times settings."""
+    each = F.array(*(F.struct(F.lit(s).alias("setting"), F.lit(float(q)).alias("_q"), F.lit(r).alias("_every")) for s, (q, r) in settings.items()))
+    return days.select("i", "date", F.explode(each).alias("_s")).select("i", "date", "_s.*")
+
+
+def carry_weights(panel: DataFrame, settings: dict[str, tuple[float, int]], least: int, start: int = 0, risk: str | None = None) -> DataFrame:
+    """(setting, i, date, name, weight) of books that are long the fraction q of names of lowest ``funding`` and short
+    those of highest, sum 1 a side, ties by name. settings: name -> (q, rebalance): new weights on each ``rebalance``-th
+    date from ``start`` with ``least`` usable names (valid, funding not 0), held until the next; none on the last date.
+    risk: weights go by 1 over that column. All settings are one pass."""
+    days = by_setting(dated(panel), settings)
     usable = F.col("valid") & (F.col("funding") != 0)
     usable = usable & (F.col(risk) > 1e-9) if risk else usable
-    turns = panel.join(days.where((F.col("i") % rebalance == 0) & (F.col("i") >= start)), "date").where(usable)
-    w = Window.partitionBy("i")
-    n = F.count("*").over(w)
-    turns = turns.withColumns({"_n": n, "_lo": F.row_number().over(w.orderBy("funding", "name"))}).where(F.col("_n") >= least)
-    turns = turns.withColumn("_k", F.greatest(F.floor(q * F.col("_n")), F.lit(1)))
+    turns = panel.join(days.where((F.col("i") % F.col("_every") == 0) & (F.col("i") >= start)), "date").where(usable)
+    w = Window.partitionBy("setting", "i")
+    turns = turns.withColumns({"_n": F.count("*").over(w), "_lo": F.row_number().over(w.orderBy("funding", "name"))}).where(F.col("_n") >= least)
+    turns = turns.withColumn("_k", F.greatest(F.floor(F.col("_q") * F.col("_n")), F.lit(1)))
     side = F.when(F.col("_lo") > F.col("_n") - F.col("_k"), -1).when(F.col("_lo") <= F.col("_k"), 1)
     turns = turns.withColumn("_s", side).where("_s is not null").withColumn("_u", 1 / F.col(risk) if risk else F.lit(1.0))
-    chosen = turns.select(F.col("i").alias("_r"), "name", (F.col("_s") * F.col("_u") / F.sum("_u").over(Window.partitionBy("i", "_s"))).alias("weight"))
-    ok = chosen.select(F.col("_r").alias("i")).distinct().withColumn("_r", F.col("i"))
-    held = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = days.join(ok, "i", "left").withColumn("_r", F.last("_r", True).over(held)).withColumn("_m", F.max("i").over(Window.partitionBy()))
-    return each.where("i < _m").join(chosen, "_r").select("i", "date", "name", "weight")
-
-
-def carry_book(panel: DataFrame, weights: DataFrame, target: float, span: int, cost: float, scale: float = 1.0, most: float = 5.0) -> DataFrame:
-    """Per date: price (weights times the next date's ret), funding (paid by the long side), cost by turnover, and pnl.
-
-    The book is scaled by target over the deviation of the unscaled result over the last ``span`` dates (half of them
-    at least), of the date before, at most ``most``; 0 before it is known."""
+    share = F.col("_s") * F.col("_u") / F.sum("_u").over(Window.partitionBy("setting", "i", "_s"))
+    chosen = turns.select("setting", F.col("i").alias("_r"), "name", share.alias("weight"))
+    ok = chosen.select("setting", F.col("_r").alias("i")).distinct().withColumn("_r", F.col("i"))
+    own = Window.partitionBy("setting")
+    held = own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = days.join(ok, ["setting", "i"], "left").withColumn("_r", F.last("_r", True).over(held)).withColumn("_m", F.max("i").over(own))
+    return each.where("i < _m").join(chosen, ["setting", "_r"]).select("setting", "i", "date", "name", "weight")
+
+
+def carry_books(
+    panel: DataFrame, settings: dict[str, tuple[float, int]], least: int, target: float, span: int, cost: float, scale: float = 1.0, most: float = 5.0, risk: str | None = None
+) -> DataFrame:
+    """Per setting and date, from date ``span`` on: leverage, price (weights times the next date's ret), funding (paid by
+    the long side), cost by turnover, and pnl.
+
+    A book is scaled by target over the deviation of its unscaled result over the last ``span`` dates (half of them at
+    least), of the date before, at most ``most``; 0 before it is known."""
+    weights = carry_weights(panel, settings, least, span, risk)
     days = dated(panel)
     own = panel.select("date", "name", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("funding", F.lit(0.0)).alias("funding")).join(days, "date")
-    now = own.select("i", "name", "funding")
     after = own.select((F.col("i") - 1).alias("i"), "name", "ret")
-    rows = weights.join(now, ["i", "name"], "left").join(after, ["i", "name"], "left").fillna(0.0, ["funding", "ret"])
-    x = F.col("weight")
-    by = rows.groupBy("i").agg(F.sum(x * F.col("ret")).alias("_p"), (-scale * F.sum(x * F.col("funding"))).alias("_f"))
-    by = days.join(by, "i", "left").fillna(0.0, ["_p", "_f"])
-    w = Window.orderBy("i")  # one row a date
-    past = w.rowsBetween(-span, -1)
-    raw = F.col("_p") + F.col("_f")
-    sd = F.when(F.count("*").over(past) >= span // 2, F.stddev_samp(raw).over(past))
+    rows = weights.join(own.select("i", "name", "funding"), ["i", "name"], "left").join(after, ["i", "name"], "left").fillna(0.0, ["funding", "ret"])
+    x, keys = F.col("weight"), ["setting", "i"]
+    by = rows.groupBy(*keys).agg(F.sum(x * F.col("ret")).alias("_p"), (-scale * F.sum(x * F.col("funding"))).alias("_f"))
+    by = by_setting(days, settings).drop("_q", "_every").join(by, keys, "left").fillna(0.0, ["_p", "_f"])
+    past = Window.partitionBy("setting").orderBy("i").rowsBetween(-span, -1)
+    sd = F.when(F.count("*").over(past) >= span // 2, F.stddev_samp(F.col("_p") + F.col("_f")).over(past))
     by = by.withColumn("leverage", F.when(sd > 1e-9, F.least(target / sd, F.lit(most))).otherwise(0.0))
-    scaled = weights.join(by.select("i", "leverage"), "i").select("i", "name", (x * F.col("leverage")).alias("w"))
-    old = scaled.select((F.col("i") + 1).alias("i"), "name", F.col("w").alias("was"))
-    both = scaled.join(old, ["i", "name"], "full").groupBy("i").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("turnover"))
-    out = by.join(both, "i", "left").fillna(0.0, ["turnover"])
-    price, paid, spent = F.col("leverage") * F.col("_p"), F.col("leverage") * F.col("_f"), cost * F.col("turnover")
-    return out.select("i", "date", "leverage", price.alias("price"), paid.alias("funding"), spent.alias("cost"), (price + paid - spent).alias("pnl"))
+    now = weights.join(by.select(*keys, "leverage"), keys).select(*keys, "name", (x * F.col("leverage")).alias("_w"))
+    gone = F.explode(F.array(F.struct(F.col("i"), F.col("_w")), F.struct((F.col("i") + 1).alias("i"), (-F.col("_w")).alias("_w"))))
+    moves = now.select("setting", "name", gone.alias("_m")).groupBy("setting", "_m.i", "name").agg(F.sum("_m._w").alias("_w"))
+    out = by.join(moves.groupBy(*keys).agg(F.sum(F.abs("_w")).alias("_t")), keys, "left").fillna(0.0, ["_t"])
+    price, paid, spent = F.col("leverage") * F.col("_p"), F.col("leverage") * F.col("_f"), cost * F.col("_t")
+    return out.select(*keys, "date", "leverage", price.alias("price"), paid.alias("funding"), spent.alias("cost"), (price + paid - spent).alias("pnl"))
 
 
 def chosen_forward(results: DataFrame, inside: int, walk: int, start: int = 0) -> DataFrame:

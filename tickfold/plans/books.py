@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import books as K
@@ -83,22 +81,21 @@ e{t} as (select i, sum(abs(w)) as turnover from (select i, name, sum(w) as w fro
 b{t} as (select i, date, leverage, leverage * p as price, leverage * f as funding, {COST} * coalesce(turnover, 0) as cost, leverage * p + leverage * f - {COST} * coalesce(turnover, 0) as pnl from k{t} left join e{t} using (i))"""
 
 
-def book(rows, q, rebalance, risk):
-    weights = K.carry_weights(rows, q, rebalance, 4, SPAN, "risk" if risk else None)
-    return K.carry_book(rows, weights, TARGET, SPAN, COST)
+def books(rows, settings, risk):
+    return K.carry_books(rows, settings, 4, TARGET, SPAN, COST, risk="risk" if risk else None)
 
 
-OUT = "i, date, round(leverage, 7) as leverage, round(price, 10) as price, round(funding, 10) as funding, round(cost, 10) as cost, round(pnl, 10) as pnl"
+OUT = "i, date, round(leverage, 7) as leverage, round(price, 14) as price, round(funding, 14) as funding, round(cost, 14) as cost, round(pnl, 14) as pnl"
 
 
 @query("funding_carry", f"with {FUNDED}, {carry_sql('', 0.2, 8, False)} select {OUT} from b")
 def funding_carry(spark, sf_dir):
-    return rounded(book(funded(spark, sf_dir), 0.2, 8, False), leverage=7, price=10, funding=10, cost=10, pnl=10)
+    return rounded(books(funded(spark, sf_dir), {"one": (0.2, 8)}, False).drop("setting"), leverage=7, price=14, funding=14, cost=14, pnl=14)
 
 
 @query("risk_weighted_carry", f"with {FUNDED}, {carry_sql('', 0.3, 4, True)} select {OUT} from b")
 def risk_weighted_carry(spark, sf_dir):
-    return rounded(book(funded(spark, sf_dir), 0.3, 4, True), leverage=7, price=10, funding=10, cost=10, pnl=10)
+    return rounded(books(funded(spark, sf_dir), {"one": (0.3, 4)}, True).drop("setting"), leverage=7, price=14, funding=14, cost=14, pnl=14)
 
 
 SETTINGS = {f"{r}_{q}": (q, r) for r in (2, 4) for q in (0.1, 0.2, 0.3)}
@@ -110,16 +107,14 @@ def grid_sql() -> str:
     union = " union all ".join(f"select '{s}' as setting, i, pnl from b_{j}" for j, s in enumerate(SETTINGS))
     return f"""with {FUNDED}, {parts}, res as ({union}), m as (select max(i) as m from res),
 fl as (select unnest(range(0, (m + 1 - {SPAN} - {inside + walk}) // {walk} + 1)) as fold from m where m + 1 - {SPAN} >= {inside + walk}),
-sc as (select fold, setting, round(avg(pnl) / nullif(stddev_samp(pnl), 0), 12) as s from res, fl where i >= {SPAN} + fold * {walk} and i < {SPAN + inside} + fold * {walk} group by 1, 2),
+sc as (select fold, setting, round(avg(pnl) / nullif(stddev_samp(pnl), 0), 14) as s from res, fl where i >= {SPAN} + fold * {walk} and i < {SPAN + inside} + fold * {walk} group by 1, 2),
 bs as (select fold, setting from (select *, row_number() over (partition by fold order by s desc, setting) as r from sc where s is not null) where r = 1)
-select fold, setting, i, round(pnl, 10) as pnl from res join bs using (setting) where i >= {SPAN + inside} + fold * {walk} and i < {SPAN + inside + walk} + fold * {walk}"""
+select fold, setting, i, round(pnl, 14) as pnl from res join bs using (setting) where i >= {SPAN + inside} + fold * {walk} and i < {SPAN + inside + walk} + fold * {walk}"""
 
 
 @query("carry_walk_forward", grid_sql())
 def carry_walk_forward(spark, sf_dir):
-    rows = funded(spark, sf_dir)
-    each = [book(rows, q, r, True).select(F.lit(s).alias("setting"), "i", "pnl") for s, (q, r) in SETTINGS.items()]
-    return rounded(K.chosen_forward(reduce(lambda a, b: a.unionByName(b), each), 100, 50, SPAN), pnl=10)
+    return rounded(K.chosen_forward(books(funded(spark, sf_dir), SETTINGS, True), 100, 50, SPAN), pnl=14)
 
 
 RET = "r as (select *, ln(close) - lag(ln(close)) over w as ret from bars window w as (partition by symbol order by bar_idx) qualify lag(close) over w is not null)"

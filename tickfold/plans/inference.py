@@ -130,11 +130,11 @@ def bars_by_market(spark, sf_dir):
     "tilted_weights",
     f"""with {PANEL}, r as (select *, count(*) over (partition by date) as n, row_number() over (partition by date order by x, name) as low from panel),
 k as (select *, greatest(least(floor(0.2 * n), floor(n / 2)), 1) as k from r), l as (select *, case when n >= 4 and n - low + 1 <= k then 1 when n >= 4 and low <= k then -1 end as leg from k),
-u as (select *, greatest(1 + 0.05 * leg * (x - avg(x) over (partition by date, leg)), 0.1) as u from l)
+u as (select *, greatest(1 + 0.0370370371::double * leg * (x - avg(x) over (partition by date, leg)), 0.1) as u from l)
 select name, date, round(coalesce(leg * u / sum(u) over (partition by date, leg), 0), 8) as weight from u""",
 )
 def tilted_weights(spark, sf_dir):
-    return rounded(P.long_short(panel(spark, sf_dir), 0.2, "x", 0.05).select("name", "date", "weight"), weight=8)
+    return rounded(P.long_short(panel(spark, sf_dir), 0.2, "x", 0.0370370371).select("name", "date", "weight"), weight=8)
 
 
 @query("next_trend")
