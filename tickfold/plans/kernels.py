@@ -14,12 +14,22 @@ from .market import DOLLAR, FOLD, TICKS, dollar_bars, rounded, sample_spans, tic
 from .registry import query, table
 
 
-@query("cusum_price")
+def cusum_sql(change: str, over: str) -> str:
+    """Running sums of ``change`` by recursion over a symbol's bars; the side that fires starts again. over: > or >=."""
+    return f"""{DOLLAR.replace("with ", "with recursive ", 1)}, r as (select symbol, bar_idx, {change} as x from bars window w as (partition by symbol order by bar_idx)),
+n as (select *, row_number() over (partition by symbol order by bar_idx) as i from r where x is not null),
+h as (select distinct symbol, cast(0 as bigint) as i, cast(0 as bigint) as bar_idx, 0.0::double as up, 0.0::double as down, 0 as side from n union all
+select symbol, i, bar_idx, case when u {over} 1 then 0.0 else u end, case when not u {over} 1 and -d {over} 1 then 0.0 else d end, case when u {over} 1 then 1 when -d {over} 1 then -1 else 0 end
+from (select n.symbol, n.i, n.bar_idx, greatest(0.0, h.up + n.x) as u, least(0.0, h.down + n.x) as d from h join n on n.symbol = h.symbol and n.i = h.i + 1))
+select symbol, bar_idx, side from h where side <> 0"""
+
+
+@query("cusum_price", cusum_sql("coalesce(ln(close) - lag(ln(close)) over w, 0)", ">"))
 def cusum_price(spark, sf_dir):
     return S.cusum_events(S.log_close(dollar_bars(spark, sf_dir)), 1.0)
 
 
-@query("cusum_returns")
+@query("cusum_returns", cusum_sql("ln(close) - lag(ln(close)) over w", ">="))
 def cusum_returns(spark, sf_dir):
     return S.cusum_events(R.with_log_return(dollar_bars(spark, sf_dir)), 1.0, strict=False, column="ret")
 

@@ -249,13 +249,29 @@ def flow_level(spark, sf_dir):
     return rounded(W.flow_level(dollar_bars(spark, sf_dir)).select("symbol", "bar_idx", "flow_level"), flow_level=6)
 
 
-@query("ewm_vol")
+def weighted(rows: str, x: str, span: float, tag: str) -> str:
+    """A CTE e{tag} (symbol, bar_idx, m, s): exponentially weighted mean and bias-corrected deviation of ``x`` by their sums
+    over all rows so far; s is 0 where there is none."""
+    sums = "sum(w) as w, sum(w * w) as ww, sum(w * x) / sum(w) as m, sum(w * x * x) / sum(w) as q"
+    return f"""p{tag} as (select a.symbol, a.bar_idx, pow(1 - 2 / ({span} + 1.0::double), a.bar_idx - b.bar_idx) as w, b.{x} as x from {rows} a join {rows} b on a.symbol = b.symbol and b.bar_idx <= a.bar_idx),
+e{tag} as (select symbol, bar_idx, m, coalesce(case when w * w - ww > 1e-12 then sqrt(greatest(q - m * m, 0) * w * w / (w * w - ww)) end, 0) as s from (select symbol, bar_idx, {sums} from p{tag} group by 1, 2))"""
+
+
+RET_ROWS = "rets as (select symbol, bar_idx, ln(close) - lag(ln(close)) over w as ret from bars window w as (partition by symbol order by bar_idx) qualify lag(close) over w is not null)"
+
+
+@query("ewm_vol", f"{DOLLAR}, {RET_ROWS}, {weighted('rets', 'ret', 50, '')} select symbol, bar_idx, round(ret, 8) as ret, round(s, 8) as vol, round(m, 8) as mean from rets join e using (symbol, bar_idx)")
 def ewm_vol(spark, sf_dir):
     rets = R.with_log_return(dollar_bars(spark, sf_dir)).select("symbol", "bar_idx", "ret")
-    return W.with_ewm(rets, {"vol": ("ret", 50, "std"), "mean": ("ret", 50, "mean")})
+    return rounded(W.with_ewm(rets, {"vol": ("ret", 50, "std"), "mean": ("ret", 50, "mean")}), ret=8, vol=8, mean=8)
 
 
-@query("crossover_events")
+@query(
+    "crossover_events",
+    f"""{DOLLAR}, {weighted("bars", "close", 10, "_f")}, {weighted("bars", "close", 50, "_s")},
+c as (select symbol, bar_idx, cast(sign(e_f.m - e_s.m) as integer) as side from e_f join e_s using (symbol, bar_idx)),
+l as (select *, lag(side) over (partition by symbol order by bar_idx) as was from c) select symbol, bar_idx, side from l where side <> 0 and side <> was""",
+)
 def crossover_events(spark, sf_dir):
     return W.crossover_events(dollar_bars(spark, sf_dir), 10, 50).select("symbol", "bar_idx", "side")
 

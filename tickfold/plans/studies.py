@@ -14,7 +14,7 @@ from ..operators import returns as R
 from ..operators import rolling as W
 from ..operators import studies as T
 from .corpus import BLOCK_SUMS, CORPUS, MOMENTS, PANEL, corpus, panel
-from .market import BETS, DOLLAR, RETURNS, dollar_bars, rounded, sample_bets
+from .market import BETS, DOLLAR, RETURNS, dollar_bars, rounded, sample_bets, weighted
 from .registry import query, table
 
 AT = "window w as (partition by symbol order by bar_idx)"
@@ -249,9 +249,14 @@ def forest_scores(spark, sf_dir):
     return scored.select("symbol", "ev_idx", "fold", F.col("p").alias("score"), F.col("y").alias("label"))
 
 
-@query("price_z_entries")
+@query(
+    "price_z_entries",
+    f"""{DOLLAR}, l as (select symbol, bar_idx, ln(close) as c from bars), {weighted("l", "c", 50, "")},
+z as (select symbol, bar_idx, case when s > 0 then (c - m) / s else 0 end as z from l join e using (symbol, bar_idx)), b as (select *, coalesce(abs(lag(z) over (partition by symbol order by bar_idx)), 0) as b from z)
+select symbol, bar_idx, round(z, 6) as z, cast(-sign(z) as integer) as side from b where abs(z) >= 1.5 and b < 1.5""",
+)
 def price_z_entries(spark, sf_dir):
-    return X.fresh_extremes(dollar_bars(spark, sf_dir), 50, 1.5).select("symbol", "bar_idx", "z", "side")
+    return rounded(X.fresh_extremes(dollar_bars(spark, sf_dir), 50, 1.5).select("symbol", "bar_idx", "z", "side"), z=6)
 
 
 @query("event_features")
