@@ -200,6 +200,19 @@ def test_decontamination_edges(spark):
     assert decontaminate.without_contaminated(docs.withColumn("hits", F.lit(1)), bench).columns == [*docs.columns, "hits"]
 
 
+def test_clashing_columns_stay(spark):
+    """Columns with the names of temporary ones keep their values."""
+    item = "one two three four five six seven eight nine ten eleven"
+    names = ["_key", "_hit", "_found", "_match", "_part", "_start", "_scored", "_best", "_placed", "row_key", "score"]
+    docs = table(spark, [f"Start: {item}. End", "x password=hunter2x y", None], [1, 2, 3])
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    bench = benchmark(spark, [(1, item)])
+    for got, ids in ((decontaminate.without_contaminated(docs, bench), [2, 3]), (decontaminate.without_spans(docs, bench), [1, 2, 3]), (secrets.without_secrets(docs), [1, 2, 3])):
+        assert got.columns == docs.columns
+        rows = got.orderBy("doc_id").collect()
+        assert [r["doc_id"] for r in rows] == ids and all(r[n] == n for r in rows for n in names)
+
+
 def test_licenses(spark):
     texts = [
         "Released under the MIT License. under the mit-license", "Apache License, Version 2.0", "CC BY-NC 4.0 cc by nc", None, "", "the mit license",

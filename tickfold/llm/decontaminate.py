@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, sized
+from .common import WORD, ascii_lower, fresh, sized
 
 #: Bits of the first test; a benchmark of many more windows only lets more blocks pass it.
 BITS = 1 << 16
@@ -144,23 +144,25 @@ def contamination(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
     """``docs`` without the rows in whose text a window occurs; all columns stay."""
-    bad = benchmark_hits(docs, benchmark, id_col, text_col, width).where(F.size("hits") > 0).select(F.col("row_key").alias("_key"))
-    return docs.join(sized(bad), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_key"), "left_anti")
+    key = fresh(docs, "_key")
+    bad = benchmark_hits(docs, benchmark, id_col, text_col, width).where(F.size("hits") > 0).select(F.col("row_key").alias(key))
+    return docs.join(sized(bad), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(key), "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
     """``docs`` with the hit words taken out of the contaminated texts, up to the next word each; all columns stay."""
     found = benchmark_hits(docs, benchmark, id_col, text_col, width).where(F.size("hits") > 0)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
-    spans = found.select(F.col("row_key").alias("_key"), covered.alias("_hit"))
-    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(sized(spans), "_key", "left")
+    key, hit = fresh(docs, "_key"), fresh(docs, "_hit")
+    spans = found.select(F.col("row_key").alias(key), covered.alias(hit))
+    joined = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).join(sized(spans), key, "left")
     # Word k with what follows it; what stands before word 0 is kept.
     other = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # no part of a word in either case
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[^{other}]+[{other}]*"), F.lit(0))
     head = F.regexp_extract(F.col(text_col), f"^[{other}]*", 0)
-    kept = F.filter(F.transform(pieces, lambda p, i: F.when(F.array_contains("_hit", i), None).otherwise(p)), lambda p: p.isNotNull())
+    kept = F.filter(F.transform(pieces, lambda p, i: F.when(F.array_contains(hit, i), None).otherwise(p)), lambda p: p.isNotNull())
     clean = F.concat(head, F.array_join(kept, ""))
-    text = F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(clean).alias(text_col)
+    text = F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(clean).alias(text_col)
     return joined.select(*(text if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 

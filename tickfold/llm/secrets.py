@@ -16,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 LEAST_LENGTH, BEFORE = 12, 32
 #: A name that is given a secret, up to where its value starts.
 GIVEN = (
@@ -163,17 +165,18 @@ class Forest:
 def with_candidates(df: DataFrame, text: str, forest: Forest, name: str) -> DataFrame:
     """``df`` with an array ``name`` of structs (value, position from 1, score) of the distinct candidates of a
     text. Every occurrence is scored in its own context; a value has its highest score and its first position."""
+    match, part, begin, scored, best, places = (fresh(df, f"_{n}") for n in ("match", "part", "start", "scored", "best", "placed"))
     empty = F.array().cast("array<string>")
-    df = df.withColumn("_match", F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), empty))
-    df = df.withColumn("_part", F.when(F.size("_match") > 0, F.split(text, CANDIDATE, -1)).otherwise(empty))
+    df = df.withColumn(match, F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), empty))
+    df = df.withColumn(part, F.when(F.size(match) > 0, F.split(text, CANDIDATE, -1)).otherwise(empty))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
 
     def add(a: Column, x: Column) -> Column:
         here = a["at"] + F.length(x["p"])
         return F.struct((here + F.length(x["m"])).alias("at"), F.concat(a["all"], F.array(here)).alias("all"))
 
-    pairs = F.zip_with(F.slice("_part", 1, F.size("_match")), F.col("_match"), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    df = df.withColumn("_start", F.when(F.size("_match") > 0, F.aggregate(pairs, start, add, lambda a: a["all"])).otherwise(F.array().cast("array<int>")))
+    pairs = F.zip_with(F.slice(part, 1, F.size(match)), F.col(match), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    df = df.withColumn(begin, F.when(F.size(match) > 0, F.aggregate(pairs, start, add, lambda a: a["all"])).otherwise(F.array().cast("array<int>")))
 
     def placed(m: Column, at: Column) -> Column:
         given = F.length(F.regexp_extract(m, f"^{GIVEN}", 0))
@@ -189,15 +192,15 @@ def with_candidates(df: DataFrame, text: str, forest: Forest, name: str) -> Data
     def judged(c: Column) -> Column:
         return F.struct(c["value"].alias("value"), forest.score({k: c[k] for k in FEATURES}).alias("score"), c["position"].alias("position"))
 
-    found = F.transform(F.transform(F.zip_with("_match", "_start", placed), described), judged)
-    df = df.withColumn("_scored", F.array_sort(found))
+    found = F.transform(F.transform(F.zip_with(match, begin, placed), described), judged)
+    df = df.withColumn(scored, F.array_sort(found))
     # Sorted by value, score and position: of each value, the last has the highest score.
-    last = lambda c, i: (i + 1 >= F.size("_scored")) | (F.get("_scored", i + 1)["value"] != c["value"])
-    by_place = F.array_sort(F.transform("_scored", lambda c: F.struct(c["value"].alias("value"), c["position"].alias("position"))))
-    df = df.withColumn("_best", F.filter("_scored", last)).withColumn("_placed", by_place)
-    first = F.filter("_placed", lambda c, i: (i == 0) | (F.get("_placed", i - 1)["value"] != c["value"]))
-    out = F.zip_with("_best", first, lambda b, f: F.struct(b["value"].alias("value"), f["position"].alias("position"), b["score"].alias("score")))
-    return df.withColumn(name, out).drop("_match", "_part", "_start", "_scored", "_best", "_placed")
+    last = lambda c, i: (i + 1 >= F.size(scored)) | (F.get(scored, i + 1)["value"] != c["value"])
+    by_place = F.array_sort(F.transform(scored, lambda c: F.struct(c["value"].alias("value"), c["position"].alias("position"))))
+    df = df.withColumn(best, F.filter(scored, last)).withColumn(places, by_place)
+    first = F.filter(places, lambda c, i: (i == 0) | (F.get(places, i - 1)["value"] != c["value"]))
+    out = F.zip_with(best, first, lambda b, f: F.struct(b["value"].alias("value"), f["position"].alias("position"), b["score"].alias("score")))
+    return df.withColumn(name, out).drop(match, part, begin, scored, best, places)
 
 
 def _whole(value: Column) -> Column:
@@ -239,11 +242,11 @@ def without_secrets(df: DataFrame, text_col: str = "text", findings: DataFrame |
     """``df`` with every occurrence of every secret replaced by a mask; all rows and columns stay. Secrets of under
     12 characters are replaced where they stand as whole words; longer ones go first."""
     forest = Forest.fit(findings if findings is not None else labelled_findings(df.sparkSession))
-    text = F.col(text_col)
-    secrets = F.filter(F.col("_found"), lambda c: c["score"] >= LIMIT)
+    text, found = F.col(text_col), fresh(df, "_found")
+    secrets = F.filter(F.col(found), lambda c: c["score"] >= LIMIT)
     longest = F.reverse(F.array_sort(F.transform(secrets, lambda c: F.struct(F.length(c["value"]).alias("n"), c["value"].alias("value")))))
 
     def masked(t: Column, c: Column) -> Column:
         return F.when(c["n"] >= LEAST_LENGTH, F.replace(t, c["value"], F.lit(MASK))).otherwise(F.regexp_replace(t, _whole(c["value"]), F.lit(MASK)))
 
-    return with_candidates(df, text_col, forest, "_found").withColumn(text_col, F.aggregate(longest, text, masked)).drop("_found")
+    return with_candidates(df, text_col, forest, found).withColumn(text_col, F.aggregate(longest, text, masked)).drop(found)
