@@ -244,6 +244,18 @@ def test_license_expressions(text, sets):
     assert licenses.choices(text) == [frozenset(s) for s in sets]
 
 
+def test_license_names_and_places():
+    ac = licenses.automaton()
+    scan = lambda t: licenses.scan(t.encode(), ac)
+    assert scan("SPDX-License-Identifier: see the file")[5:7] == ("", None) and scan("SPDX-License-Identifier: see the file")[7] == 0
+    assert scan("SPDX-License-Identifier: Foo OR MIT")[5:7] == ("mit", True) and scan("SPDX-License-Identifier: Foo AND MIT")[5:7] == ("mit", False)
+    assert scan("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0")[5] == "gpl-2-with-classpath-exception-2"
+    assert scan("SPDX-License-Identifier: MITRE")[5] == "" and scan("SPDX-License-Identifier: LGPLv3")[5] == "lgplv3"
+    many = "x " + "y cc by nc under the mit license apache license version 2 " * 3_000
+    words, places, first, last = scan(many)[:4]
+    assert (words, places, first, last) == (1 + 12 * 3_000, 9_000, 2, 12 * 2_999 + 9)
+
+
 def test_license_expression_of_many_choices():
     ac = licenses.automaton()
     for n in (2, 7, 40):

@@ -37,6 +37,14 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "cc0", "unlicense", "zlib"}
+# Families of license identifiers; a name is known if it is one of them, or one followed by a hyphen or a version.
+FAMILIES = (
+    "0bsd", "afl", "agpl", "apache", "apsl", "artistic", "beerware", "blueoak", "bsd", "bsl", "busl", "bzip2", "cc0", "cc-by", "cddl", "cecill", "cpl", "curl",
+    "ecl", "efl", "elastic", "epl", "etalab", "eupl", "fsfap", "ftl", "gfdl", "gpl", "hpnd", "icu", "ijg", "ipl", "isc", "json", "lgpl", "libpng", "licenseref",
+    "lppl", "mit", "mpl", "ms-pl", "ms-rl", "mulanpsl", "ncsa", "nist-pd", "npl", "odbl", "odc-by", "ofl", "oldap", "openssl", "osl", "pddl", "php", "postgresql",
+    "psf", "python", "qpl", "ruby", "sgi-b", "sissl", "sleepycat", "sspl", "tcl", "unicode", "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "xnet", "zlib", "zpl",
+)
+_KNOWN = re.compile(rf"(?:{'|'.join(map(re.escape, FAMILIES))})(?:-|v?[0-9]|$)")
 _TAG_LINE = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+|\S")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
@@ -102,19 +110,20 @@ def choices(expression: str) -> list[frozenset[str]]:
 
 
 def judged(expression: str) -> tuple[frozenset[str], bool] | None:
-    """(all labels of the expression, whether it leaves a choice of permissive licenses only)."""
-    stack: list[tuple[frozenset[str], bool]] = []
+    """(all labels of the expression's known licenses, whether it leaves a choice of permissive licenses only); a name
+    of no known family has no label and isn't permissive. None without a known license."""
+    stack: list[tuple[frozenset[str], bool, str]] = []
     for token in postfix(expression):
         if token not in _PRIORITY:
             label = label_of(token)
-            stack.append((frozenset([label]), label.split("-with-")[0] in PERMISSIVE))
+            stack.append((frozenset([label] if _KNOWN.match(label) else []), label in PERMISSIVE, label))
             continue
-        (right, also), (left, free) = stack.pop(), stack.pop()
+        (right, also, name), (left, free, _) = stack.pop(), stack.pop()
         if token == "with":
-            stack.append((frozenset(f"{x}-with-{y}" for x in left for y in right), free))
+            stack.append((frozenset(f"{x}-with-{name}" for x in left), free, name))
         else:
-            stack.append((left | right, free or also if token == "or" else free and also))
-    return stack[0] if stack else None
+            stack.append((left | right, free or also if token == "or" else free and also, name))
+    return stack[0][:2] if stack and stack[0][0] else None
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -131,9 +140,13 @@ def scan(text: bytes | None, ac: ahocorasick.Automaton) -> tuple:
     line = f" {b' '.join(parts).decode('latin-1')} "
     starts, base, labels, free = [], set(), set(), []
     tagged, weak = False, 1.0
+    at = word = 0  # blanks are counted from the last hit on, as a text may be full of notices
     for end, (phrase, back) in ac.iter(line) if parts else ():
         if phrase in BASE:
-            starts.append(line.count(" ", 0, end - back))
+            start = end - back
+            word += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
+            at = start
+            starts.append(word)
             base.add(BASE[phrase])
             free.append(BASE[phrase] in PERMISSIVE)
         elif phrase == TAG:
@@ -170,7 +183,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     (whether every notice leaves a choice of permissive licenses only; null without notices), score
     (0: no notice; each base phrase, tag and other notice takes a share of what is left to 1).
 
-    Null and empty texts have no words and empty labels. Rows, ids and ties stay as they are; other
+    Null and empty texts have no words and empty labels; a tag that names no known license adds none. Rows, ids and ties stay as they are; other
     columns are not looked at.
     """
     base = texts(df, id_col, text_col)
