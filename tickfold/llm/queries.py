@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import token_digests
+from .centroids import cluster_vectors
+from .centroids import oracle as cluster_sql
 from .common import LOWER, UPPER, table
+from .conversation_trie import oracle as trie_sql
+from .conversation_trie import prefix_trie
 from .decontaminate import contamination
 from .decontaminate import oracle as contamination_sql
 from .html_extract import extract_text
@@ -97,6 +102,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality": op2_quality,
@@ -108,9 +125,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
+    "op11_bpe": op11_bpe,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_centroids": op13_centroids,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": NGRAM_SQL,
     "op4_url_filter": url_sql(),
     "op6_decontamination": contamination_sql(),
+    "op12_conversation_trie": trie_sql(),
+    "op13_centroids": cluster_sql(),
 }
