@@ -101,12 +101,15 @@ class Vocabulary:
             rows = max(1, CELLS >> power)
             for at in range(0, len(bucket), rows):
                 part = bucket[at : at + rows]
-                for row, ids in self._matrix(part):
-                    out[part[row]] = ids.astype("<u4").tobytes()
+                for rows_, ends, ids in self._matrix(part):
+                    start = 0
+                    for row, end in zip(rows_, ends):
+                        out[part[row]] = ids[start:end]
+                        start = end
         return out
 
-    def _matrix(self, pieces: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, ids) of pieces as they end. Each round every row merges its leftmost pair of least rank, so that
+    def _matrix(self, pieces: list[bytes]) -> Iterator[tuple[list[int], list[int], bytes]]:
+        """Rows that have ended, where each one's ids end, and all their ids. Each round every row merges its leftmost pair of least rank, so that
         each loses one cell and the matrix one column; rows without a pair leave it."""
         lengths = np.array([len(p) for p in pieces])
         cells = np.full((len(pieces), lengths.max(initial=1)), PAD, np.int32)
@@ -117,11 +120,12 @@ class Vocabulary:
             at = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
             least = ranks[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), NONE)
             live = least < NONE
-            for k in np.flatnonzero(~live):
-                yield int(rows[k]), cells[k][cells[k] >= 0]
-            if not live.any():
-                return
             if not live.all():
+                done = cells[~live]
+                held = done >= 0
+                yield rows[~live].tolist(), (4 * held.sum(1).cumsum()).tolist(), done[held].astype("<u4").tobytes()
+                if not live.any():
+                    return
                 rows, cells, ranks, at, least = rows[live], cells[live], ranks[live], at[live], least[live]
             each, column = np.arange(len(rows)), np.arange(width)
             cells[each, at] = least
@@ -225,23 +229,27 @@ def _encode(path: str | None, pattern: str, other: dict[str, str]):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, split, known = vocabulary(path), Splitter(pattern, other), {}
 
-        def ids(text: str) -> bytes:
-            out = []
-            for part in split.parts(text):
-                if new := {p for p in set(part) if p not in known}:
-                    coded = vocab.encode_pieces({p.encode() for p in new})
-                    known.update((p, coded[p.encode()]) for p in new)
-                out.append(b"".join(map(known.__getitem__, part)))
-                if len(known) > REMEMBERED:
-                    known.clear()
+        def ids(parts: list[list[str]]) -> list[bytes]:
+            """Of each list of pieces; all that are new are encoded at once."""
+            if new := [p for p in set().union(*parts) if p not in known]:
+                written = [p.encode() for p in new]
+                known.update(zip(new, map(vocab.encode_pieces(written).__getitem__, written)))
+            out = [b"".join(map(known.__getitem__, part)) for part in parts]
+            if len(known) > REMEMBERED:
+                known.clear()
+            else:
                 for p in new:
                     if len(p) > REMEMBERED_BYTES:
-                        known.pop(p, None)
-            return b"".join(out)
+                        del known[p]
+            return out
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                coded = [ids((t or b"").decode("utf-8", "replace")) for t in utf8(batch, "text")]
+                read = [(t or b"").decode("utf-8", "replace") for t in utf8(batch, "text")]
+                if len(read) > 1 or len(read[0]) <= CHARS:
+                    coded = ids([next(split.parts(t)) for t in read])
+                else:
+                    coded = [b"".join(ids([part])[0] for part in split.parts(read[0]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["id", "ids"])
 
     return kernel
