@@ -553,6 +553,23 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_very_long_values(spark):
+    """Values that alternate between characters of one and two units, and signs that the pattern looks ahead from."""
+    values = ["a😀" * 50_000, "a&" * 50_000 + "b", ".,;" * 30_000 + "x", "&&" * 40_000 + "z"]
+    texts = [f"x password={v} y" for v in values] + [f"x password={values[0]}", "password=" + "." * 50_000]
+    docs = table(spark, texts)
+    found = {r["doc_id"]: (r["value"], r["position"]) for r in secrets.find_secrets(docs).collect()}
+    assert found == {i: (v, 12) for i, v in enumerate([*values, values[0]])}
+    assert secrets.without_secrets(docs).count() == len(texts)
+
+
+def test_places_of_many_secrets(spark):
+    rng = random.Random(5)
+    text = " ".join(f"{'é😀' * rng.randrange(4)} token={rng.getrandbits(80):020x}{'.' * rng.randrange(2)}" for _ in range(700))
+    found = sorted((r["position"], r["value"]) for r in secrets.find_secrets(table(spark, [text])).collect())
+    assert found == [(m.start(1) + 1, m[1]) for m in re.finditer(r"token=([0-9a-f]+)", text)]
+
+
 def test_secrets_in_every_context(spark):
     """A key counts by its most telling occurrence, and values of names whatever their length, digits and signs."""
     token = "2c3a4249d77070058649dbd822dcaf7957586fce"

@@ -26,11 +26,15 @@ GIVEN = (
 )
 #: Candidates: the value of such a name, whatever its length and signs; else a run of at least 12 key characters with
 #: a digit in it, or of 16 or more capitals; not within a longer run.
+#: Its last signs of punctuation don't count. The group takes what it takes for good, which the JVM's engine does in a
+#: loop; a group that may give back recurses, and long values would overflow the stack.
 CANDIDATE = (
-    GIVEN + r"(?:(?!&\w+=)[^\s\"'])+(?<![.,;:)\]}>])"
+    GIVEN + r"(?:[^\s\"'&.,;:)\]}>]|&(?!\w+=)|[.,;:)\]}>]++(?![\s\"']|\z|&\w+=))++"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{11}[A-Za-z0-9+/_\-=])(?:[A-Za-z+/_\-]*+[0-9][A-Za-z0-9+/_\-]*+|[A-Z]{16,}+(?![A-Za-z0-9+/_\-]))={0,2}"
 )
 LIMIT, TREES, DEPTH, SEED = 0.5, 20, 6, 7
+#: Candidates of a text whose places are summed together.
+BLOCK = 128
 #: What a secret is replaced with.
 MASK = "[SECRET]"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -165,18 +169,28 @@ class Forest:
 def with_candidates(df: DataFrame, text: str, forest: Forest, name: str) -> DataFrame:
     """``df`` with an array ``name`` of structs (value, position from 1, score) of the distinct candidates of a
     text. Every occurrence is scored in its own context; a value has its highest score and its first position."""
-    match, part, begin, scored, best, places = (fresh(df, f"_{n}") for n in ("match", "part", "start", "scored", "best", "placed"))
+    match, part, sizes_, begin, scored, best, places = (fresh(df, f"_{n}") for n in ("match", "part", "sizes", "start", "scored", "best", "placed"))
     empty = F.array().cast("array<string>")
     df = df.withColumn(match, F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), empty))
     df = df.withColumn(part, F.when(F.size(match) > 0, F.split(text, CANDIDATE, -1)).otherwise(empty))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
+    nothing = F.array().cast("array<int>")
 
     def add(a: Column, x: Column) -> Column:
-        here = a["at"] + F.length(x["p"])
-        return F.struct((here + F.length(x["m"])).alias("at"), F.concat(a["all"], F.array(here)).alias("all"))
-
-    pairs = F.zip_with(F.slice(part, 1, F.size(match)), F.col(match), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    df = df.withColumn(begin, F.when(F.size(match) > 0, F.aggregate(pairs, start, add, lambda a: a["all"])).otherwise(F.array().cast("array<int>")))
+        here = a["at"] + x["gap"]
+        return F.struct((here + x["length"]).alias("at"), F.concat(a["all"], F.array(here)).alias("all"))
+
+    def join(a: Column, block: Column) -> Column:
+        starts = F.transform(block["all"], lambda s: s + a["at"])
+        return F.struct((a["at"] + block["at"]).alias("at"), F.concat(a["all"], F.array(starts)).alias("all"))
+
+    # An array that grows is copied at each step, so places are summed within blocks, and blocks are joined once.
+    sizes = F.zip_with(F.slice(part, 1, F.size(match)), F.col(match), lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("length")))
+    blocks = F.transform(
+        F.sequence(F.lit(1), F.size(match), F.lit(BLOCK)),
+        lambda i: F.aggregate(F.slice(F.col(sizes_), i, BLOCK), F.struct(F.lit(0).alias("at"), nothing.alias("all")), add),
+    )
+    joined = F.aggregate(blocks, F.struct(F.lit(1).alias("at"), F.array().cast("array<array<int>>").alias("all")), join, lambda a: F.flatten(a["all"]))
+    df = df.withColumn(sizes_, F.when(F.size(match) > 0, sizes)).withColumn(begin, F.when(F.size(match) > 0, joined).otherwise(nothing))
 
     def placed(m: Column, at: Column) -> Column:
         given = F.length(F.regexp_extract(m, f"^{GIVEN}", 0))
@@ -200,7 +214,7 @@ def with_candidates(df: DataFrame, text: str, forest: Forest, name: str) -> Data
     df = df.withColumn(best, F.filter(scored, last)).withColumn(places, by_place)
     first = F.filter(places, lambda c, i: (i == 0) | (F.get(places, i - 1)["value"] != c["value"]))
     out = F.zip_with(best, first, lambda b, f: F.struct(b["value"].alias("value"), f["position"].alias("position"), b["score"].alias("score")))
-    return df.withColumn(name, out).drop(match, part, begin, scored, best, places)
+    return df.withColumn(name, out).drop(match, part, sizes_, begin, scored, best, places)
 
 
 def _whole(value: Column) -> Column:
@@ -215,7 +229,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (share of trees, the highest of all its occurrences), is_secret (score >= 0.5).
 
     findings: labelled (value, before, label); None: ``labelled_findings``. Null and empty texts have no
-    candidates. Repeated rows give repeated findings. Other columns are not looked at.
+    candidates. Repeated rows give repeated findings. Other columns are not looked at. A value may have any length
+    and any characters; the time of a text grows with its length times its distinct candidates. No rows give none.
     """
     forest = Forest.fit(findings if findings is not None else labelled_findings(df.sparkSession))
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
