@@ -171,14 +171,14 @@ def group_importance(events: DataFrame, features: Sequence[str], label: str, gro
     spans = events.select("symbol", "ev_idx", "end_idx")
     rows = cut(tagged(events, {"purged": purged_folds(spans, k, embargo)}).where(F.col(label).isNotNull()).select("symbol", "ev_idx", label, "trains", "tests", *features))
     fits = cut(fern_fits(rows.withColumn("cells", cells(drawn)), [], label))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "symbol", "ev_idx"), F.lit(buckets)).alias("_b")
-    rank = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(salt), "symbol", "ev_idx"), "symbol", "ev_idx"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "symbol", "ev_idx"), F.lit(buckets)).alias("_bucket")
+    rank = lambda salt: F.row_number().over(Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(salt), "symbol", "ev_idx"), "symbol", "ev_idx"))
     placed = rows.select("*", bucket).withColumns({"_i": rank(seed + 1), "_j": rank(seed + 2)})
-    other = placed.select("_b", F.col("_j").alias("_i"), *(F.col(f).alias(f"_{f}") for f in features))
-    mixed = cut(placed.join(other, ["_b", "_i"]))
+    other = placed.select("_bucket", F.col("_j").alias("_i"), *(F.col(f).alias(f"_dealt_{f}") for f in features))
+    mixed = cut(placed.join(other, ["_bucket", "_i"]))
     variants = [F.struct(F.lit(-1).alias("_g"), cells(drawn).alias("cells"))]
     for g, names in enumerate(groups):
-        variants.append(F.struct(F.lit(g).alias("_g"), cells(drawn, lambda f, names=names: F.col(f"_{f}" if f in names else f)).alias("cells")))
+        variants.append(F.struct(F.lit(g).alias("_g"), cells(drawn, lambda f, names=names: F.col(f"_dealt_{f}" if f in names else f)).alias("cells")))
     each = mixed.withColumn("_v", F.explode(F.array(*variants))).select("symbol", "ev_idx", label, "tests", "_v._g", "_v.cells")
     each = each.withColumn("_row", F.struct("symbol", "ev_idx", "_g"))
     scored = fern_scores(each, fits, [], "_row", label, [1.0]).withColumn("_g", F.col("_row._g"))

@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from .lineage import cut
+from .pairs import pair_products
 
 
 def corpus_moments(corpus: DataFrame) -> DataFrame:
@@ -101,13 +105,17 @@ def pbo(corpus: DataFrame, blocks: int = 6) -> DataFrame:
 def effective_strategies(corpus: DataFrame) -> DataFrame:
     """Participation ratio of the correlation matrix, trace^2 / sum of squared entries: no eigenvalues needed.
 
-    Sums of products come from one join of the corpus with itself on days, zeros for missing days.
+    Sums of products come from blocks of strategies and days, as matrix products; zeros for missing days.
     """
     daily = corpus.groupBy("asset", "date", "strategy").agg(F.sum("pnl").cast("double").alias("x"))
     m = corpus_moments(corpus).where("sd > 0").select("asset", "strategy", "mean", "sd", "days")
-    a = daily.join(m, ["asset", "strategy"])
-    b = a.select("asset", "date", F.col("strategy").alias("other"), F.col("x").alias("y"), F.col("mean").alias("mean2"), F.col("sd").alias("sd2"))
-    products = a.join(b, ["asset", "date"]).where("strategy < other").groupBy("asset", "strategy", "other", "days", "mean", "mean2", "sd", "sd2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    day = F.dense_rank().over(Window.partitionBy("asset").orderBy("date"))
+    dates = daily.select("asset", "date").distinct().withColumn("_day", day)  # one row for an asset's day
+    rows = daily.join(m.select("asset", "strategy"), ["asset", "strategy"]).join(dates, ["asset", "date"])
+    met = pair_products(rows.select(F.col("asset").alias("group"), F.col("strategy").alias("name"), F.col("_day").cast("bigint").alias("date"), "x"))
+    met = met.select(F.col("group").alias("asset"), F.col("name").alias("strategy"), "other", F.col("sxy").alias("xy"))
+    other = m.select("asset", F.col("strategy").alias("other"), F.col("mean").alias("mean2"), F.col("sd").alias("sd2"))
+    products = met.join(m, ["asset", "strategy"]).join(other, ["asset", "other"])
     t = F.col("days")
     r = (F.col("xy") / t - F.col("mean") * F.col("mean2")) * t / (t - 1) / (F.col("sd") * F.col("sd2"))
     met = products.select("asset", "strategy", "other", (r * r - F.pow(F.col("mean") * F.col("mean2") * t / (t - 1) / (F.col("sd") * F.col("sd2")), 2)).alias("more"))
@@ -121,6 +129,57 @@ def effective_strategies(corpus: DataFrame) -> DataFrame:
     return rows.select("asset", F.col("n").cast("bigint").alias("strategies"), F.when(F.col("n") < 4, F.col("n")).otherwise(F.col("n") * F.col("n") / (F.col("n") + off)).alias("effective"))
 
 
+#: Days whose Gram matrix one task may hold: 4,096^2 numbers are 134 MB.
+MOST_DAYS = 4_096
+
+
+def gram_matrix(corpus: DataFrame) -> DataFrame:
+    """(asset, i, j, g), i <= j: products of days i and j over strategies whose daily results are standardised, with
+    zeros for missing days; strategies without deviation are left out.
+
+    Its eigenvalues other than 0 are those of the strategies' correlation matrix times (days - 1), so a spectrum costs
+    days squared, whatever the strategies. Results stay sparse: with a = x / sd and b = mean / sd, a product is
+    sum(a a') - p - p' + sum(b b), where p are a day's sums of a b. Strategies meet in blocks, as matrix products.
+    """
+    daily = corpus.groupBy("asset", "date", "strategy").agg(F.sum("pnl").cast("double").alias("x"))
+    m = corpus_moments(corpus).where("sd > 0").select("asset", "strategy", (F.col("mean") / F.col("sd")).alias("b"), "sd")
+    days = daily.select("asset", "date").distinct().withColumn("day", (F.dense_rank().over(Window.partitionBy("asset").orderBy("date")) - 1).cast("bigint"))
+    place = m.withColumn("turn", F.row_number().over(Window.partitionBy("asset").orderBy("strategy")).cast("bigint"))
+    rows = cut(daily.join(place, ["asset", "strategy"]).join(days, ["asset", "date"]).select("asset", "day", "turn", (F.col("x") / F.col("sd")).alias("a"), "b"))
+    met = pair_products(rows.select(F.col("asset").alias("group"), F.col("day").alias("name"), F.col("turn").alias("date"), F.col("a").alias("x")))
+    own = rows.groupBy("asset", "day").agg(F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("a") * F.col("b")).alias("p"))
+    every = days.select("asset", "day").join(own, ["asset", "day"], "left").na.fill(0.0, ["aa", "p"])
+    constant = m.groupBy("asset").agg(F.sum(F.col("b") * F.col("b")).alias("c"))
+    here = every.select("asset", F.col("day").alias("i"), F.col("p").alias("pi"))
+    pairs = every.join(here, "asset").where("i < day").select("asset", "i", F.col("day").alias("j"), "pi", F.col("p").alias("pj"))
+    sums = met.select(F.col("group").alias("asset"), F.col("name").alias("i"), F.col("other").alias("j"), "sxy")
+    off = pairs.join(sums, ["asset", "i", "j"], "left").join(constant, "asset").select("asset", "i", "j", (F.coalesce("sxy", F.lit(0.0)) - F.col("pi") - F.col("pj") + F.col("c")).alias("g"))
+    diagonal = every.join(constant, "asset").select("asset", F.col("day").alias("i"), F.col("day").alias("j"), (F.col("aa") - 2 * F.col("p") + F.col("c")).alias("g"))
+    return off.unionByName(diagonal)
+
+
+def spectrum(corpus: DataFrame) -> DataFrame:
+    """(asset, strategies, days, participation, entropy_number, top_share): of the eigenvalues of the strategies' correlation
+    matrix: (sum)^2 / sum of squares, the exponential of the entropy of their shares, and the largest one's share.
+    An asset of more than ``MOST_DAYS`` days is an error."""
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        n = int(p["j"].max()) + 1
+        if n > MOST_DAYS:
+            raise ValueError(f"{n} days; the Gram matrix of a task is bounded by {MOST_DAYS}")
+        g = np.zeros((n, n))
+        g[p["i"], p["j"]] = g[p["j"], p["i"]] = p["g"]
+        values = np.maximum(np.linalg.eigvalsh(g), 0)
+        share = values[values > values.sum() * 1e-12] / values.sum()
+        row = (p["asset"].iloc[0], n, 1 / (share**2).sum(), float(np.exp(-(share * np.log(share)).sum())), share.max())
+        return pd.DataFrame([row], columns=["asset", "days", "participation", "entropy_number", "top_share"])
+
+    kind = dict(corpus.dtypes)["asset"]
+    found = gram_matrix(corpus).groupBy("asset").applyInPandas(kernel, f"asset {kind}, days long, participation double, entropy_number double, top_share double")
+    counted = corpus_moments(corpus).where("sd > 0").groupBy("asset").agg(F.count("*").alias("strategies"))
+    return counted.join(found, "asset").select("asset", "strategies", "days", "participation", "entropy_number", "top_share")
+
+
 def profit_factor(corpus: DataFrame) -> DataFrame:
     """Per (asset, strategy): gains over losses (infinite without losses, 0 without either), active days, Gini of |pnl|."""
     daily = corpus.groupBy("asset", "strategy", "date").agg(F.sum("pnl").cast("double").alias("x"))

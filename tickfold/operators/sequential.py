@@ -210,33 +210,69 @@ def explosiveness(bars: DataFrame, least: int = 60, most: int | None = 250, colu
     return along(bars.select("symbol", "bar_idx", column), ["bar_idx"], "symbol string, bar_idx bigint, sadf double", kernel)
 
 
+class SpanDraws:
+    """Draws of spans in proportion to their average uniqueness given those drawn before: the mean over a span's bars
+    of 1 / (draws on the bar + 1).
+
+    Spans are in the order of their starts, so that those a draw touches are a run of them: it ends before the first
+    that starts behind the draw, and begins where some end first reaches it. Only their odds change, and the sums
+    of their blocks; a draw finds its block first. Nothing is as large as spans times bars.
+    """
+
+    def __init__(self, start: np.ndarray, end: np.ndarray):
+        self.start, self.end, self.length = start - start.min(), end - start.min(), (end - start + 1).astype(float)
+        self.reach = np.maximum.accumulate(self.end)
+        self.counts = np.zeros(int(self.end.max()) + 1, np.int64)
+        self.block = max(1, int(len(start) ** 0.5))
+        self.odds = np.ones(len(start))
+        self.sums = np.add.reduceat(self.odds, np.arange(0, len(start), self.block))
+
+    def draw(self, u: float) -> int:
+        """The span at share ``u`` of the running sum of odds."""
+        ahead = np.cumsum(self.sums)
+        target = u * ahead[-1]
+        b = min(int(np.searchsorted(ahead, target)), len(ahead) - 1)
+        low = b * self.block
+        inner = np.cumsum(self.odds[low : low + self.block]) + (ahead[b - 1] if b else 0.0)
+        i = min(low + int(np.searchsorted(inner, target)), min(low + self.block, len(self.odds)) - 1)
+        self.counts[self.start[i] : self.end[i] + 1] += 1
+        first = int(np.searchsorted(self.reach, self.start[i]))
+        stop = int(np.searchsorted(self.start, self.end[i], side="right"))
+        origin = self.start[first]
+        run = np.concatenate(([0.0], np.cumsum(1.0 / (self.counts[origin : self.reach[stop - 1] + 1] + 1))))
+        part = slice(first, stop)
+        self.odds[part] = (run[self.end[part] + 1 - origin] - run[self.start[part] - origin]) / self.length[part]
+        b0, b1 = first // self.block, (stop - 1) // self.block
+        whole = self.odds[b0 * self.block : (b1 + 1) * self.block]
+        self.sums[b0 : b1 + 1] = np.add.reduceat(whole, np.arange(0, len(whole), self.block))
+        return i
+
+    def uniqueness(self, drawn: np.ndarray) -> float:
+        """Mean over draws of the mean of 1 / (draws on the bar)."""
+        steps = np.zeros(len(self.counts) + 1, np.int64)
+        np.add.at(steps, self.start[drawn], 1)
+        np.add.at(steps, self.end[drawn] + 1, -1)
+        held = np.cumsum(steps)[:-1]
+        run = np.concatenate(([0.0], np.cumsum(np.where(held > 0, 1.0 / np.maximum(held, 1), 0.0))))
+        return float(((run[self.end[drawn] + 1] - run[self.start[drawn]]) / self.length[drawn]).mean())
+
+
 def sequential_bootstrap(spans: DataFrame, bags: int, seed: int) -> DataFrame:
     """(symbol, bag, uniqueness, standard): mean uniqueness of as many draws as a symbol has spans, each drawn in
-    proportion to its average uniqueness given those before, and of plain draws with replacement."""
+    proportion to its average uniqueness given those before, and of plain draws with replacement. A task holds the
+    spans of one symbol's bag, and counts on its bars."""
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        start, end = p["start_idx"].to_numpy(), p["end_idx"].to_numpy()
-        n, origin = len(p), start.min()
-        cover = np.zeros((n, end.max() - origin + 1))
-        for i in range(n):
-            cover[i, start[i] - origin : end[i] - origin + 1] = 1
-        length = cover.sum(1)
-        mean = lambda chosen: float(((cover[chosen] / np.maximum(cover[chosen].sum(0), 1)).sum(1) / length[chosen]).mean())
-        out = []
-        for bag in p["bag"].unique():
-            rng = np.random.default_rng([seed, int(bag), *p["symbol"][0].encode()])
-            held, drawn = np.zeros(cover.shape[1]), []
-            for u in rng.random(n):
-                odds = (cover / (held + 1)).sum(1) / length
-                i = min(int(np.searchsorted(np.cumsum(odds) / odds.sum(), u)), n - 1)
-                drawn.append(i)
-                held += cover[i]
-            out.append((p["symbol"][0], int(bag), mean(drawn), mean(rng.integers(0, n, n))))
-        return pd.DataFrame(out, columns=["symbol", "bag", "uniqueness", "standard"])
+        p = p.sort_values("start_idx", kind="stable").reset_index(drop=True)
+        start, end, bag = p["start_idx"].to_numpy(), p["end_idx"].to_numpy(), int(p["bag"].iloc[0])
+        rng = np.random.default_rng([seed, bag, *p["symbol"].iloc[0].encode()])
+        draws = SpanDraws(start, end)
+        drawn = np.array([draws.draw(u) for u in rng.random(len(p))])
+        plain = rng.integers(0, len(p), len(p))
+        return pd.DataFrame([(p["symbol"].iloc[0], bag, draws.uniqueness(drawn), draws.uniqueness(plain))], columns=["symbol", "bag", "uniqueness", "standard"])
 
     each = spans.select("symbol", "start_idx", "end_idx", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag"))
-    run = lambda p: kernel(p.sort_values("start_idx", kind="stable").reset_index(drop=True))
-    return each.groupBy("symbol", "bag").applyInPandas(run, "symbol string, bag int, uniqueness double, standard double")
+    return each.groupBy("symbol", "bag").applyInPandas(kernel, "symbol string, bag int, uniqueness double, standard double")
 
 
 def log_close(bars: DataFrame) -> DataFrame:

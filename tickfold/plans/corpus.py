@@ -96,6 +96,30 @@ def effective_strategies(spark, sf_dir):
     return rounded(O.effective_strategies(corpus(spark, sf_dir)), effective=5)
 
 
+def weekly_corpus(spark, sf_dir):
+    return corpus(spark, sf_dir).withColumn("date", F.expr("datediff(date, date'1990-01-01') div 7"))
+
+
+WEEKLY = MOMENTS.replace("cast(l_shipdate as date) as date", "(cast(l_shipdate as date) - date '1990-01-01') // 7 as date")
+
+
+@query(
+    "strategy_gram",
+    f"""{WEEKLY}, dy as (select asset, date, row_number() over (partition by asset order by date) - 1 as i from (select distinct asset, date from corpus)),
+z as (select dy.asset, dy.i, mom.strategy, (coalesce(x, 0) - mean) / sd as z from dy join mom using (asset) left join daily d on d.asset = dy.asset and d.date = dy.date and d.strategy = mom.strategy where sd > 0)
+select a.asset, a.i, b.i as j, round(sum(a.z * b.z), 6) as g from z a join z b on a.asset = b.asset and a.strategy = b.strategy and a.i <= b.i group by 1, 2, 3""",
+)
+def strategy_gram(spark, sf_dir):
+    """Products of weeks over standardised strategies."""
+    return rounded(O.gram_matrix(weekly_corpus(spark, sf_dir)), g=6)
+
+
+@query("strategy_spectrum")
+def strategy_spectrum(spark, sf_dir):
+    """Independent strategies by the spectrum of weekly results."""
+    return rounded(O.spectrum(weekly_corpus(spark, sf_dir)), participation=6, entropy_number=6, top_share=8)
+
+
 @query(
     "profit_factor",
     f"""with {CORPUS}, daily as (select asset, strategy, date, cast(sum(pnl) as double) as x from corpus group by 1, 2, 3)
