@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import books as K
 from ..operators import ferns as N
 from ..operators import logistic as L
+from ..operators import nulls as Z
 from ..operators import panel as P
 from ..operators import returns as R
 from ..operators import walkforward as W
 from ..operators.bars import by_symbol
 from ..operators.lineage import cut
 from .corpus import PANEL, panel
+from .inference import AHEAD, ahead
 from .market import DOLLAR, dollar_bars, rounded
 from .registry import query
 
@@ -229,3 +231,45 @@ def group_importance(spark, sf_dir):
     rows = cut(overlapping_events(spark, sf_dir))
     groups = N.linked_features(rows, FEATURES)
     return rounded(N.group_importance(rows, FEATURES, "y", groups, FOLDS, EMBARGO), loss_gain=8, accuracy_gain=8)
+
+
+# Books of ten names by their results so far, against random books from all names; and blocks of quantities dealt anew.
+CUT_WEEK, BOOK, DRAWS, NULL_SEED, BLOCK_LEN, BLOCK_DRAWS = 1480, 10, 200, 11, 10, 40
+
+
+def null_sql() -> str:
+    ratio = lambda key, source: f"select {key}, case when q / n - (s / n) ** 2 > 1e-24 then s / n / sqrt(q / n - (s / n) ** 2) else 0 end as ratio from (select {key}, max(bar) - min(bar) + 1 as n, sum(pnl) as s, sum(pnl * pnl) as q from {source} where round(pnl, 12) <> 0 group by 1)"
+    return f"""with {PANEL}, bp as (select name, bar, sum(part) as part from (select name, ret / greatest(date % 4, 1) as part, unnest(range(date, date + greatest(date % 4, 1))) as bar from panel where date >= {CUT_WEEK}) group by 1, 2),
+best as (select name from panel where date < {CUT_WEEK} group by 1 order by sum(ret) desc, name limit {BOOK}),
+ob as (select 0 as k, bar, sum(part) as pnl from bp join best using (name) group by 2), o as ({ratio("k", "ob")}),
+dr as (select draw, name from (select distinct name from bp), range({DRAWS}) t(draw) qualify row_number() over (partition by draw order by md5('{NULL_SEED}:' || draw || ':' || name), name) <= (select count(distinct name) from bp join best using (name))),
+bk as (select draw, bar, sum(part) as pnl from dr join bp using (name) group by 1, 2), nu as ({ratio("draw", "bk")})
+select round(o.ratio, 8) as observed, count(*) as draws, round(avg(nu.ratio), 8) as mean, round(stddev_samp(nu.ratio), 8) as sd, (count(*) filter (round(nu.ratio, 9) >= round(o.ratio, 9)) + 1) / (count(*) + 1) as p from nu, o group by o.ratio"""
+
+
+@query("random_book_null", null_sql())
+def random_book_null(spark, sf_dir):
+    rows = panel(spark, sf_dir)
+    early = rows.where(F.col("date") < CUT_WEEK).groupBy("name").agg(F.sum("ret").alias("_s"))
+    best = early.orderBy(F.desc("_s"), "name").limit(BOOK).select("name")
+    trades = rows.where(F.col("date") >= CUT_WEEK).select("name", F.col("date").alias("start_idx"), (F.col("date") % 4).alias("hold"), F.col("ret").alias("pnl"))
+    return rounded(Z.random_book_null(trades.join(best, "name"), trades, DRAWS, NULL_SEED), observed=8, mean=8, sd=8)
+
+
+def block_sql() -> str:
+    fit = """m_{0} as (select draw, count(*) as n, covar_pop(x, x) as xx, covar_pop(x, c) as xc, covar_pop(c, c) as cc, covar_pop(x, y) as xy, covar_pop(c, y) as cy, avg(x) as mx, avg(c) as mc, avg(y) as my from {1} group by 1),
+s_{0} as (select draw, date, any_value(n) as n, any_value(xx - xc * xc / cc) as rx, any_value((xy * cc - cy * xc) / (xx * cc - xc * xc)) as b,
+  sum((x - mx - xc / cc * (c - mc)) * (y - my - (xy * cc - cy * xc) / (xx * cc - xc * xc) * (x - mx) - (cy * xx - xy * xc) / (xx * cc - xc * xc) * (c - mc))) as s from {1} join m_{0} using (draw) group by 1, 2),
+t_{0} as (select draw, any_value(b) / (sqrt(sum(s * s) * (count(*) / (count(*) - 1)) * ((any_value(n) - 1) / (any_value(n) - 3))) / (any_value(n) * any_value(rx))) as t from s_{0} group by 1)"""
+    return f"""with {AHEAD}, u as (select name, date, after as y, x, ret as c from a where after is not null and x is not null and ret is not null),
+i as (select *, row_number() over (partition by name order by date) - 1 as i, count(*) over (partition by name) as k from u), b as (select name, i // {BLOCK_LEN} as b, count(*) as len from i where k >= {BLOCK_LEN} group by 1, 2),
+d as (select draw, name, b, coalesce(sum(len) over (partition by draw, name order by md5('{NULL_SEED}:' || draw || ':' || name || ':' || b), b rows between unbounded preceding and 1 preceding), 0) as dest from b, range({BLOCK_DRAWS}) t(draw)),
+p as (select d.draw, o.name, o.date, o.y, o.c, i.x from i join d on d.name = i.name and d.b = i.i // {BLOCK_LEN} join i o on o.name = i.name and o.i = dest + i.i % {BLOCK_LEN}),
+z as (select -1 as draw, name, date, y, x, c from u), {fit.format("p", "p")}, {fit.format("z", "z")}
+select round(t_z.t, 6) as observed, count(*) as draws, round(avg(t_p.t), 6) as mean, round(stddev_samp(t_p.t), 6) as sd, (count(*) filter (round(abs(t_p.t), 9) >= round(abs(t_z.t), 9)) + 1) / (count(*) + 1) as p from t_p, t_z group by t_z.t"""
+
+
+@query("block_permutation_null", block_sql())
+def block_permutation_null(spark, sf_dir):
+    rows = ahead(spark, sf_dir)
+    return rounded(Z.block_permutation_null(rows, "after", "x", ["ret"], BLOCK_LEN, BLOCK_DRAWS, NULL_SEED), observed=6, mean=6, sd=6)
