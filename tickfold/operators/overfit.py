@@ -107,8 +107,9 @@ def effective_strategies(corpus: DataFrame) -> DataFrame:
 
     Sums of products come from blocks of strategies and days, as matrix products; zeros for missing days.
     """
-    daily = corpus.groupBy("asset", "date", "strategy").agg(F.sum("pnl").cast("double").alias("x"))
-    m = corpus_moments(corpus).where("sd > 0").select("asset", "strategy", "mean", "sd", "days")
+    corpus = cut(corpus.groupBy("asset", "date", "strategy").agg(F.sum("pnl").alias("pnl")))
+    daily = corpus.select("asset", "date", "strategy", F.col("pnl").cast("double").alias("x"))
+    m = cut(corpus_moments(corpus).where("sd > 0").select("asset", "strategy", "mean", "sd", "days"))
     day = F.dense_rank().over(Window.partitionBy("asset").orderBy("date"))
     dates = daily.select("asset", "date").distinct().withColumn("_day", day)  # one row for an asset's day
     rows = daily.join(m.select("asset", "strategy"), ["asset", "strategy"]).join(dates, ["asset", "date"])
