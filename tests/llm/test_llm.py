@@ -307,11 +307,83 @@ PAGE = (
 
 
 def test_html_cases():
-    assert html_extract.main_text(PAGE, set()) == "Head & line\nOne two\nThree <b> é"
-    assert html_extract.main_text("", set()) == ""
-    assert html_extract.main_text("<p>a<p>b<ul><li>c<li>d</ul>e &am", set()) == "a\nb\nc\nd\ne &am"
-    assert html_extract.main_text("<div>" * 3000 + "deep", set()) == "deep"
-    assert html_extract.main_text("<!-- x --><p>a < b</p><script>", set()) == "a < b"
+    assert html_extract.main_text(PAGE) == "Head & line\nOne two\nThree <b> é"
+    assert html_extract.main_text("") == ""
+    assert html_extract.main_text("<p>a<p>b<ul><li>c<li>d</ul>e &am") == "a\nb\nc\nd\ne &am"
+    assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
+    assert html_extract.main_text("<!-- x --><p>a < b</p><script>") == "a < b"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='post has-sidebar'>x</div>", "x"),
+        ("<div class='entry no-comments'>x</div>", "x"),
+        ("<div id='side-by-side'>x</div>", "x"),
+        ("<article><section class='related-work'>x</section><p>y</p></article>", "x\ny"),
+        ("<article><div class='social-policy'>x</div><p>y</p></article>", "x\ny"),
+        ("<main><div class='widget'>x</div></main>", "x"),
+        ("<main><p>y</p><div class='widget'>x</div></main>", "y"),
+        ("<article><div class='entry-header'><h1>Title</h1></div>b</article>", "Title\nb"),
+        ("<article><div class='header'><h1>Title</h1></div>b</article>", "Title\nb"),
+        ("<div class='header'>site</div><article>b</article><div id='site-menu'>m</div>", "b"),
+        ("<div class='sidebar'><article>b</article></div>", "b"),
+        ("<article>b</article><div id='comments'><article>me too</article></div>", "b"),
+        ("<div class='ad'>buy</div>", ""),
+        ("<html><head><title>t</title><body><p>b", "b"),
+        ("<p>a\u2003 b\u2028c\x85d&nbsp;e</p>", "a b c d e"),
+    ],
+)
+def test_class_tokens_are_evidence_only(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def plain_match(a, b):
+    """Simple tree matching as published."""
+    x, y = a[0], b[0]
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, j in np.ndindex(len(x), len(y)):
+        w = plain_match(x[i][1], y[j][1]) if x[i][0] == y[j][0] else 0
+        m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w)
+    return m[-1][-1] + 1
+
+
+def random_tree(rng, depth=4):
+    return tuple((rng.choice("ab"), random_tree(rng, depth - 1)) for _ in range(rng.randrange(5) if depth else 0)), (rng.randrange(6),)
+
+
+def test_alignment_is_simple_tree_matching(monkeypatch):
+    rng = random.Random(5)
+    for cells in (1 << 24, 2):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        for _ in range(150):
+            a, b = random_tree(rng), random_tree(rng)
+            size = plain_match(a, b)
+            assert html_extract.match(a, b) == size
+            shapes = html_extract.Shapes()
+            c, p = html_extract._part(a, shapes), html_extract._part(b, shapes)
+            pairs = sorted((i, j) for j, i in html_extract._partners(c, p, shapes).items())
+            assert all(u[0] < v[0] and u[1] < v[1] for u, v in zip(pairs, pairs[1:]))
+            assert all(c.names[i] == p.names[j] for i, j in pairs)
+            assert 1 + sum(plain_match(a[0][i][1], b[0][j][1]) for i, j in pairs) == size
+
+
+def test_templates_take_menus_and_adverts_that_no_tag_marks(spark):
+    """Rotating stocks and constants go by the template alone; hosts full of copies, repeated rows and long lists lose nothing."""
+    body = "A paragraph that no other page of this site has, of some length, with the number"
+    rows = []
+    for i in range(60):
+        x = f"<body><div><p>Advert {i % 5}</p></div><ul><li>Item {i % 3}<li>Item {i % 4}</ul><div id=c><h2>Title {i}</h2><p>{body} {i}</p></div><div>Terms</div></body>"
+        rows += [(i, f"http://a.org/{i}", x), (1000 + i, f"http://b.org/{i}", x.replace(f"Title {i}", "One").replace(f"{body} {i}", body))]
+    rows += [(2000 + i, "http://c.org/", "<body>" + "".join(f"<div>{body} {k}</div><p>{k}</p>" for k in range(1500)) + "</body>") for i in range(20)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, text string")
+    got = {r["page_id"]: r for r in html_extract.extract_text(df).collect()}
+    assert len(got) == len(rows)
+    for i in range(60):
+        assert got[i]["text"] == f"Title {i}\n{body} {i}" and (got[i]["n_by_template"], got[i]["n_by_prior"]) == (4, 0)
+        assert body in got[1000 + i]["text"].split("\n")
+    assert all(got[2000 + i]["text"].count(body) == 1500 for i in range(20))
+    assert html_extract.extract_text(df.limit(0)).collect() == []
 
 
 def test_templates(spark):
