@@ -2,13 +2,16 @@
 
 import math
 import os
+from datetime import datetime, timezone
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickfold.operators import books as K
+from tickfold.operators import costs
 from tickfold.operators import inference as I
+from tickfold.operators import rolling
 from tickfold.sources import ticks as S
 
 
@@ -142,15 +145,65 @@ def test_klines_and_fx(spark, tmp_path):
     assert len(one) == 1 and one[0]["quote_volume"] == 6.0 and one[0]["taker_buy_volume"] == 2.0
 
 
-def test_etf_hours(spark, tmp_path):
-    """Regular hours only, New York's clock to UTC in summer and winter, and no price without volume."""
+@pytest.mark.parametrize("session", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_etf_hours(spark, tmp_path, session):
+    """Regular hours only, New York's clock to UTC in summer and winter; no rows without volume, trades or a time."""
     path = os.path.join(tmp_path, "e.csv")
     with open(path, "w") as f:
-        f.write("BarDateTime,FirstTradePrice,HighTradePrice,LowTradePrice,LastTradePrice,VolumeWeightPrice,Volume,TotalTrades\n")
-        for at, volume in (("2024-07-01 09:29:00", 5), ("2024-07-01 09:30:00", 5), ("2024-01-02 15:59:00", 5), ("2024-01-02 16:00:00", 5), ("2024-01-02 12:00:00", 0)):
-            f.write(f"{at},1,1,1,2,0,{volume},1\n")
-    got = S.read_etf(spark, path, "SPY").orderBy("ts").select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("t"), "quote_volume").collect()
-    assert [tuple(r) for r in got] == [("2024-01-02 20:59", 10.0), ("2024-07-01 13:30", 10.0)]
+        f.write("Ticker,BarDateTime,FirstTradePrice,HighTradePrice,LowTradePrice,LastTradePrice,VolumeWeightPrice,Volume,TotalTrades\n")
+        for at, volume, trades in (
+            ("2024-07-01 09:29:00", 5, 1), ("2024-07-01 09:30:00", 5, 1), ("2024-01-02 15:59:00", 5, 1), ("2024-01-02 16:00:00", 5, 1),
+            ("2024-01-02 12:00:00", 0, 1), ("2024-01-02 12:01:00", 5, 0), ("soon", 5, 1),
+        ):
+            f.write(f"SPY,{at},1,1,1,2,0,{volume},{trades}\n")
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        at = lambda df: [tuple(r) for r in df.select(F.unix_seconds("ts").alias("t"), "quote_volume").orderBy("t").collect()]
+        seconds = lambda *t: int(datetime(*t, tzinfo=timezone.utc).timestamp())
+        assert at(S.read_etf(spark, path, "SPY")) == [(seconds(2024, 1, 2, 20, 59), 10.0), (seconds(2024, 7, 1, 13, 30), 10.0)]
+        assert (seconds(2024, 7, 1, 9, 29), 10.0) in at(S.read_etf(spark, path, "SPY", regular_hours=False))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_local_clocks_that_a_change_skips_or_repeats(spark):
+    times = ["2024-03-10 01:59:00", "2024-03-10 02:30:00", "2024-03-10 03:00:00", "2024-11-03 00:59:00", "2024-11-03 01:30:00", "2024-11-03 02:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select("t", S.local_to_utc(F.col("t").cast("timestamp_ntz"), "America/New_York").cast("string").alias("u"))
+    got = dict(map(tuple, df.collect()))
+    assert [got[t] for t in times] == ["2024-03-10 06:59:00", None, "2024-03-10 07:00:00", "2024-11-03 04:59:00", None, "2024-11-03 07:00:00"]
+
+
+@pytest.mark.parametrize("session", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_fx_calendar_is_utc_in_any_session(spark, session):
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        hours = spark.range(0, 24 * 14).select(F.timestamp_seconds(F.lit(1_714_521_600) + F.col("id") * 3600).alias("ts"), "id")
+        rows = hours.select("id", costs.weekday(F.col("ts")).alias("d"), costs.utc_hour(F.col("ts")).alias("h"), costs.utc_date(F.col("ts")).cast("string").alias("on"), costs.fx_open(F.col("ts")).alias("o"))
+        for r in rows.collect():
+            t = datetime.fromtimestamp(1_714_521_600 + r["id"] * 3600, timezone.utc)
+            closed = t.weekday() == 5 or t.weekday() == 6 and t.hour < 22 or t.weekday() == 4 and t.hour >= 22
+            assert (r["d"], r["h"], r["on"], r["o"]) == (t.weekday(), t.hour, t.date().isoformat(), not closed)
+        clock = spark.sql("select timestamp_ntz'2024-05-03 21:30:00' ts")
+        assert clock.select(costs.weekday(F.col("ts")), costs.utc_hour(F.col("ts"))).first() == (4, 21)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_streamed_weights_equal_pandas(spark):
+    """Means and deviations of any input, gaps and infinities included, are those of pandas."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for s, n in (("a", 3000), ("b", 40), ("c", 1)):
+        x = rng.normal(size=n).cumsum() + 1000
+        x[rng.random(n) < 0.1] = np.nan
+        rows += [(s, i, float(v) if i % 7 else float("inf")) for i, v in enumerate(x)]
+    rows += [("d", i, None) for i in range(3)] + [("e", i, 0.1) for i in range(50)]
+    df = spark.createDataFrame(rows, "symbol string, bar_idx bigint, x double").repartition(3)
+    got = rolling.with_ewm(df, {"m": ("x", 20, "mean"), "s": ("x", 20, "std"), "f": ("x", 5, "mean")}).toPandas().sort_values(["symbol", "bar_idx"])
+    for _, p in got.groupby("symbol"):
+        x = p["x"].astype(float).replace([np.inf, -np.inf], np.nan)
+        for name, want in (("m", x.ewm(span=20).mean()), ("s", x.ewm(span=20).std()), ("f", x.ewm(span=5).mean())):
+            assert np.allclose(p[name], want.fillna(0.0), rtol=1e-9, atol=1e-7)
 
 
 def test_listing(spark):

@@ -20,9 +20,27 @@ EQUITY_MINUTE_BANDS = ((570, 600, 2.5), (945, 960, 1.8))
 NIGHT_PIPS = 0.30
 
 
+def _days(ts: Column) -> Column:
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / 86400)
+
+
+def _utc(ts: Column, of_instant: Column, of_clock: Column) -> Column:
+    """``of_instant`` for instants, whose parts would follow the session's zone, and ``of_clock`` for clocks without a
+    zone, which are UTC; the type is known when the query is planned."""
+    return F.when(F.typeof(ts) == "timestamp", of_instant).otherwise(of_clock)
+
+
 def weekday(ts: Column) -> Column:
-    """0 for Monday to 6."""
-    return F.weekday(ts)
+    """0 for Monday to 6, in UTC."""
+    return _utc(ts, F.pmod(_days(ts) + 3, F.lit(7)).cast("int"), F.weekday(ts))
+
+
+def utc_hour(ts: Column) -> Column:
+    return _utc(ts, F.pmod(F.floor(F.unix_seconds(ts.cast("timestamp")) / 3600), F.lit(24)).cast("int"), F.hour(ts))
+
+
+def utc_date(ts: Column) -> Column:
+    return _utc(ts, F.date_from_unix_date(_days(ts).cast("int")), F.to_date(ts))
 
 
 def fx_pip(pair: Column) -> Column:
@@ -31,7 +49,7 @@ def fx_pip(pair: Column) -> Column:
 
 def fx_open(ts: Column) -> Column:
     """The FX week: closed on Saturday, before 22 h on Sunday and from 22 h on Friday (UTC)."""
-    day, hour = F.weekday(ts), F.hour(ts)
+    day, hour = weekday(ts), utc_hour(ts)
     return ~((day == 5) | ((day == 6) & (hour < 22)) | ((day == 4) & (hour >= 22)))
 
 
@@ -49,10 +67,11 @@ def with_force_flat(bars: DataFrame, most_gap_hours: float | None = None) -> Dat
 
 def with_rollover(bars: DataFrame) -> DataFrame:
     """rollover: the first bar of a UTC date from 21 h on. swap: its nights, three on a Wednesday, else 0."""
-    late = F.hour("ts") >= 21
-    first = F.row_number().over(Window.partitionBy("symbol", F.to_date("ts"), late).orderBy("ts")) == 1
+    ts = F.col("ts")
+    late = utc_hour(ts) >= 21
+    first = F.row_number().over(Window.partitionBy("symbol", utc_date(ts), late).orderBy("ts")) == 1
     rows = bars.withColumn("rollover", late & first)
-    return rows.withColumn("swap", F.when(F.col("rollover"), F.when(F.weekday("ts") == 2, 3.0).otherwise(1.0)).otherwise(0.0))
+    return rows.withColumn("swap", F.when(F.col("rollover"), F.when(weekday(ts) == 2, 3.0).otherwise(1.0)).otherwise(0.0))
 
 
 def looked_up(key: Column, values: dict[str, float], default: float) -> Column:
@@ -71,7 +90,7 @@ def night_cost(pair: Column) -> Column:
 def fx_half_spread(pair: Column, ts: Column) -> Column:
     """Half the spread in price units."""
     base = looked_up(pair, FX_HALF_SPREAD_PIPS, FX_DEFAULT_PIPS)
-    hour, band = F.hour(ts), F.lit(FX_OTHER_HOURS)
+    hour, band = utc_hour(ts), F.lit(FX_OTHER_HOURS)
     for lo, hi, times in FX_HOUR_BANDS:
         band = F.when((hour >= lo) & (hour < hi), times).otherwise(band)
     return base * band * fx_pip(pair)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import isfinite, sqrt
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import by_symbol
+from .streamed import streamed
 
 
 def trailing(n: int, *order: str) -> Window:
@@ -89,22 +91,44 @@ def flow_level(bars: DataFrame, least: int = 20) -> DataFrame:
     return bars.withColumn("flow_level", F.when((F.count(net).over(w) >= least) & (sd > 0), F.sum(net).over(w) / sd))
 
 
-def _ewm(columns: dict[str, tuple[str, float, str]]):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("bar_idx", kind="stable")
-        for name, (source, span, what) in columns.items():
-            e = part[source].ewm(span=span, adjust=True)
-            part[name] = (e.mean() if what == "mean" else e.std()).replace([np.inf, -np.inf], np.nan).fillna(0.0)
-        return part
+def _weighted(decay: float) -> Callable[[float | None], tuple[float, float]]:
+    """Steps of the running mean and bias-corrected deviation whose weights fall by ``decay`` a row. Kept are the sums of
+    the weights and of their squares, the mean, and the weighted squares about it."""
+    weight, squares, mean, spread = 0.0, 0.0, 0.0, 0.0
 
-    return run
+    def step(x: float | None) -> tuple[float, float]:
+        nonlocal weight, squares, mean, spread
+        weight, squares, spread = weight * decay, squares * decay**2, spread * decay
+        if x is not None and isfinite(x):
+            x = float(x)
+            before, weight, squares = weight, weight + 1.0, squares + 1.0
+            gap = x - mean if before else 0.0
+            mean = mean + gap / weight if before else x
+            spread += before / weight * gap * gap
+        free = weight * weight - squares
+        return mean, sqrt(spread * weight / free) if free > 1e-12 * weight * weight else 0.0
+
+    return step
 
 
 def with_ewm(bars: DataFrame, columns: dict[str, tuple[str, float, str]]) -> DataFrame:
     """Exponentially weighted means and bias-corrected deviations per symbol: name -> (source, span, mean or
-    std). Weights are those of all rows before; what isn't finite is 0. State runs along a symbol."""
-    shape = ", ".join(f"`{n}` {t}" for n, t in bars.dtypes) + "".join(f", `{n}` double" for n in columns)
-    return bars.groupBy("symbol").applyInPandas(_ewm(columns), shape)
+    std). Weights are those of all rows before; a row without a finite value repeats the figure, and what isn't
+    known yet is 0. A symbol's rows stream in order of bar_idx; only the state is kept."""
+    used = list(dict.fromkeys((source, span) for source, span, _ in columns.values()))
+    sources = [source for source, _ in used]
+    picks = [(used.index((source, span)), 0 if what == "mean" else 1) for source, span, what in columns.values()]
+
+    def start() -> Callable[..., tuple]:
+        steps = [_weighted(1 - 2 / (span + 1)) for _, span in used]
+
+        def step(*values: float | None) -> tuple:
+            found = [take(x) for take, x in zip(steps, values)]
+            return tuple(found[i][k] for i, k in picks)
+
+        return step
+
+    return streamed(bars, ["bar_idx"], sources, start, {name: "double" for name in columns})
 
 
 def crossover_events(bars: DataFrame, fast: float, slow: float) -> DataFrame:

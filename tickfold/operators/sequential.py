@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import adf, adf_critical, fractional_weights
 from .bars import by_symbol
+from .streamed import streamed
 
 
 def along(df: DataFrame, order: list[str], shape: str, kernel: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -24,42 +25,37 @@ def cusum_events(bars: DataFrame, limit: float, strict: bool = True, column: str
     fired starts again. strict: changes of the level ``column``, over the limit; else ``column`` are returns, and
     reaching the limit is enough: the two conventions in use."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        x = p[column].to_numpy(float)
-        step = np.diff(x, prepend=x[:1]) if strict else x
-        up = down = 0.0
-        out = []
-        for i, d in enumerate(step):
-            up, down = max(0.0, up + d), min(0.0, down + d)
+    def start() -> Callable[..., tuple]:
+        up, down, was = 0.0, 0.0, None
+
+        def step(x: float | None) -> tuple:
+            nonlocal up, down, was
+            x = float("nan") if x is None else x
+            change = x if not strict else x - was if was is not None else 0.0
+            was = x
+            up, down = max(0.0, up + change), min(0.0, down + change)  # a change that isn't known starts both sums again
             if up > limit or not strict and up >= limit:
-                out.append((p["bar_idx"][i], 1))
                 up = 0.0
-            elif down < -limit or not strict and down <= -limit:
-                out.append((p["bar_idx"][i], -1))
+                return (1,)
+            if down < -limit or not strict and down <= -limit:
                 down = 0.0
-        return pd.DataFrame(out, columns=["bar_idx", "side"]).assign(symbol=p["symbol"][0])[["symbol", "bar_idx", "side"]]
+                return (-1,)
+            return (None,)
+
+        return step
 
-    return along(bars.select("symbol", "bar_idx", column), ["bar_idx"], "symbol string, bar_idx bigint, side int", kernel)
+    rows = bars.select("symbol", "bar_idx", F.col(column).cast("double").alias("_x"))
+    return streamed(rows, ["bar_idx"], ["_x"], start, {"side": "int"}).where("side is not null").select("symbol", "bar_idx", "side")
 
 
 def with_state(rows: DataFrame, order: list[str], columns: list[str], start: Callable[[], Callable[..., int]]) -> DataFrame:
-    """``rows`` with bar_idx. Each symbol's rows stream through a task in order, and only the state is kept: ``start``
-    gives a symbol's step, which takes a row's ``columns`` and returns its bar."""
-    names = rows.columns
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, step = object(), None
-        for batch in batches:
-            at = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in columns or n == "symbol"}
-            ids = []
-            for own, *values in zip(at["symbol"], *(at[c] for c in columns)):
-                if own != symbol:
-                    symbol, step = own, start()
-                ids.append(step(*values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*names, "bar_idx"])
-
-    shape = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", bar_idx bigint"
-    return rows.repartition("symbol").sortWithinPartitions("symbol", *order).mapInArrow(kernel, shape)
+    """``rows`` with bar_idx: a symbol's step takes a row's ``columns`` and returns its bar."""
+
+    def one() -> Callable[..., tuple]:
+        step = start()
+        return lambda *values: (step(*values),)
+
+    return streamed(rows, order, columns, one, {"bar_idx": "bigint"})
 
 
 #: Weight of a closed bar in the running expectations, and the longest imbalance bar in expected sizes.

@@ -26,11 +26,27 @@ def event_ticks(events: DataFrame) -> DataFrame:
     )
 
 
+def instant(at: Column) -> Column:
+    """The instant that a clock without a zone shows in UTC, whatever the session's zone is."""
+    return F.make_timestamp(F.year(at), F.month(at), F.day(at), F.hour(at), F.minute(at), F.date_part(F.lit("SECOND"), at), F.lit("UTC"))
+
+
+def local_to_utc(at: Column, zone: str) -> Column:
+    """UTC's clock for a local one (both without a zone). Local times that a change of the clock skips or repeats are null."""
+    day, none = F.expr("interval '1' day"), F.lit(None)
+    # The offsets before and after a change: what UTC's clock shows a day earlier and later, seen from the zone.
+    tries = [at - (F.convert_timezone(F.lit("UTC"), F.lit(zone), u) - u) for u in (at - day, at + day)]
+    before, after = (F.when(F.convert_timezone(F.lit("UTC"), F.lit(zone), t) == at, t) for t in tries)
+    return F.when(before != after, none).otherwise(F.coalesce(before, after))
+
+
 def clock(df: DataFrame, name: str) -> Column:
     """A timestamp from a column of timestamps, or of epoch numbers in seconds, milliseconds or microseconds."""
     kind = df.schema[name].dataType
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.col(name).cast("timestamp")
+    if isinstance(kind, TimestampNTZType):
+        return instant(F.col(name))
+    if isinstance(kind, TimestampType):
+        return F.col(name)
     n = F.col(name).cast("bigint")
     return F.when(F.abs(n) < 100_000_000_000, F.timestamp_seconds(n)).when(F.abs(n) < 100_000_000_000_000, F.timestamp_millis(n)).otherwise(F.timestamp_micros(n))
 
@@ -71,23 +87,22 @@ def read_fx(spark: SparkSession, path: str, symbol: str, quote_by_price: bool =
 
 
 def read_etf(spark: SparkSession, path: str, symbol: str, regular_hours: bool = True, zone: str = "America/New_York") -> DataFrame:
-    """Equity minute bars from csv(.gz) with a naive local clock. Regular hours: 09:30 up to 16:00 local."""
-    shape = (
-        "BarDateTime timestamp_ntz, FirstTradePrice double, HighTradePrice double, LowTradePrice double, LastTradePrice double, "
-        "VolumeWeightPrice double, Volume double, TotalTrades double"
-    )
-    raw = spark.read.csv(path, schema=shape, header=True)
-    minute = F.hour("BarDateTime") * 60 + F.minute("BarDateTime")
-    raw = raw.where((minute >= 570) & (minute < 960)) if regular_hours else raw
-    price = F.when(F.col("VolumeWeightPrice") > 0, F.col("VolumeWeightPrice")).otherwise(F.col("LastTradePrice"))
-    quote = F.col("Volume") * price
-    at = F.to_utc_timestamp(F.col("BarDateTime").cast("timestamp"), zone) if regular_hours else F.col("BarDateTime").cast("timestamp")
+    """Equity minute bars from csv(.gz), whose columns are found by name. Regular hours: the naive clock is the zone's,
+    09:30 up to 16:00, without times that a change of the clock skips or repeats; else it is taken as UTC.
+    Rows without a readable time, a price, a volume or trades go; the session's zone plays no part."""
+    numbers = "FirstTradePrice HighTradePrice LowTradePrice LastTradePrice VolumeWeightPrice Volume TotalTrades".split()
+    raw = spark.read.csv(path, header=True, enforceSchema=False)
+    raw = raw.select(F.col("BarDateTime").try_cast("timestamp_ntz").alias("_at"), *(F.col(c).try_cast("double").alias(c) for c in numbers))
+    minute = F.hour("_at") * 60 + F.minute("_at")
+    raw = raw.where((minute >= 570) & (minute < 960)).withColumn("_at", local_to_utc(F.col("_at"), zone)) if regular_hours else raw
+    vwap = F.col("VolumeWeightPrice")
+    quote = F.col("Volume") * F.when((vwap > 0) & (vwap < float("inf")), vwap).otherwise(F.col("LastTradePrice"))
     bars = raw.select(
-        F.lit(symbol).alias("symbol"), at.alias("ts"), F.col("FirstTradePrice").alias("open"), F.col("HighTradePrice").alias("high"),
+        F.lit(symbol).alias("symbol"), instant(F.col("_at")).alias("ts"), F.col("FirstTradePrice").alias("open"), F.col("HighTradePrice").alias("high"),
         F.col("LowTradePrice").alias("low"), F.col("LastTradePrice").alias("close"), F.col("Volume").alias("volume"), quote.alias("quote_volume"),
         F.col("TotalTrades").alias("count"), (F.col("Volume") / 2).alias("taker_buy_volume"), (quote / 2).alias("taker_buy_quote_volume"),
     )
-    return bars.where("close > 0 and volume > 0")
+    return bars.where("ts is not null and close > 0 and volume > 0 and count > 0 and not (isnan(close) or isnan(volume) or isnan(count))")
 
 
 def pnl_corpus(lineitem: DataFrame) -> DataFrame:
