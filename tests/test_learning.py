@@ -261,3 +261,14 @@ def test_a_hundred_thousand_spans():
     drawn = np.array([draws.draw(u) for u in rng.random(20_000)])
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # KB
     assert draws.uniqueness(drawn) > draws.uniqueness(rng.integers(0, 100_000, 20_000))
+
+
+def test_importance_in_buckets_finds_what_the_label_follows(spark, monkeypatch):
+    """Shuffling within buckets, with many repeated rows, costs accuracy only for the feature that the label follows."""
+    from tickfold.operators import features
+
+    monkeypatch.setattr(features, "SHUFFLED", 100)
+    rows = spark.range(2000).select((F.abs(F.hash("id")) % 20).cast("double").alias("a"), (F.abs(F.xxhash64("id")) % 20).cast("double").alias("b"))
+    rows = rows.withColumn("y", (F.col("a") >= 10).cast("double"))
+    got = {r["feature"]: r for r in features.forest_importance(rows, ["a", "b"], "y").collect()}
+    assert got["a"]["mda"] > 0.3 and abs(got["b"]["mda"]) < 0.05 and got["a"]["mdi"] > 0.8

@@ -82,6 +82,10 @@ def regimes(returns: DataFrame, rounds: int = 50) -> DataFrame:
     return along(returns.select("symbol", "bar_idx", "ret"), ["bar_idx"], "symbol string, bar_idx bigint, turbulent double", kernel)
 
 
+#: Rows of a bucket within which a feature is shuffled.
+SHUFFLED = 50_000
+
+
 def forest_importance(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """Per feature: mdi, its share of impurity decrease in a forest of all rows, and mda, the accuracy lost when the
     feature alone is shuffled across the rows that the forest didn't train on (every fourth by a hash)."""
@@ -98,10 +102,13 @@ def forest_importance(rows: DataFrame, features: list[str], label: str, trees: i
         return float(model.transform(vectors.transform(df)).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0] or 0.0)
 
     base, out = accuracy(test), []
-    by, to = Window.orderBy(F.xxhash64(*features)), Window.orderBy(F.xxhash64(F.lit(seed), *features))
-    places = test.withColumns({"_i": F.row_number().over(by), "_j": F.row_number().over(to)})  # the small test part
+    # Rows are shuffled within buckets by hash of about so many rows each, so that no task orders the whole part.
+    buckets = F.lit(max(1, test.count() // SHUFFLED))
+    test = test.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), *features), buckets))
+    by, to = (Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(k), *features), "_y") for k in (0, seed))
+    places = test.withColumns({"_i": F.row_number().over(by), "_j": F.row_number().over(to)})
     for i, name in enumerate(features):
-        other = places.select(F.col("_j").alias("_i"), F.col(name).alias("_other"))
-        mixed = places.join(other, "_i").withColumn(name, F.col("_other"))
+        other = places.select("_b", F.col("_j").alias("_i"), F.col(name).alias("_other"))
+        mixed = places.join(other, ["_b", "_i"]).withColumn(name, F.col("_other"))
         out.append((name, float(model.featureImportances[i]), base - accuracy(mixed)))
     return spark.createDataFrame(out, "feature string, mdi double, mda double")

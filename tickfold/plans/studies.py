@@ -259,9 +259,23 @@ def price_z_entries(spark, sf_dir):
     return rounded(X.fresh_extremes(dollar_bars(spark, sf_dir), 50, 1.5).select("symbol", "bar_idx", "z", "side"), z=6)
 
 
-@query("event_features")
+FEATURE_LAGS = (3, 5, 6, 10, 12, 20)
+FEATURES_SQL = f"""{DOLLAR}, a as (select *, coalesce(ln(close) - lag(ln(close)) over (partition by symbol order by bar_idx), 0) as r from bars),
+x as (select *, greatest(r, 0) as up, greatest(-r, 0) as dn, ln(high) - ln(low) as hl from a),
+{", ".join(weighted("x", column, span, tag) for column, span, tag in (("close", 10, "_f"), ("close", 50, "_s"), ("r", 50, "_v"), ("r", 200, "_l"), ("up", 27, "_u"), ("dn", 27, "_d"), ("hl", 50, "_h")))}
+select x.symbol, x.bar_idx, cast(sign(e_f.m - e_s.m) as integer) as side, round(ln(e_f.m / e_s.m), 7) as gap, round(e_v.s, 7) as vol,
+round(case when e_l.s > 0 then e_v.s / e_l.s else 1 end, 6) as vol_ratio,
+{", ".join(f"round(ln(close) - lag(ln(close), {k}) over w, 7) as momentum_{k}" for k in FEATURE_LAGS)},
+round(case when e_u.m + e_d.m > 0 then (e_u.m - e_d.m) / (e_u.m + e_d.m) else 0 end, 6) as strength,
+round(case when buy_dollar + sell_dollar > 0 then (buy_dollar - sell_dollar) / (buy_dollar + sell_dollar)::double else 0 end, 7) as ofi, round(e_h.m, 7) as "range"
+from x {" ".join(f"join e{t} on e{t}.symbol = x.symbol and e{t}.bar_idx = x.bar_idx" for t in ("_f", "_s", "_v", "_l", "_u", "_d", "_h"))} window w as (partition by x.symbol order by x.bar_idx)"""
+
+
+@query("event_features", FEATURES_SQL)
 def event_features(spark, sf_dir):
-    return X.event_features(dollar_bars(spark, sf_dir))
+    found = X.event_features(dollar_bars(spark, sf_dir), lags=FEATURE_LAGS)
+    places = {"vol_ratio": 6, "strength": 6}
+    return rounded(found, **{c: places.get(c, 7) for c in found.columns if c not in ("symbol", "bar_idx", "side")})
 
 
 @query("regimes")
