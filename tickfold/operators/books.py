@@ -9,6 +9,7 @@ from .bars import by_symbol
 from .costs import EQUITY_DEFAULT_BP, EQUITY_HALF_SPREAD_BP, equity_commission, looked_up
 from .panel import by_name, interval_gate
 from .rolling import full, rolling_z, trailing
+from .sequential import fractional_difference
 
 
 def grid_panel(prices: DataFrame, feeds: dict[str, tuple[DataFrame, float | None]], spans: DataFrame | None = None, spot: DataFrame | None = None) -> DataFrame:
@@ -170,15 +171,19 @@ def leader_residual(rows: DataFrame, own: str, leader: str, n: int) -> DataFrame
     return rows.withColumn("residual", F.when((F.count(both).over(past) >= n) & (var > 0), a - fit))
 
 
-def validation_features(bars: DataFrame, sums: tuple[int, ...] = (1, 3, 6, 12, 24), deviations: tuple[int, ...] = (6, 24, 48), volume: int = 48) -> DataFrame:
+def validation_features(
+    bars: DataFrame, sums: tuple[int, ...] = (1, 3, 6, 12, 24), deviations: tuple[int, ...] = (6, 24, 48), volume: int = 48, order: tuple[float, float] = (0.4, 1e-4)
+) -> DataFrame:
     """mom{n}: sum of the last n log returns; vol{n}: their deviation (the first bar's return is 0); vol_z: the rolling
-    z of log(1 + volume). Null before n rows."""
+    z of log(1 + volume); ffd: the log close's fractional difference of ``order`` (d, least weight). Null before n rows,
+    and before as many as there are weights."""
     at = by_symbol()
     rows = bars.withColumn("_r", F.coalesce(F.log("close") - F.lag(F.log("close")).over(at), F.lit(0.0)))
     r = F.col("_r")
     new = {f"mom{n}": full(F.sum(r).over(trailing(n)), r, trailing(n), n) for n in sums}
     new |= {f"vol{n}": full(F.stddev_samp(r).over(trailing(n)), r, trailing(n), n) for n in deviations}
-    return rows.withColumns(new | {"vol_z": rolling_z(F.log1p("volume"), volume)}).drop("_r")
+    rows = rows.withColumns(new | {"vol_z": rolling_z(F.log1p("volume"), volume), "_c": F.log("close")})
+    return fractional_difference(rows, *order, column="_c").drop("_r", "_c")
 
 
 def forward_volatility(bars: DataFrame, h: int, span: int) -> DataFrame:
