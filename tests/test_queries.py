@@ -36,10 +36,14 @@ def test_like_sql(spark, duck, name):
     assert plain(got.select(*columns).collect()) == plain(want.fetchall())
 
 
+#: Queries whose answer on these small tables is empty; test_pairs holds their rows against the plain form.
+EMPTY_HERE = {"diverse_pairs"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (df.count() > 0) == (name not in EMPTY_HERE)
 
 
 def test_entry(spark):
