@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..functions.ieee import ln
 from .bars import by_symbol
 from .pairs import pair_correlations
 from .rolling import full, trailing
@@ -163,7 +164,7 @@ def spread_bars(a: DataFrame, b: DataFrame, beta: float) -> DataFrame:
     """Bars of ln A - beta ln B where both have the bar; high and low are the worst cases of the two legs."""
     other = b.select("bar_idx", *(F.col(c).alias(f"_{c}") for c in ("open", "high", "low", "close")))
     rows = a.join(other, "bar_idx")
-    leg = lambda x, y: F.log(x) - beta * F.log(y)
+    leg = lambda x, y: ln(x) - beta * ln(y)
     up, down = ("_low", "_high") if beta > 0 else ("_high", "_low")
     return rows.select("bar_idx", leg("open", "_open").alias("open"), leg("high", up).alias("high"), leg("low", down).alias("low"), leg("close", "_close").alias("close"))
 
