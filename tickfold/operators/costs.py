@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ieee import over
+
 # Half-spreads and their hour bands.
 FX_HALF_SPREAD_PIPS = {
     "EURUSD": 0.10, "GBPUSD": 0.25, "USDJPY": 0.15, "USDCHF": 0.30, "USDCAD": 0.30, "AUDUSD": 0.20, "NZDUSD": 0.35, "EURGBP": 0.30,
@@ -105,8 +107,8 @@ def equity_half_spread_bp(ts_local: Column, ticker: Column | None = None) -> Col
 
 
 def equity_commission(price: Column) -> Column:
-    """Commission as a fraction of the traded value."""
-    return F.greatest(F.try_divide(F.lit(0.0035), price), F.lit(0.35 / 25000))
+    """Commission as a fraction of the traded value; infinite at a price of 0."""
+    return F.greatest(over(F.lit(0.0035), price), F.lit(0.35 / 25000))
 
 
 def borrow_per_day(ticker: Column) -> Column:
@@ -117,7 +119,7 @@ def borrow_per_day(ticker: Column) -> Column:
 def per_side_cost(market: Column, price: Column, ts: Column, name: Column, flat: float) -> Column:
     """Cost of one side as a fraction of the price: crypto ``flat``; FX half-spread; equity half-spread and commission."""
     equity = equity_half_spread_bp(ts, name) * 1e-4 + equity_commission(price)
-    return F.when(market == "crypto", flat).when(market == "fx", F.try_divide(fx_half_spread(name, ts), price)).otherwise(equity)
+    return F.when(market == "crypto", flat).when(market == "fx", over(fx_half_spread(name, ts), price)).otherwise(equity)
 
 
 def discretised(size: Column, step: float) -> Column:
