@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ieee import ln, over
 from .bars import by_symbol
 from .returns import flow_imbalance
 from .rolling import with_ewm
@@ -33,18 +34,18 @@ def event_features(bars: DataFrame, fast: float = 10, slow: float = 50, lags: tu
     """Causal features of each bar: side and gap of two means, weighted deviation and its ratio to a longer one,
     log momenta, Wilder's relative strength scaled to [-1, 1], flow imbalance and weighted range."""
     at = by_symbol()
-    rows = bars.withColumn("_r", F.coalesce(F.log("close") - F.lag(F.log("close")).over(at), F.lit(0.0)))
-    rows = rows.withColumns({"_up": F.greatest("_r", F.lit(0.0)), "_dn": F.greatest(-F.col("_r"), F.lit(0.0)), "_hl": F.log("high") - F.log("low")})
+    rows = bars.withColumn("_r", F.coalesce(ln("close") - F.lag(ln("close")).over(at), F.lit(0.0)))
+    rows = rows.withColumns({"_up": F.greatest("_r", F.lit(0.0)), "_dn": F.greatest(-F.col("_r"), F.lit(0.0)), "_hl": ln("high") - ln("low")})
     rows = rows.withColumn("ofi", flow_imbalance(F.col("buy_dollar"), F.col("sell_dollar")))
     wilder = 27  # a span of 27 has the weight 1/14
     rows = with_ewm(rows, {
         "_f": ("close", fast, "mean"), "_s": ("close", slow, "mean"), "vol": ("_r", slow, "std"), "_v2": ("_r", 4 * slow, "std"),
         "_u": ("_up", wilder, "mean"), "_d": ("_dn", wilder, "mean"), "range": ("_hl", slow, "mean"),
-    })
+    }, infinite=True)
     strength = F.coalesce(F.try_divide(F.col("_u") - F.col("_d"), F.col("_u") + F.col("_d")), F.lit(0.0))
-    momenta = {f"momentum_{k}": F.log("close") - F.lag(F.log("close"), k).over(at) for k in lags}
+    momenta = {f"momentum_{k}": ln("close") - F.lag(ln("close"), k).over(at) for k in lags}
     rows = rows.withColumns({
-        "side": F.signum(F.col("_f") - F.col("_s")).cast("int"), "gap": F.log(F.col("_f") / F.col("_s")), "strength": strength,
+        "side": F.signum(F.col("_f") - F.col("_s")).cast("int"), "gap": ln(over(F.col("_f"), F.col("_s"))), "strength": strength,
         "vol_ratio": F.when(F.col("_v2") > 0, F.col("vol") / F.col("_v2")).otherwise(1.0), **momenta,
     })
     return rows.select("symbol", "bar_idx", "side", "gap", "vol", "vol_ratio", *momenta, "strength", "ofi", "range")
