@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def streamed(rows: DataFrame, order: list[str], columns: list[str], start: Callable[[], Callable[..., tuple]], adds: dict[str, str]) -> DataFrame:
@@ -28,4 +29,6 @@ def streamed(rows: DataFrame, order: list[str], columns: list[str], start: Calla
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, *adds])
 
     shape = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes] + [f"`{n}` {t}" for n, t in adds.items()])
-    return rows.repartition("symbol").sortWithinPartitions("symbol", *order).mapInArrow(kernel, shape)
+    # By a hash of the symbol: a repartition by the symbol itself is dropped where a join by symbol stands before it, and
+    # the adaptive planner may turn that into a broadcast join whose tasks read parts of symbols.
+    return rows.repartition(F.xxhash64("symbol")).sortWithinPartitions("symbol", *order).mapInArrow(kernel, shape)
