@@ -9,6 +9,7 @@ from tickfold.operators import costs as C
 from tickfold.operators import features as X
 from tickfold.operators import sequential as S
 from tickfold.operators import studies as T
+from tickfold.operators import walkforward as W
 
 
 def ohlc(spark, symbol, closes):
@@ -59,3 +60,25 @@ def test_a_symbol_stays_in_one_stream(splitting, kind):
     assert starts.where("(b - a) div 3 + 1 <> n").count() == 0
     # The stream has a shuffle of its own, which the adaptive planner never reads in parts.
     assert "REPARTITION_BY_COL" in bars._jdf.queryExecution().executedPlan().toString()
+
+
+def test_books_are_summed_without_a_union(splitting):
+    """Turnover is that of the plain loop where scores come from a join by fold, as they do in a walk."""
+    spark = splitting
+    scored = spark.range(8 * 30 * 12).select((F.col("id") % 8).cast("int").alias("fold"), (F.expr("id div 8") % 30).cast("int").alias("step"), F.expr("id div 240").alias("name"))
+    scored = scored.join(spark.range(8).select(F.col("id").cast("int").alias("fold"), F.lit(0).alias("start"), F.lit(30).alias("stop")), "fold")
+    scored = scored.withColumn("score", (F.col("name") * 7 + F.col("step") * F.col("fold") * 5) % 12 + F.col("name") / 100)
+    returns = scored.where("fold = 0").select("name", "step", F.lit(0.0).alias("ret"), F.lit(0.0).alias("funding"))
+    books = W.book_pnl(scored, returns, [(0.25, False, 0.0, 2)], 1.0, ["fold"])
+    got = {(r["fold"], r["step"]): (r["turnover"], r["pnl"]) for r in books.collect()}
+    want = {}
+    for fold in range(8):
+        was = {}
+        for step in range(0, 30, 2):
+            order = sorted(range(12), key=lambda n: ((n * 7 + step * fold * 5) % 12 + n / 100, n))
+            now = {n: 1 / 3 for n in order[-3:]} | {n: -1 / 3 for n in order[:3]}
+            want[fold, step] = sum(abs(now.get(n, 0) - was.get(n, 0)) for n in range(12))
+            was = now
+    assert all(got[k][0] == pytest.approx(v) and got[k][1] == pytest.approx(-v) for k, v in want.items())
+    assert all(abs(got[k][0]) < 1e-12 for k in got if k not in want)
+    assert "Union" not in books._jdf.queryExecution().executedPlan().toString()

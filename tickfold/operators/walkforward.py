@@ -94,11 +94,16 @@ def book_pnl(scored: DataFrame, returns: DataFrame, knobs: Sequence[Knob], cost:
     ends = F.least(F.col("step") + F.col("reb"), F.col("stop") - 1)
     held = rows.where(ends > F.col("step")).select(*keys, "knob", "name", "weight", F.explode(F.sequence(F.col("step") + 1, ends)).alias("step"))
     earned = held.join(returns.select("name", "step", "ret", "funding"), ["name", "step"])
-    earned = earned.select(*keys, "knob", "step", F.lit(0.0).alias("turnover"), (F.col("weight") * (F.coalesce("ret", F.lit(0.0)) - F.coalesce("funding", F.lit(0.0)))).alias("gain"))
-    closed = rows.where(F.col("step") + F.col("reb") < F.col("stop")).select(*keys, "knob", "name", (F.col("step") + F.col("reb")).alias("step"), (-F.col("weight")).alias("weight"))
-    changed = rows.select(*keys, "knob", "name", "step", "weight").unionByName(closed).groupBy(*keys, "knob", "name", "step").agg(F.abs(F.sum("weight")).alias("turnover"))
-    both = earned.unionByName(changed.select(*keys, "knob", "step", "turnover", F.lit(0.0).alias("gain")))
-    return both.groupBy(*keys, "knob", "step").agg(F.sum("turnover").alias("turnover"), (F.sum("gain") - cost * F.sum("turnover")).alias("pnl"))
+    by = [*keys, "knob", "step"]
+    gains = earned.groupBy(*by).agg(F.sum(F.col("weight") * (F.coalesce("ret", F.lit(0.0)) - F.coalesce("funding", F.lit(0.0)))).alias("_g"))
+    # A weight is taken at its step and given back ``reb`` steps later. Both come from one row, not from a union: Spark 4.1
+    # sums a union of equally dealt parts without a shuffle, though its adaptive planner merges each part's partitions by itself.
+    back = F.col("step") + F.col("reb")
+    moves = F.array(F.struct("step", "weight"), F.when(back < F.col("stop"), F.struct(back.alias("step"), (-F.col("weight")).alias("weight"))))
+    moved = rows.select(*keys, "knob", "name", F.explode(moves).alias("_m")).where("_m is not null").select(*keys, "knob", "name", "_m.step", "_m.weight")
+    changed = moved.groupBy(*by, "name").agg(F.abs(F.sum("weight")).alias("_t")).groupBy(*by).agg(F.sum("_t").alias("_t"))
+    g, t = (F.coalesce(c, F.lit(0.0)) for c in ("_g", "_t"))
+    return gains.join(changed, by, "full").select(*by, t.alias("turnover"), (g - cost * t).alias("pnl"))
 
 
 def _scores(rows: DataFrame, betas: DataFrame, features: Sequence[str], first: int, stop: int, by: int, last: int, keep: Sequence[str]) -> DataFrame:
