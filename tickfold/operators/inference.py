@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from .bars import by_symbol, fold, threshold_ids
 from .events import trend_scan
-from .pairs import pair_correlations
+from .pairs import squared_correlations
 from .panel import slopes
 from .studies import hac
 
@@ -124,8 +124,7 @@ def subperiods(panel: DataFrame, span: int, step: int, y: str, x: str, control:
 def effective_names(panel: DataFrame, least: int, column: str = "x") -> DataFrame:
     """One row: names, and how many independent ones they amount to, n^2 / (n + 2 sum r^2) over pairs' correlations on
     their common dates; pairs with fewer than ``least`` count as uncorrelated."""
-    r = F.when((F.col("n") >= least) & ~F.isnan("corr"), F.col("corr"))
-    total = pair_correlations(panel, column).agg(F.coalesce(F.sum(r * r), F.lit(0.0)).alias("_r"))
+    total = squared_correlations(panel, least, column).agg(F.coalesce(F.sum("r2"), F.lit(0.0)).alias("_r"))
     names = panel.where(F.col(column).isNotNull()).agg(F.count_distinct("name").alias("names"))
     n = F.col("names")
     return names.join(F.broadcast(total)).select("names", F.try_divide((n * n).cast("double"), n + 2 * F.col("_r")).alias("effective"))  # one row each

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from ..functions.ieee import ln
 from .bars import by_symbol
-from .pairs import pair_correlations
+from .pairs import leading_pairs
 from .rolling import full, trailing
 
 
@@ -77,7 +77,7 @@ def volatility_target(bars: DataFrame, n: int, target: float, most: float = 5.0)
 
 def closest_pairs(panel: DataFrame, least_days: int, top: int) -> DataFrame:
     """The ``top`` most correlated pairs of names (name < other) with so many dates in common; a report."""
-    pairs = pair_correlations(panel).withColumn("corr", F.round("corr", 9))
+    pairs = leading_pairs(panel, top, least_days).withColumn("corr", F.round("corr", 9))
     return pairs.where(F.col("n") >= least_days).orderBy(F.desc(F.abs("corr")), "name", "other").limit(top)
 
 
