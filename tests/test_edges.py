@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickfold.operators import costs as C
 from tickfold.operators import features as X
+from tickfold.operators import inference as I
 from tickfold.operators import sequential as S
 from tickfold.operators import studies as T
 from tickfold.operators import walkforward as W
@@ -82,3 +83,11 @@ def test_books_are_summed_without_a_union(splitting):
     assert all(got[k][0] == pytest.approx(v) and got[k][1] == pytest.approx(-v) for k, v in want.items())
     assert all(abs(got[k][0]) < 1e-12 for k in got if k not in want)
     assert "Union" not in books._jdf.queryExecution().executedPlan().toString()
+
+
+def test_permutations_in_parts_are_those_of_one(spark, monkeypatch):
+    i = F.col("id")
+    panel = spark.range(300).select((i % 3).alias("date"), i.alias("name"), (i * 37 % 101 + 0.0).alias("x"), (i * 53 % 97 + 0.0).alias("y"))
+    whole = I.permutation_null(panel, "x", "y", 50, 7).first()
+    monkeypatch.setattr(I, "DEALT", 700)
+    assert tuple(I.permutation_null(panel, "x", "y", 50, 7).first()) == pytest.approx(tuple(whole), abs=1e-12)

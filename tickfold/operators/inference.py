@@ -130,6 +130,10 @@ def effective_names(panel: DataFrame, least: int, column: str = "x") -> DataFram
     return names.join(F.broadcast(total)).select("names", F.try_divide((n * n).cast("double"), n + 2 * F.col("_r")).alias("effective"))  # one row each
 
 
+#: Dealt values that a task holds at once; draws come in turn, so they don't depend on it.
+DEALT = 1 << 20
+
+
 def permutation_null(panel: DataFrame, x: str, y: str, draws: int, seed: int) -> DataFrame:
     """One row: the mean over dates of the correlation of x and y among names, and how it lies among ``draws`` means
     after x was dealt anew among the names of each date; a date's names are a group."""
@@ -143,8 +147,9 @@ def permutation_null(panel: DataFrame, x: str, y: str, draws: int, seed: int) ->
             return pd.DataFrame({"draw": [], "ic": []}).astype({"draw": "int64", "ic": float})
         rng = np.random.default_rng([seed, *str(p["date"].iloc[0]).encode()])
         a, b = (a - a.mean()) / a.std(), (b - b.mean()) / b.std()
-        dealt = rng.permuted(np.tile(a, (draws, 1)), axis=1)
-        return pd.DataFrame({"draw": np.arange(-1, draws), "ic": np.append(a @ b, dealt @ b) / len(a)})
+        some = max(1, DEALT // len(a))
+        dealt = [rng.permuted(np.tile(a, (min(some, draws - i), 1)), axis=1) @ b for i in range(0, draws, some)]
+        return pd.DataFrame({"draw": np.arange(-1, draws), "ic": np.concatenate([[a @ b], *dealt]) / len(a)})
 
     each = panel.select("date", "name", x, y).groupBy("date").applyInPandas(kernel, "draw bigint, ic double")
     means = each.groupBy("draw").agg(F.avg("ic").alias("m"))
