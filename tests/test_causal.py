@@ -60,6 +60,12 @@ def test_blocks_stay_whole_and_the_short_one_moves(spark):
     assert len(starts) > 2
 
 
+def test_draws_of_blocks_are_not_shuffled(spark):
+    df = spark.createDataFrame([("a", t, float(t), 0.0) for t in range(23)], "name string, date int, x double, y double")
+    plan = Z.block_permuted(df, "x", 5, 20, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_block_null_rejects_a_planted_slope_only(spark):
     rng = random.Random(6)
     rows = []

@@ -61,15 +61,17 @@ def random_book_null(chosen: DataFrame, pool: DataFrame, draws: int, seed: int)
 def partial_clustered_t(rows: DataFrame, keys: Sequence[str], y: str, x: str, controls: Sequence[str], cluster: str) -> DataFrame:
     """(keys, n, clusters, slope, t) of y on x with a constant and controls, with errors clustered by ``cluster`` (CR1).
 
-    Two passes for all keys: sums of products give the coefficients, and those of x on the controls; then what is
-    left of x times the residual is summed by cluster. Rows with a null are left out.
+    One pass for all keys: sums of products by key and cluster. Their totals give the coefficients, and those of x on the
+    controls; a cluster's sum of what is left of x times the residual is a form of its own sums, so rows aren't read
+    again. Rows with a null are left out.
     """
     names = [x, *controls]
     d, used = len(names) + 1, [*names, y]
     rows = rows.dropna(subset=used)
     values = [F.lit(1.0), *(F.col(c).cast("double") for c in used)]
     pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(values[i] * values[j]).alias(f"m{i}_{j}") for i, j in pairs))
+    parts = cut(rows.groupBy(*keys, cluster).agg(F.count("*").alias("n"), *(F.sum(values[i] * values[j]).alias(f"m{i}_{j}") for i, j in pairs)))
+    sums = parts.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(f"m{i}_{j}").alias(f"m{i}_{j}") for i, j in pairs))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -87,10 +89,12 @@ def partial_clustered_t(rows: DataFrame, keys: Sequence[str], y: str, x: str, co
 
     kinds = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
     fits = sums.mapInPandas(solve, f"{kinds}, n long, beta array<double>, gamma array<double>, left double")
-    met = rows.join(fits, list(keys))
-    e = F.col(y) - sum((F.col("beta")[i] * v for i, v in enumerate(values[:d])), F.lit(0.0))
-    rest = F.col(x) - sum((F.col("gamma")[i] * v for i, v in enumerate([values[0], *values[2:d]])), F.lit(0.0))
-    scores = met.groupBy(*keys, cluster).agg(F.sum(e * rest).alias("s"), F.first("n").alias("n"), F.first("left").alias("left"), F.first(F.col("beta")[1]).alias("slope"))
+    met = parts.drop("n").join(fits, list(keys))
+    # Both factors of a score are combinations of (1, x, controls, y): the residual, and what the controls leave of x.
+    e = [*(-F.col("beta")[i] for i in range(d)), F.lit(1.0)]
+    rest = [-F.col("gamma")[0], F.lit(1.0), *(-F.col("gamma")[i] for i in range(1, d - 1)), None]
+    score = sum((e[i] * rest[j] * F.col(f"m{min(i, j)}_{max(i, j)}") for i in range(d + 1) for j in range(d)), F.lit(0.0))
+    scores = met.select(*keys, score.alias("s"), "n", "left", F.col("beta")[1].alias("slope"))
     g, n = F.count("*"), F.first("n")
     meat = F.sum(F.col("s") * F.col("s")) * (g / (g - 1)) * ((n - 1) / (n - d))
     t = F.when((g > 1) & (n > d) & (F.first("left") > 1e-18) & (meat > 0), F.first("slope") / (F.sqrt(meat) / F.first("left")))
@@ -99,16 +103,20 @@ def partial_clustered_t(rows: DataFrame, keys: Sequence[str], y: str, x: str, co
 
 def block_permuted(panel: DataFrame, x: str, block: int, draws: int, seed: int) -> DataFrame:
     """``panel`` (name, date, ...) once for each draw, with x moved in blocks of ``block`` rows along its name: all blocks,
-    the short last one too, stand in a new order. Names of fewer rows than a block are left out."""
-    at = Window.partitionBy("name").orderBy("date")
-    rows = panel.withColumns({"_i": F.row_number().over(at) - 1, "_n": F.count("*").over(Window.partitionBy("name"))}).where(F.col("_n") >= block)
-    rows = cut(rows.withColumn("_b", F.expr(f"_i div {block}")))
-    blocks = rows.groupBy("name", "_b").agg(F.count("*").alias("_len")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    dealt = Window.partitionBy("draw", "name").orderBy(_order(F.lit(seed), F.col("draw"), F.col("name"), F.col("_b")), "_b")
-    start = F.coalesce(F.sum("_len").over(dealt.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    moved = rows.select("name", "_b", "_i", x).join(blocks.withColumn("_to", start), ["name", "_b"])
-    moved = moved.select("draw", "name", (F.col("_to") + F.col("_i") % block).alias("_i"), x)
-    return moved.join(rows.drop(x, "_b", "_n"), ["name", "_i"]).drop("_i")
+    the short last one too, stand in a new order. Names of fewer rows than a block are left out.
+
+    A name's history is one row, and a draw reorders the blocks of its array of x: the panel is shuffled once, and
+    nothing that a draw makes is.
+    """
+    others = [c for c in panel.columns if c not in ("name", x)]
+    whole = panel.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("date", F.struct(*others).alias("_own"), F.col(x).alias("_x")))).alias("_h"))
+    whole = whole.where(F.size("_h") >= block).select("name", F.col("_h._own").alias("_own"), F.col("_h._x").alias("_x"))
+    each = whole.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    last = F.expr(f"cast((size(_x) - 1) div {block} as int)")
+    dealt = F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(_order(F.lit(seed), F.col("draw"), F.col("name"), b).alias("_k"), b.alias("_b")))
+    moved = F.flatten(F.transform(F.array_sort(dealt), lambda b: F.slice("_x", b["_b"] * block + 1, F.lit(block))))
+    rows = each.select("draw", "name", F.explode(F.arrays_zip(F.col("_own"), moved.alias("_to"))).alias("_r"))
+    return rows.select("draw", "name", *(F.col(f"_r._own.{c}").alias(c) for c in others), F.col("_r._to").alias(x))
 
 
 def block_permutation_null(panel: DataFrame, y: str, x: str, controls: Sequence[str], block: int, draws: int, seed: int, cluster: str = "date") -> DataFrame:
