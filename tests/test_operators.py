@@ -3,6 +3,7 @@
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,28 @@ def corpus(spark, x):
     return spark.createDataFrame(rows, "asset string, strategy bigint, date date, pnl bigint")
 
 
+def test_effective_strategies_meet_by_days_not_in_pairs(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("pairs of strategies")
+
+    x = np.random.default_rng(4).normal(size=(30, 9)).round(6)
+    x[x < -0.5] = 0
+    x[:, 8] = 0.25  # no deviation
+    r = np.corrcoef(x[:, :8].T)
+    monkeypatch.setattr(O, "pair_products", refuse)
+    monkeypatch.setattr(O, "TOGETHER", 2)
+    got = O.effective_strategies(corpus(spark, x)).first()
+    assert got["strategies"] == 8 and abs(got["effective"] - 64 / (r**2).sum()) < 1e-6
+    # Blocks of days make the same sum of squares.
+    monkeypatch.setattr(O, "DAYS", 7)
+    monkeypatch.setattr(O, "DENSE", 3)
+    day, name = np.nonzero(x)
+    rows = pd.DataFrame({"asset": "a", "strategy": name, "day": day, "days": 30, "x": x[day, name]})
+    parts = [(a, b, O._day_products(rows.assign(a=a, b=b))) for a in range(5) for b in range(a, 5)]
+    squares = sum((1 if a == b else 2) * sum(float(g @ g) for g in p["g"]) for a, b, p in parts)
+    assert sum(p["n"].sum() for *_, p in parts) == 8 and abs(squares / 29**2 - (r**2).sum()) < 1e-9
+
+
 def test_effective_strategies(spark):
     rng = np.random.default_rng(1)
     one = rng.normal(size=(60, 1))

@@ -102,32 +102,60 @@ def pbo(corpus: DataFrame, blocks: int = 6) -> DataFrame:
     return overfitting(corpus, blocks).groupBy("asset").agg(F.count("*").alias("splits"), F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"))
 
 
+#: Strategies whose histories one task holds, how many of them are dense at once, and days of one block.
+TOGETHER, DENSE, DAYS = 8_192, 512, 4_096
+
+
+def _day_products(p: pd.DataFrame) -> pd.DataFrame:
+    """(i, g, n): a day i of block a and its products with block b's days over the group's strategies, standardised with
+    zeros for missing days; n, the strategies that have a deviation, is in the group's first row."""
+    t, a, b = int(p["days"].iloc[0]), int(p["a"].iloc[0]), int(p["b"].iloc[0])
+    left, right = (slice(k * DAYS, min((k + 1) * DAYS, t)) for k in (a, b))
+    names, at = np.unique(p["strategy"].to_numpy(), return_inverse=True)
+    day, x, order = p["day"].to_numpy(), p["x"].to_numpy(float), np.argsort(at, kind="stable")
+    g, kept = np.zeros((left.stop - left.start, right.stop - right.start)), 0
+    for low in range(0, len(names), DENSE):
+        i = order[slice(*np.searchsorted(at[order], [low, low + DENSE]))]
+        z = np.zeros((t, min(DENSE, len(names) - low)))
+        np.add.at(z, (day[i], at[i] - low), x[i])
+        z = z[:, z.max(0) > z.min(0)]
+        z -= z.mean(0)
+        z /= np.sqrt((z * z).sum(0) / (t - 1))
+        g += z[left] @ z[right].T
+        kept += z.shape[1]
+    n = np.zeros(len(g), "int64")
+    n[0] = kept if a == b == 0 else 0
+    return pd.DataFrame({"asset": p["asset"].iloc[0], "a": a, "b": b, "i": np.arange(left.start, left.stop), "n": n, "days": t, "g": list(g)})
+
+
 def effective_strategies(corpus: DataFrame) -> DataFrame:
     """Participation ratio of the correlation matrix, trace^2 / sum of squared entries: no eigenvalues needed.
 
-    Sums of products come from blocks of strategies and days, as matrix products; zeros for missing days.
+    The strategies' squared correlations sum to the squared products of days over standardised strategies, so work and
+    shuffles grow with the rows, not with pairs of strategies. A task holds the histories of about ``TOGETHER``
+    strategies and adds up the products of two blocks of ``DAYS`` days.
     """
-    corpus = cut(corpus.groupBy("asset", "date", "strategy").agg(F.sum("pnl").alias("pnl")))
-    daily = corpus.select("asset", "date", "strategy", F.col("pnl").cast("double").alias("x"))
-    m = cut(corpus_moments(corpus).where("sd > 0").select("asset", "strategy", "mean", "sd", "days"))
-    day = F.dense_rank().over(Window.partitionBy("asset").orderBy("date"))
-    dates = daily.select("asset", "date").distinct().withColumn("_day", day)  # one row for an asset's day
-    rows = daily.join(m.select("asset", "strategy"), ["asset", "strategy"]).join(dates, ["asset", "date"])
-    met = pair_products(rows.select(F.col("asset").alias("group"), F.col("strategy").alias("name"), F.col("_day").cast("bigint").alias("date"), "x"))
-    met = met.select(F.col("group").alias("asset"), F.col("name").alias("strategy"), "other", F.col("sxy").alias("xy"))
-    other = m.select("asset", F.col("strategy").alias("other"), F.col("mean").alias("mean2"), F.col("sd").alias("sd2"))
-    products = met.join(m, ["asset", "strategy"]).join(other, ["asset", "other"])
-    t = F.col("days")
-    r = (F.col("xy") / t - F.col("mean") * F.col("mean2")) * t / (t - 1) / (F.col("sd") * F.col("sd2"))
-    met = products.select("asset", "strategy", "other", (r * r - F.pow(F.col("mean") * F.col("mean2") * t / (t - 1) / (F.col("sd") * F.col("sd2")), 2)).alias("more"))
-    # Pairs that share no active day have a correlation of their means' product alone: added for all pairs at once.
-    z = F.pow(F.col("mean") / F.col("sd"), 2)
-    base = m.groupBy("asset").agg(F.count("*").cast("double").alias("n"), F.sum(z).alias("z1"), F.sum(z * z).alias("z2"), F.max("days").alias("t"))
-    extra = met.groupBy("asset").agg(F.sum("more").alias("more"))
-    scale = F.pow(F.col("t") / (F.col("t") - 1), 2)
-    off = scale * (F.col("z1") * F.col("z1") - F.col("z2")) + 2 * F.coalesce("more", F.lit(0.0))
-    rows = base.join(extra, "asset", "left")
-    return rows.select("asset", F.col("n").cast("bigint").alias("strategies"), F.when(F.col("n") < 4, F.col("n")).otherwise(F.col("n") * F.col("n") / (F.col("n") + off)).alias("effective"))
+    kind = dict(corpus.dtypes)["asset"]
+    days = corpus.select("asset", "date").distinct()  # one row for an asset's day
+    place = F.row_number().over(Window.partitionBy("asset").orderBy("date")) - 1
+    days = days.select("asset", "date", place.alias("day"), F.count("*").over(Window.partitionBy("asset")).cast("int").alias("days"))
+    names = corpus.groupBy("asset").agg(F.count_distinct("strategy").alias("n")).agg(F.max("n")).first()[0] or 1
+    parts, blocks = -(-names // TOGETHER), -(-(days.agg(F.max("days")).first()[0] or 1) // DAYS)
+    met = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(blocks) for b in range(a, blocks)))
+    rows = corpus.select("asset", "date", "strategy", F.col("pnl").cast("double").alias("x")).where("x is not null").join(days, ["asset", "date"])
+    rows = rows.withColumns({"part": F.pmod(F.xxhash64("strategy"), F.lit(parts)).cast("int"), "_m": F.explode(met)}).where(F.col("_m.b") * DAYS < F.col("days"))
+    rows = rows.select("asset", "part", "_m.a", "_m.b", "strategy", "day", "days", "x")
+    made = rows.groupBy("asset", "part", "a", "b").applyInPandas(_day_products, f"asset {kind}, a int, b int, i int, n bigint, days int, g array<double>")
+
+    def squares(p: pd.DataFrame) -> pd.DataFrame:
+        g = np.sum(np.stack(p["g"].to_numpy()), axis=0)
+        twice = 1 if p["a"].iloc[0] == p["b"].iloc[0] else 2
+        return pd.DataFrame({"asset": p["asset"].iloc[:1], "n": [int(p["n"].sum())], "days": [int(p["days"].iloc[0])], "s": [twice * float(g @ g)]})
+
+    sums = made.groupBy("asset", "a", "b", "i").applyInPandas(squares, f"asset {kind}, n bigint, days int, s double")
+    sums = sums.groupBy("asset").agg(F.sum("n").alias("n"), (F.max("days").cast("double") - 1).alias("t"), F.sum("s").alias("s")).where("n > 0")
+    n, t = F.col("n"), F.col("t")
+    return sums.select("asset", n.alias("strategies"), F.when(n < 4, n.cast("double")).otherwise(n * n * t * t / F.col("s")).alias("effective"))
 
 
 #: Days whose Gram matrix one task may hold: 4,096^2 numbers are 134 MB.
