@@ -243,3 +243,12 @@ def test_corwin_schultz_of_a_low_of_zero(spark):
     bars = spark.createDataFrame([("a", i, 2.0 + i % 2, 0.0 if i == 2 else 1.0) for i in range(6)], "symbol string, bar_idx bigint, high double, low double")
     got = {r["bar_idx"]: r["cs_spread"] for r in W.corwin_schultz(bars).collect()}
     assert got[0] is None and np.isnan(got[2]) and np.isnan(got[3]) and got[1] >= 0 and got[4] >= 0 and got[5] >= 0
+
+
+def test_no_frame_shrinks_from_its_start(spark):
+    tests = spark.createDataFrame([("a", i, p) for i, p in enumerate([0.04, 0.01, 0.04, 0.5, 0.03])], "asset string, name int, p double")
+    got = P.benjamini_hochberg(tests, ["asset"])
+    assert [round(r["p_adjusted"], 6) for r in got.orderBy("name").collect()] == [0.05, 0.05, 0.05, 0.5, 0.05]
+    bars = spark.createDataFrame([("a", i, 1.0 + i) for i in range(4)], "symbol string, bar_idx bigint, close double")
+    for df in (got, E.forward_returns(bars, 2)):
+        assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().executedPlan().toString()

@@ -48,7 +48,7 @@ def triple_barrier(events: DataFrame, bars: DataFrame, take: float, stop: float,
 def forward_returns(bars: DataFrame, h: int) -> DataFrame:
     """fwd: the log change over the next h bars (null at the end); hold_ret: the same, held at the last bar."""
     at = by_symbol()
-    last = F.last("_c").over(at.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last("_c").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = bars.withColumn("_c", F.log("close"))
     ahead = F.lead("_c", h).over(at)
     return rows.withColumns({"fwd": ahead - F.col("_c"), "hold_ret": F.coalesce(ahead, last) - F.col("_c")}).drop("_c")

@@ -113,11 +113,12 @@ def clustered_t(panel: DataFrame, y: str, x: str, cluster: str) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """p_adjusted: the false discovery rate at which each test is rejected."""
+    """p_adjusted: the false discovery rate at which each test is rejected. The least over later tests runs from the last
+    one backwards: a frame that shrinks from its start would be summed up anew for each row."""
     order = Window.partitionBy(*keys).orderBy(p, "name")
     n = F.count("*").over(Window.partitionBy(*keys))
     rows = tests.withColumn("_a", F.col(p) * n / F.row_number().over(order))
-    later = order.rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(p), F.desc_nulls_last("name")).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("p_adjusted", F.least(F.min("_a").over(later), F.lit(1.0))).drop("_a")
 
 
