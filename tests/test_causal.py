@@ -1,5 +1,6 @@
 """Nulls, factors beside confounders, event windows, and readers of corpora and runs."""
 
+import hashlib
 import math
 import random
 
@@ -179,3 +180,13 @@ def test_runs_with_and_without_combos_and_cells(spark, tmp_path):
     net = {(r["combo_id"], r["window_id"]): (r["inside"], r["outside"]) for r in G.phase_windows(G.read_run(spark, bare)).collect()}
     assert net[1, 2] == (4.0, 4.0) and len(net) == 6
     assert sorted(tuple(r) for r in G.read_run(spark, bare).select("combo_id", "window_id", "phase", "bar_idx", "pnl_bp").collect()) == sorted(rows)
+
+
+def test_events_are_dealt_among_tasks_by_their_digests(spark, monkeypatch):
+    monkeypatch.setattr(A, "HASHES", 10)
+    events = spark.range(20).selectExpr("id as event", "id as name", "id + 100 as day").coalesce(1)
+    got = A.matched_controls(events, spark.range(50, 55).selectExpr("id as name"), 3)
+    assert "RoundRobinPartitioning(10)" in got._jdf.queryExecution().executedPlan().toString()
+    digest = lambda e, c: hashlib.md5(f"3:{e}:{c}".encode()).hexdigest()
+    want = {e: min(range(50, 55), key=lambda c, e=e: digest(e, c)) for e in range(20)}
+    assert {r["event"]: r["name"] for r in got.collect()} == want

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .panel import by_name
 
 #: |t| from which a slope counts.
 SIGNIFICANT = 1.96
 
+#: Digests of events and controls that one task makes.
+HASHES = 4_000_000
+
 
 def compounded(k: int, ret: str = "ret") -> Column:
     """The return over a name's k rows before this one; null where one lacks, or lost everything."""
@@ -92,12 +99,39 @@ def factor_panel_test(rows: DataFrame, keys: Sequence[str], least: int = 60) ->
 
 
 def matched_controls(events: DataFrame, controls: DataFrame, seed: int) -> DataFrame:
-    """(event, name, day): each event's day with the control that comes first by MD5 of (seed, event, control). Controls are
-    one array of names beside each event: a short list by nature."""
-    names = controls.agg(F.sort_array(F.collect_set("name")).alias("_names"))
-    digest = lambda c: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("event").cast("string"), c.cast("string")).cast("binary")).alias("k"), c.alias("name"))
-    picked = events.join(F.broadcast(names)).withColumn("_p", F.array_min(F.transform("_names", digest)))  # names is one row
-    return picked.where("_p is not null").select("event", F.col("_p.name").alias("name"), "day")
+    """(event, name, day): each event's day with the control that comes first by MD5 of (seed, event, control).
+
+    Every event is hashed with every control, as nothing less tells the first; a task takes about ``HASHES`` of them, of
+    some events and some controls, and sends on one control an event."""
+    events = cut(events)
+    kinds = dict(events.dtypes)["event"], dict(controls.dtypes)["name"]
+
+    def dealt(rows: DataFrame, of: str, tag: str, size: int) -> DataFrame:
+        rows = rows.select(of).where(F.col(of).isNotNull()).distinct()
+        part = F.pmod(F.xxhash64(of), F.lit(max(1, -(-rows.count() // size))))
+        lists = rows.groupBy(part.alias("_p")).agg(F.collect_list(F.struct(F.col(of).cast("string").alias("t"), F.col(of).alias("v"))).alias("_l"))
+        return lists.select(F.col("_l.t").alias(f"{tag}t"), F.col("_l.v").alias(f"{tag}v"))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for et, ev, ct, cv in p[["et", "ev", "ct", "cv"]].itertuples(index=False):
+                texts, found = [t.encode() for t in ct], []
+                for t in et:
+                    start, digests = hashlib.md5(f"{seed}:{t}:".encode()), []
+                    for c in texts:
+                        h = start.copy()
+                        h.update(c)
+                        digests.append(h.digest())
+                    i = min(range(len(digests)), key=digests.__getitem__)
+                    found.append((digests[i].hex(), cv[i]))
+                yield pd.DataFrame({"event": list(ev), "_k": [k for k, _ in found], "name": [v for _, v in found]})
+
+    side = math.isqrt(HASHES)
+    met = dealt(events, "event", "e", side).crossJoin(dealt(controls, "name", "c", side))
+    tasks = max(1, -(-events.count() * controls.count() // HASHES))
+    best = met.repartition(tasks).mapInPandas(kernel, f"event {kinds[0]}, _k string, name {kinds[1]}")
+    best = best.groupBy("event").agg(F.min_by("name", F.struct("_k", "name")).alias("name"))
+    return events.select("event", "day").join(best, "event").select("event", "name", "day")
 
 
 def event_windows(events: DataFrame, daily: DataFrame, width: int = 60, least: int = 20) -> DataFrame:
