@@ -209,3 +209,18 @@ def test_streamed_weights_equal_pandas(spark):
 def test_listing(spark):
     live, gone = spark.createDataFrame([("a", 1)], "symbol string, x int"), spark.createDataFrame([("a", 2), ("b", 3)], "symbol string, x int")
     assert sorted(map(tuple, S.live_and_delisted(live, gone).collect())) == [("a", 1), ("b", 3)]
+
+
+def test_stationary_bootstrap_resamples_draws_together(spark, monkeypatch):
+    x = [math.sin(i * i) for i in range(37)]
+    monkeypatch.setattr(I, "TOGETHER", 37 * 4)
+    rng, means = np.random.default_rng([3, *str((np.int32(5),)).encode()]), []
+    for _ in range(10):  # one draw at a time
+        new = rng.random(37) < 1 / 3
+        new[0] = True
+        starts = np.flatnonzero(new)
+        at = np.repeat(rng.integers(0, 37, len(starts)) - starts, np.diff(np.append(starts, 37)))
+        means.append(np.array(x)[(at + np.arange(37)) % 37].mean())
+    series = spark.createDataFrame([(5, i, v) for i, v in enumerate(x)], "name int, t int, y double")
+    got = I.stationary_bootstrap(series, ["name"], "t", "y", 10, 3, block=3).first()
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-14)

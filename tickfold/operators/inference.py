@@ -171,6 +171,10 @@ def automatic_block(x: np.ndarray) -> int:
     return max(1, min(round((2 * (lags @ own) ** 2 / (own @ own)) ** (1 / 3) * n ** (1 / 3)), n // 4))
 
 
+#: Resampled values that a task holds at once.
+TOGETHER = 200_000
+
+
 def stationary_bootstrap(series: DataFrame, keys: list[str], order: str, y: str, draws: int, seed: int, block: int | None = None) -> DataFrame:
     """Per key: the 2.5 % and 97.5 % points of the mean of y over resamples in circular blocks of geometric length, with
     mean ``block`` or one found from the series; a key's series is a group."""
@@ -182,13 +186,19 @@ def stationary_bootstrap(series: DataFrame, keys: list[str], order: str, y: str,
             return pd.DataFrame([[*own, 0, None, None, None, None]], columns=[*keys, "n", "block", "mean", "low", "high"])
         rng = np.random.default_rng([seed, *str(own).encode()])
         size = block or automatic_block(x)
-        means = np.empty(draws)
-        for i in range(draws):
-            new = rng.random(n) < 1 / size  # a block starts here
-            new[0] = True
+        means, some, place = np.empty(draws), max(1, TOGETHER // n), np.arange(n)
+        for low in range(0, draws, some):
+            new, first = np.empty((min(some, draws - low), n), bool), []
+            for row in new:
+                np.less(rng.random(n), 1 / size, out=row)  # a block starts here
+                row[0] = True
+                first.append(rng.integers(0, n, np.count_nonzero(row)))
+            # A draw's first place starts a block, so blocks of all draws are one run of lengths.
             starts = np.flatnonzero(new)
-            from_ = np.repeat(rng.integers(0, n, len(starts)) - starts, np.diff(np.append(starts, n)))
-            means[i] = x[(from_ + np.arange(n)) % n].mean()
+            from_ = np.repeat(np.concatenate(first) - starts % n, np.diff(starts, append=new.size)).reshape(new.shape) + place
+            from_[from_ < 0] += n
+            from_[from_ >= n] -= n
+            means[low : low + some] = x[from_].mean(axis=1)
         lo, hi = np.quantile(means, [0.025, 0.975])
         return pd.DataFrame([[*own, n, size, x.mean(), lo, hi]], columns=[*keys, "n", "block", "mean", "low", "high"])
 
