@@ -272,3 +272,14 @@ def test_importance_in_buckets_finds_what_the_label_follows(spark, monkeypatch):
     rows = rows.withColumn("y", (F.col("a") >= 10).cast("double"))
     got = {r["feature"]: r for r in features.forest_importance(rows, ["a", "b"], "y").collect()}
     assert got["a"]["mda"] > 0.3 and abs(got["b"]["mda"]) < 0.05 and got["a"]["mdi"] > 0.8
+
+
+def test_forest_scores_writes_its_rows_once(spark, monkeypatch):
+    from tickfold.operators import studies as T
+
+    calls, keep = [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df: calls.append(1) or keep(df))
+    rows = [(i, float(i % 7), float(i % 7 > 3), i % 2, [1 - i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, v double, y double, fold int, trains array<int>")
+    got = T.forest_scores(df, ["v"], "y", 2, trees=2, depth=2).collect()
+    assert len(calls) == 1 and len(got) == 60 and all((r["p"] > 0.5) == (r["y"] == 1) for r in got)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from ..functions.ieee import ln
 from .bars import by_symbol
+from .lineage import cut
 from .pairs import leading_pairs
 from .rolling import full, trailing
 
@@ -270,11 +271,13 @@ def ou_mesh(spark: SparkSession, phi: float, sigma: float, start: float, takes:
 
 def forest_scores(rows: DataFrame, features: list[str], label: str, k: int, weight: str | None = None, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """Out-of-fold probabilities of a random forest on purged folds: rows has fold (of its own) and, per fold f, an
-    array ``trains`` of the folds whose training set has it. Spark trains each fold's forest over all its rows."""
+    array ``trains`` of the folds whose training set has it. Spark trains each fold's forest over all its rows, which
+    are written once, as a forest reads them many times."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    rows = cut(rows)
     table = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows)
     out = None
     for f in range(k):  # k models; the rows stay where they are
