@@ -65,6 +65,30 @@ def adf(y: np.ndarray, lags: int = 1) -> tuple[float, int]:
     return (float(b[0] / math.sqrt(v)) if v > 0 else math.nan), n
 
 
+def inverses(a: np.ndarray) -> np.ndarray:
+    """The inverse of every matrix of a stack, NaN where there is none."""
+    try:
+        return np.linalg.inv(a)
+    except np.linalg.LinAlgError:
+        half = len(a) // 2
+        return np.concatenate([inverses(a[:half]), inverses(a[half:])]) if half else np.full(a.shape, math.nan)
+
+
+def adfs(y: np.ndarray, lags: int = 1) -> np.ndarray:
+    """``adf``'s t statistic of every row of ``y``."""
+    dy = np.diff(y, axis=1)
+    n = dy.shape[1] - lags
+    if n < 4 + lags or not len(y):
+        return np.full(len(y), math.nan)
+    x = np.stack([y[:, lags:-1], np.ones((len(y), n)), *(dy[:, lags - j : dy.shape[1] - j] for j in range(1, lags + 1))], 1)
+    target = dy[:, lags:, None]
+    inv = inverses(x @ x.transpose(0, 2, 1))
+    b = inv @ (x @ target)
+    e = target - x.transpose(0, 2, 1) @ b
+    v = (e * e).sum((1, 2)) / (n - x.shape[1]) * inv[:, 0, 0]  # NaN where a row has no inverse
+    return np.divide(b[:, 0, 0], np.sqrt(np.where(v > 0, v, 1.0)), out=np.full(len(y), math.nan), where=v > 0)
+
+
 def adf_critical(n: int) -> float:
     """5 % critical value with a constant, for one variable (MacKinnon 2010)."""
     return -2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3
