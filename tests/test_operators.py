@@ -1,5 +1,6 @@
 """Known answers of single operators."""
 
+import tracemalloc
 from statistics import NormalDist
 
 import numpy as np
@@ -206,6 +207,48 @@ def test_weights_of_allocators():
     assert Q.ALLOCATORS["hrp"](x)[0] > Q.ALLOCATORS["hrp"](x)[5]
 
 
+@pytest.mark.parametrize("days, names", [(80, 30), (40, 90)])
+def test_weights_by_products_of_days_are_those_of_the_covariance(days, names):
+    rng = np.random.default_rng(names)
+    x = rng.normal(size=(days, names)) @ np.diag(rng.uniform(1, 9, names)) + rng.normal(size=(days, 1))
+    for cov, made in ((np.cov(x, rowvar=False), Q.Shrunk.sample(x)), (Q.ledoit_wolf(x), Q.Shrunk.ledoit_wolf(x))):
+        d = np.sqrt(np.diag(cov))
+        assert np.allclose(made.corr(), cov / np.outer(d, d)) and np.allclose(made.variances(), np.diag(cov))
+        assert np.allclose(Q.risk_parity(made), Q.hierarchical_risk_parity(cov))
+        assert np.allclose(made.only([3, 1, 7]).minimum_variance(), Q.minimum_variance(cov[np.ix_([3, 1, 7], [3, 1, 7])]))
+    assert np.allclose(made.minimum_variance(), Q.minimum_variance(Q.ledoit_wolf(x)))
+
+
+def test_k_means_by_products_is_that_of_the_rows():
+    """Sums that follow only the rows that move give the centres' plain means."""
+    rows = np.repeat(np.random.default_rng(4).normal(size=(30, 5)), 2, 0)
+    for k in (2, 5, 9):
+        for seed, got in zip(range(3), Q._k_means(rows @ rows.T, k, [[seed] for seed in range(3)])):
+            draw = np.random.default_rng([seed])
+            first = [int(draw.integers(60))]
+            gaps = lambda c: np.round(((rows[:, None] - c) ** 2).sum(2), 9)
+            while len(first) < k:
+                first.append(int(gaps(rows[first]).min(1).argmax()))
+            centers, label = rows[first], None
+            for _ in range(30):
+                before, label = label, gaps(centers).argmin(1)
+                if before is not None and (label == before).all() and len(np.unique(label)) == k:
+                    break
+                centers = np.array([rows[label == c].mean(0) if (label == c).any() else rows[draw.integers(60)] for c in range(k)])
+            assert (got == label).all()
+
+
+def test_a_fold_of_many_names_holds_few_matrices_of_them():
+    """1,500 names once took several matrices of 18 MB and a pseudoinverse of each kind."""
+    x = np.random.default_rng(3).normal(size=(60, 1_500))
+    for name, most in (("minimum_variance", 12), ("hrp", 60), ("nested_clusters", 140)):
+        tracemalloc.start()
+        w = Q.ALLOCATORS[name](x)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert abs(w.sum() - 1) < 1e-9 and peak < most, (name, peak)
+
+
 def test_denoise_keeps_a_correlation():
     c = np.corrcoef(np.random.default_rng(6).normal(size=(300, 20)).T)
     d = Q.denoised(c, 15)
