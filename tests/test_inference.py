@@ -71,6 +71,25 @@ def test_carry_like_a_loop(spark):
         assert np.allclose([r["pnl"] for r in got if r["setting"] == s], want, atol=1e-12)
 
 
+def test_carry_does_not_repeat_weights_for_each_date(spark, monkeypatch):
+    """Names come and go, one that is never held has no number as a return, and blocks hold two names; the rows of
+    weights by date, which once were joined and shuffled, aren't made."""
+    rng = np.random.default_rng(2)
+    ret, funding = rng.normal(0, 0.01, (60, 8)), rng.integers(-3, 4, (60, 8)) / 1e3
+    funding[:, 7] = 0.0
+    there = rng.random((60, 8)) < 0.8
+    there[:, 7] = there[np.arange(60), rng.integers(0, 7, 60)] = True
+    rows = [(f"n{j}", t, float("nan") if j == 7 else float(ret[t, j]), float(funding[t, j]), True) for t in range(60) for j in range(8) if there[t, j]]
+    panel = spark.createDataFrame(rows, "name string, date int, ret double, funding double, valid boolean")
+    monkeypatch.setattr(K, "carry_weights", lambda *_: pytest.fail("weights by date"))
+    monkeypatch.setattr(K, "HELD", 2 * 2 * 60)
+    got = K.carry_books(panel, {"a": (0.3, 5), "b": (0.2, 3)}, 4, 0.05, 10, 1e-3).orderBy("i").collect()
+    for s, every, q in (("a", 5, 0.3), ("b", 3, 0.2)):
+        want = carried(np.where(there, ret, 0.0), np.where(there, funding, 0.0), every, q, 4, 10, 0.05, 1e-3)
+        assert np.allclose([r["pnl"] for r in got if r["setting"] == s], want, atol=1e-12)
+    assert K.carry_books(panel.where("funding = 0"), {"a": (0.3, 5)}, 4, 0.05, 10, 1e-3).where("pnl <> 0").count() == 0
+
+
 def test_choice_walks_forward(spark):
     rows = [(s, i, v) for s, f in (("a", 1), ("b", -1)) for i, v in enumerate(f * x + 0.1 * (i % 2) for i, x in enumerate([1.0] * 6 + [-1.0] * 6))]
     got = K.chosen_forward(spark.createDataFrame(rows, "setting string, i bigint, pnl double"), 4, 2).orderBy("i").collect()

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import by_symbol
 from .costs import EQUITY_DEFAULT_BP, EQUITY_HALF_SPREAD_BP, equity_commission, looked_up
+from .lineage import cut, shared_path
 from .panel import by_name, interval_gate
 from .rolling import full, rolling_z, trailing
 from .sequential import fractional_difference
@@ -62,27 +70,104 @@ def by_setting(days: DataFrame, settings: dict[str, tuple[float, int]]) -> DataF
     return days.select("i", "date", F.explode(each).alias("_s")).select("i", "date", "_s.*")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what several steps read is computed once, and each reads its own columns."""
+    path = shared_path(df, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def carry_picks(panel: DataFrame, days: DataFrame, settings: dict[str, tuple[float, int]], least: int, start: int = 0, risk: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(setting, i, name, weight): the new weights of ``carry_weights``, on the dates that have some, and those (setting, i).
+
+    A date's names are ranked once, whatever the settings; those at the ends are written, as sums come before weights."""
+    usable = F.col("valid") & (F.col("funding") != 0)
+    usable = usable & (F.col(risk) > 1e-9) if risk else usable
+    turn = F.col("i") >= start
+    some = reduce(or_, (F.col("i") % every == 0 for every in {every for _, every in settings.values()}))
+    w = Window.partitionBy("i")
+    ranked = panel.join(F.broadcast(days.where(turn & some)), "date").where(usable).select("i", "name", "funding", (1 / F.col(risk) if risk else F.lit(1.0)).alias("_u"))
+    ranked = ranked.withColumns({"_n": F.count("*").over(w), "_lo": F.row_number().over(w.orderBy("funding", "name"))}).where(F.col("_n") >= least)
+    widest = F.greatest(F.floor(max(q for q, _ in settings.values()) * F.col("_n")), F.lit(1))
+    ends = written(ranked.where((F.col("_lo") <= widest) | (F.col("_lo") > F.col("_n") - widest)).drop("funding"), "carry-ends")
+    turns = ends.join(F.broadcast(by_setting(days, settings).where(turn & (F.col("i") % F.col("_every") == 0)).drop("date")), "i")
+    k = F.greatest(F.floor(F.col("_q") * F.col("_n")), F.lit(1))
+    turns = turns.withColumn("_s", F.when(F.col("_lo") > F.col("_n") - k, -1).when(F.col("_lo") <= k, 1)).where("_s is not null")
+    sums = cut(turns.groupBy("setting", "i", "_s").agg(F.sum("_u").alias("_t")))  # two rows a date and setting
+    picks = turns.join(F.broadcast(sums), ["setting", "i", "_s"]).select("setting", "i", "name", (F.col("_s") * F.col("_u") / F.col("_t")).alias("weight"))
+    return picks, sums.select("setting", "i").distinct()
+
+
+def held_turns(days: DataFrame, settings: dict[str, tuple[float, int]], turns: DataFrame) -> DataFrame:
+    """(setting, i, date, _r): the turn whose weights are held on a date; none on the last date."""
+    own = Window.partitionBy("setting")
+    before = own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = by_setting(days, settings).join(turns.withColumn("_r", F.col("i")), ["setting", "i"], "left")
+    return each.withColumn("_r", F.last("_r", True).over(before)).withColumn("_m", F.max("i").over(own)).where("i < _m and _r is not null").select("setting", "i", "date", "_r")
+
+
 def carry_weights(panel: DataFrame, settings: dict[str, tuple[float, int]], least: int, start: int = 0, risk: str | None = None) -> DataFrame:
     """(setting, i, date, name, weight) of books that are long the fraction q of names of lowest ``funding`` and short
     those of highest, sum 1 a side, ties by name. settings: name -> (q, rebalance): new weights on each ``rebalance``-th
     date from ``start`` with ``least`` usable names (valid, funding not 0), held until the next; none on the last date.
     risk: weights go by 1 over that column. All settings are one pass."""
-    days = by_setting(dated(panel), settings)
-    usable = F.col("valid") & (F.col("funding") != 0)
-    usable = usable & (F.col(risk) > 1e-9) if risk else usable
-    turns = panel.join(days.where((F.col("i") % F.col("_every") == 0) & (F.col("i") >= start)), "date").where(usable)
-    w = Window.partitionBy("setting", "i")
-    turns = turns.withColumns({"_n": F.count("*").over(w), "_lo": F.row_number().over(w.orderBy("funding", "name"))}).where(F.col("_n") >= least)
-    turns = turns.withColumn("_k", F.greatest(F.floor(F.col("_q") * F.col("_n")), F.lit(1)))
-    side = F.when(F.col("_lo") > F.col("_n") - F.col("_k"), -1).when(F.col("_lo") <= F.col("_k"), 1)
-    turns = turns.withColumn("_s", side).where("_s is not null").withColumn("_u", 1 / F.col(risk) if risk else F.lit(1.0))
-    share = F.col("_s") * F.col("_u") / F.sum("_u").over(Window.partitionBy("setting", "i", "_s"))
-    chosen = turns.select("setting", F.col("i").alias("_r"), "name", share.alias("weight"))
-    ok = chosen.select("setting", F.col("_r").alias("i")).distinct().withColumn("_r", F.col("i"))
-    own = Window.partitionBy("setting")
-    held = own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = days.join(ok, ["setting", "i"], "left").withColumn("_r", F.last("_r", True).over(held)).withColumn("_m", F.max("i").over(own))
-    return each.where("i < _m").join(chosen, ["setting", "_r"]).select("setting", "i", "date", "name", "weight")
+    days = cut(dated(panel))
+    picks, turns = carry_picks(panel, days, settings, least, start, risk)
+    return held_turns(days, settings, turns).join(picks.withColumnRenamed("i", "_r"), ["setting", "_r"]).select("setting", "i", "date", "name", "weight")
+
+
+#: Numbers of one matrix of a task: settings times names times dates.
+HELD = 1 << 21
+
+
+def _entries(column: pa.Array, fields: int) -> tuple[np.ndarray, ...]:
+    """Of a column of lists of structs: the row of each entry, and the entries' fields."""
+    flat = column.flatten()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), size), *(v.to_numpy(zero_copy_only=False) for v in flat.flatten()[:fields])
+
+
+def _held(batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some names at a time: their rows, weights and whether they are held, by setting, name and date."""
+    settings, dates = held.shape
+    step = max(1, HELD // max(1, settings * dates))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            p = batch.slice(start, step)
+            at, s, i, w = _entries(p.column("picks"), 3)
+            new, there = np.zeros((settings, p.num_rows, dates)), np.zeros((settings, p.num_rows, dates), bool)
+            new[s, at, i], there[s, at, i] = w, True
+            turn = np.maximum(held, 0)
+            on = np.stack([there[k][:, turn[k]] & (held[k] >= 0) for k in range(settings)])
+            yield p, np.where(on, np.stack([new[k][:, turn[k]] for k in range(settings)]), 0.0), on
+
+
+def _results(held: np.ndarray):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        price, paid = np.zeros(held.shape), np.zeros(held.shape)
+        for p, w, on in _held(batches, held):
+            ret, funding = np.zeros(w.shape[1:]), np.zeros(w.shape[1:])
+            at, i, r, f = _entries(p.column("days"), 3)
+            ret[at, i], funding[at, i] = r, f
+            # A date's weights meet the next date's returns.
+            price[:, :-1] += np.where(on[:, :, :-1], w[:, :, :-1] * ret[:, 1:], 0.0).sum(1)
+            paid += np.where(on, w * funding, 0.0).sum(1)
+        s, i = np.indices(held.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (s.astype("int32"), i, price, paid)], ["s", "i", "_p", "_f"])
+
+    return kernel
+
+
+def _turnover(held: np.ndarray, leverage: np.ndarray):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moved = np.zeros(held.shape)
+        for _, w, on in _held(batches, held):
+            now = np.where(on, w * leverage[:, None, :], 0.0)
+            moved += np.abs(np.diff(now, axis=2, prepend=0.0)).sum(1)
+        s, i = np.indices(held.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (s.astype("int32"), i, moved)], ["s", "i", "_t"])
+
+    return kernel
 
 
 def carry_books(
@@ -92,22 +177,32 @@ def carry_books(
     the long side), cost by turnover, and pnl.
 
     A book is scaled by target over the deviation of its unscaled result over the last ``span`` dates (half of them at
-    least), of the date before, at most ``most``; 0 before it is known."""
-    weights = carry_weights(panel, settings, least, span, risk)
-    days = dated(panel)
-    own = panel.select("date", "name", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("funding", F.lit(0.0)).alias("funding")).join(days, "date")
-    after = own.select((F.col("i") - 1).alias("i"), "name", "ret")
-    rows = weights.join(own.select("i", "name", "funding"), ["i", "name"], "left").join(after, ["i", "name"], "left").fillna(0.0, ["funding", "ret"])
-    x, keys = F.col("weight"), ["setting", "i"]
-    by = rows.groupBy(*keys).agg(F.sum(x * F.col("ret")).alias("_p"), (-scale * F.sum(x * F.col("funding"))).alias("_f"))
+    least), of the date before, at most ``most``; 0 before it is known. A name's days and new weights are one row, so that
+    weights aren't repeated for each date that holds them; the driver holds a number per setting and date."""
+    panel = written(panel.select("name", "date", "ret", "funding", "valid", *([risk] if risk else [])), "carry-panel")
+    days = cut(dated(panel))
+    picks, turns = carry_picks(panel, days, settings, least, span, risk)
+    place, dates = {s: k for k, s in enumerate(settings)}, days.count()
+    held = np.full((len(settings), dates), -1)
+    for r in held_turns(days, settings, turns).collect():
+        held[place[r["setting"]], r["i"]] = r["_r"]
+    number = F.array_position(F.array(*map(F.lit, settings)), F.col("setting")).cast("int") - 1
+    chosen = picks.groupBy("name").agg(F.collect_list(F.struct(number.alias("s"), F.col("i").cast("int").alias("i"), "weight")).alias("picks"))
+    chosen = written(chosen, "carry-picks")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    own = panel.join(F.broadcast(days), "date").groupBy("name").agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), zero("ret"), zero("funding"))).alias("days"))
+    keys, name = ["setting", "i"], F.element_at(F.array(*map(F.lit, settings)), F.col("s") + 1).alias("setting")
+    parts = chosen.join(own, "name").select("picks", "days").mapInArrow(_results(held), "s int, i bigint, _p double, _f double")
+    by = parts.groupBy(name, "i").agg(F.sum("_p").alias("_p"), (-scale * F.sum("_f")).alias("_f"))
     by = by_setting(days, settings).drop("_q", "_every").join(by, keys, "left").fillna(0.0, ["_p", "_f"])
     past = Window.partitionBy("setting").orderBy("i").rowsBetween(-span, -1)
     sd = F.when(F.count("*").over(past) >= span // 2, F.stddev_samp(F.col("_p") + F.col("_f")).over(past))
-    by = by.withColumn("leverage", F.when(sd > 1e-9, F.least(target / sd, F.lit(most))).otherwise(0.0))
-    now = weights.join(by.select(*keys, "leverage"), keys).select(*keys, "name", (x * F.col("leverage")).alias("_w"))
-    gone = F.explode(F.array(F.struct(F.col("i"), F.col("_w")), F.struct((F.col("i") + 1).alias("i"), (-F.col("_w")).alias("_w"))))
-    moves = now.select("setting", "name", gone.alias("_m")).groupBy("setting", "_m.i", "name").agg(F.sum("_m._w").alias("_w"))
-    out = by.join(moves.groupBy(*keys).agg(F.sum(F.abs("_w")).alias("_t")), keys, "left").fillna(0.0, ["_t"])
+    by = cut(by.withColumn("leverage", F.when(sd > 1e-9, F.least(target / sd, F.lit(most))).otherwise(0.0)))
+    leverage = np.zeros(held.shape)
+    for r in by.select(*keys, "leverage").collect():
+        leverage[place[r["setting"]], r["i"]] = r["leverage"]
+    moves = chosen.select("picks").mapInArrow(_turnover(held, leverage), "s int, i bigint, _t double")
+    out = by.join(moves.groupBy(name, "i").agg(F.sum("_t").alias("_t")), keys, "left").fillna(0.0, ["_t"])
     price, paid, spent = F.col("leverage") * F.col("_p"), F.col("leverage") * F.col("_f"), cost * F.col("_t")
     return out.select(*keys, "date", "leverage", price.alias("price"), paid.alias("funding"), spent.alias("cost"), (price + paid - spent).alias("pnl"))
 
