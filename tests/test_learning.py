@@ -274,6 +274,18 @@ def test_importance_in_buckets_finds_what_the_label_follows(spark, monkeypatch):
     assert got["a"]["mda"] > 0.3 and abs(got["b"]["mda"]) < 0.05 and got["a"]["mdi"] > 0.8
 
 
+def test_importance_of_infinite_features(spark):
+    """Logarithms of a price of 0 are infinite: such rows count, above or below all others, and don't end the query."""
+    from tickfold.operators import features
+
+    inf = float("inf")
+    rows = spark.range(2000).select((F.abs(F.hash("id")) % 20).cast("double").alias("a"), (F.abs(F.xxhash64("id")) % 20).cast("double").alias("b"))
+    rows = rows.withColumn("a", F.when(F.col("a") >= 10, inf).when(F.col("a") < 3, -inf).when(F.col("a") == 5, float("nan")).otherwise(F.col("a")))
+    rows = rows.withColumn("y", (F.col("a") == inf).cast("double"))
+    got = {r["feature"]: r for r in features.forest_importance(rows, ["a", "b"], "y").collect()}
+    assert got["a"]["mda"] > 0.3 and abs(got["b"]["mda"]) < 0.05 and got["a"]["mdi"] > 0.8
+
+
 def test_forest_scores_writes_its_rows_once(spark, monkeypatch):
     from tickfold.operators import studies as T
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ieee import ln, over
 from .bars import by_symbol
+from .lineage import cut
 from .returns import flow_imbalance
 from .rolling import with_ewm
 from .sequential import along
@@ -86,15 +89,21 @@ def regimes(returns: DataFrame, rounds: int = 50) -> DataFrame:
 #: Rows of a bucket within which a feature is shuffled.
 SHUFFLED = 50_000
 
+#: The largest double, which stands for an infinite one where numbers must be finite; trees only ask for the order.
+LARGEST = sys.float_info.max
+
 
 def forest_importance(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """Per feature: mdi, its share of impurity decrease in a forest of all rows, and mda, the accuracy lost when the
-    feature alone is shuffled across the rows that the forest didn't train on (every fourth by a hash)."""
+    feature alone is shuffled across the rows that the forest didn't train on (every fourth by a hash). Infinite values
+    are above or below all others; rows without a feature are left out."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     spark = rows.sparkSession
-    marked = rows.select(*features, F.col(label).cast("double").alias("_y")).dropna().withColumn("_h", F.pmod(F.xxhash64(*features), F.lit(4)))
+    held = (F.greatest(F.least(F.col(c).cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)).alias(c) for c in features)
+    marked = rows.select(*features, F.col(label).cast("double").alias("_y")).dropna().select(*held, "_y").withColumn("_h", F.pmod(F.xxhash64(*features), F.lit(4)))
+    marked = cut(marked)  # the forest and each feature's test read it again
     vectors = VectorAssembler(inputCols=features, outputCol="_x")
     model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors.transform(marked.where("_h > 0")))
     test = marked.where("_h = 0")
