@@ -255,6 +255,21 @@ def test_denoise_keeps_a_correlation():
     assert np.allclose(np.diag(d), 1) and np.linalg.cond(d) <= np.linalg.cond(c) + 1e-9
 
 
+@pytest.mark.parametrize("days, names", [(200, 6), (90, 89), (60, 60), (40, 90)])
+def test_denoising_does_not_ask_which_is_more(days, names):
+    """Without more days than names nothing was denoised; the law's edge and its zeros hold there too."""
+    rng = np.random.default_rng(days)
+    x = rng.normal(size=(days, names)) @ np.diag(rng.uniform(1, 9, names)) + 3 * rng.normal(size=(days, 1))
+    cov = np.cov(x, rowvar=False)
+    d = np.sqrt(np.diag(cov))
+    want, made = Q.denoised(cov / np.outer(d, d), days / names), Q.Shrunk.denoised(x)
+    assert np.allclose(made.corr(), want) and np.allclose(made.variances(), d * d) and 0 < len(made.z) < min(days, names) - 1
+    w = rng.random(3)
+    assert made.variance([4, 0, 2], w) == pytest.approx(w @ (want * np.outer(d, d))[np.ix_([4, 0, 2], [4, 0, 2])] @ w)
+    assert np.allclose(Q.ALLOCATORS["hrp_denoised"](x), Q.hierarchical_risk_parity(want * np.outer(d, d)))
+    assert not np.allclose(Q.ALLOCATORS["hrp_denoised"](x), Q.ALLOCATORS["hrp"](x))
+
+
 def test_quasi_diagonal_groups_blocks():
     c = np.eye(6)
     for a, b in ((0, 3), (1, 4), (2, 5)):
