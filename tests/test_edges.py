@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tickfold.operators import inference as I
 from tickfold.operators import sequential as S
 from tickfold.operators import studies as T
 from tickfold.operators import walkforward as W
+from tickfold.plans.all_queries import ORACLES, QUERIES
 
 
 def ohlc(spark, symbol, closes):
@@ -31,6 +33,21 @@ def test_costs_of_a_zero_price(spark):
     assert got[1]["c"] == pytest.approx(0.0035 / 200) and math.isfinite(got[1]["fx"])
 
 
+@pytest.mark.parametrize("name", ["trade_costs", "equity_costs"])
+def test_costs_of_odd_prices_are_those_of_sql(spark, tmp_path, name):
+    """A price of -0, which rounding makes of a small negative one, once cost as much as one of 0."""
+    prices = [-0.0, 0.0, -0.004, 1e-5, 5.12, 200.0, math.inf, -math.inf, math.nan, None]
+    rows = [(i, ts, kind, v) for i, (v, ts, kind) in enumerate((v, ts, kind) for v in prices for ts in ("09:45", "15:50", "22:10") for kind in ("click", "view", "error", "signup", None))]
+    events = spark.createDataFrame(rows, "event_id bigint, t string, event_type string, value double")
+    events.select("event_id", F.expr("cast('2024-01-02 ' || t || ':00' as timestamp_ntz)").alias("ts"), "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    plain = lambda rows: sorted(repr([v + 0.0 if isinstance(v, float) else v for v in r]) for r in rows)
+    assert plain(QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == plain(want.fetchall())
+
+
 def test_features_after_a_zero_close(spark):
     got = X.event_features(ohlc(spark, "a", [4.0, 2.0, 0.0, 3.0]), lags=(1,)).orderBy("bar_idx").collect()
     assert [r["momentum_1"] for r in got[1:]] == [pytest.approx(-math.log(2)), -math.inf, math.inf]

@@ -15,5 +15,7 @@ def ln(x: Column | str) -> Column:
 
 
 def over(a: Column, b: Column) -> Column:
-    """a / b: by a divisor of 0 infinite with the sign of a, and NaN for 0 / 0."""
-    return F.when(b == 0, a * F.lit(INF)).otherwise(F.try_divide(a, b))
+    """a / b: by a divisor of 0 infinite with the sign of a, by one of -0 with the other sign, and NaN for 0 / 0."""
+    # Spark takes -0 for 0 in comparisons; only its text differs.
+    below = b.cast("double").cast("string") == "-0.0"
+    return F.when(b == 0, a * F.when(below, F.lit(-INF)).otherwise(F.lit(INF))).otherwise(F.try_divide(a, b))
