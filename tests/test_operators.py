@@ -249,6 +249,21 @@ def test_a_fold_of_many_names_holds_few_matrices_of_them():
         assert abs(w.sum() - 1) < 1e-9 and peak < most, (name, peak)
 
 
+def test_weights_do_not_depend_on_what_is_held(monkeypatch):
+    """Without a matrix of names by names, weights are the same and memory grows with names times days."""
+    x = np.random.default_rng(12).normal(size=(50, 700)) + 2 * np.repeat(np.random.default_rng(13).normal(size=(50, 7)), 100, 1)
+    names = ("hrp", "hrp_denoised", "nested_clusters")
+    want = {name: Q.ALLOCATORS[name](x[:, ::5]) for name in names}
+    monkeypatch.setattr(Q, "HELD", 10)
+    for name in names:
+        assert np.allclose(Q.ALLOCATORS[name](x[:, ::5]), want[name]), name
+    tracemalloc.start()
+    Q.ALLOCATORS["hrp"](np.tile(x, 3))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 12, peak  # one matrix of them takes 35
+
+
 def test_denoise_keeps_a_correlation():
     c = np.corrcoef(np.random.default_rng(6).normal(size=(300, 20)).T)
     d = Q.denoised(c, 15)
